@@ -29,7 +29,7 @@ from .store import stash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of the lexicon at most; longer words than this are left to the tasks.
-LEXICON, LEXICON_CHARS = 200_000, 48
+LEXICON, LEXICON_CHARS = 30_000, 48
 #: Characters that no piece covers cost this much more than the worst piece.
 UNKNOWN = 10.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -52,6 +52,7 @@ class Table:
                 self.text[i] = int(piece[3:5], 16)
             elif not model.is_control(i) and not model.is_unknown(i) and not model.is_unused(i):
                 self.ids[piece], self.scores[piece], self.text[i] = i, model.get_score(i), piece
+        self.ranks = {p: -s for p, s in self.scores.items()}
         self.longest = max(map(len, self.ids))
         #: Scores of a BPE model are 0, -1, -2, ...
         self.merges = all(s == round(s) for s in self.scores.values())
@@ -94,14 +95,38 @@ def best_path(word: str, table: Table) -> tuple[int, ...]:
 
 def best_merges(word: str, table: Table) -> tuple[int, ...]:
     """Merge neighbours into pieces, best score first, the leftmost of equals."""
-    n, scores = len(word), table.scores
+    rank, none = table.ranks.get, 1 << 60
+    if len(word) > 200:
+        parts = long_merges(word, table)
+    else:
+        parts = list(word)
+        waits = [rank(x + y, none) for x, y in zip(parts, parts[1:])]  # noqa: B905
+        while waits and (best := min(waits)) < none:
+            i = waits.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del waits[i]
+            if i:
+                waits[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(waits):
+                waits[i] = rank(parts[i] + parts[i + 1], none)
+    ids = table.ids
+    out: list[int] = []
+    for piece in parts:
+        i = ids.get(piece)
+        out += (i,) if i is not None else (table.bytes[b] for b in piece.encode())
+    return tuple(out)
+
+
+def long_merges(word: str, table: Table) -> list[str]:
+    """The same with a heap: n log n for a word of n characters."""
+    n, ranks = len(word), table.ranks
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # symbols by their starts
     heap: list[tuple[float, int, int, int]] = []
 
     def offer(s):
         middle = after[s] if s >= 0 else n
-        if middle < n and (score := scores.get(word[s : after[middle]])) is not None:
-            heapq.heappush(heap, (-score, s, middle, after[middle]))
+        if middle < n and after[middle] - s <= table.longest and (rank := ranks.get(word[s : after[middle]])) is not None:
+            heapq.heappush(heap, (rank, s, middle, after[middle]))
 
     for s in range(n):
         offer(s)
@@ -115,14 +140,7 @@ def best_merges(word: str, table: Table) -> tuple[int, ...]:
             before[e] = s
         offer(s)
         offer(before[s])
-    out: list[int] = []
-    s = 0
-    while s < n:
-        piece = word[s : after[s]]
-        i = table.ids.get(piece)
-        out += (i,) if i is not None else (table.bytes[b] for b in piece.encode())
-        s = after[s]
-    return tuple(out)
+    return [word[s : after[s]] for s in range(n) if alive[s]]
 
 
 def path(word: str, table: Table) -> tuple[int, ...]:
@@ -160,7 +178,8 @@ def lattice(words: DataFrame, spark: SparkSession, table: Table) -> DataFrame:
     byte_ids = F.lit(table.bytes).cast("array<int>")
     raw = F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(octets, i, F.lit(2)), 16, 10).cast("int")))
     edges = found.select("word", F.struct("s", "e", F.coalesce("score", F.lit(table.worst)).alias("score"), F.when(F.col("id").isNull(), raw).otherwise(F.array("id")).cast("array<int>").alias("ids")).alias("edge"))
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the fold is the work here, so its few rows stay spread
+    return edges.repartition(parts, "word").groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
 def viterbi(grouped: DataFrame) -> DataFrame:
@@ -220,7 +239,7 @@ class Encoder:
             ids = known.get(word) or more.get(word)
             if ids is None:
                 ids = path(word, self.table)
-                if len(more) > 100_000:
+                if len(more) > 300_000:
                     more.clear()
                 more[word] = ids
             out += ids
