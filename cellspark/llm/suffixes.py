@@ -10,9 +10,11 @@ is represented by the place in it whose ``GRAM``-byte rank is least.  Equal wind
 the same place, so no repeat is lost.  Neighbouring windows share theirs; they form a run.
 Then
 
-1. rank by ``GRAM`` bytes: runs whose place has a unique rank are done;
-2. rank by the bytes of the whole run: all but the first run of a rank are repeated;
-3. where one place still has several ranks, rank the windows of the first run of each.
+1. rank the runs by the ``GRAM`` bytes at their place: a unique rank is done;
+2. rank the runs by all their bytes: all but the first run of a rank are repeated;
+3. where one place still has several ranks, split the first run of each into short runs of
+   ``SHORT`` windows and do the same with the bytes that all windows of a short run share;
+4. and at last with single windows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .words import blocks, mix
 
 LENGTH = 100
 GRAM = 24
+SHORT = 8
 #: Rank bits that give way to the position when the least rank in a window is sought.
 _PLACE = 26
 _U = np.uint64
@@ -85,11 +88,35 @@ def run_ranks(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.
     return mix(mix(out) + (length * 128 + place).astype(_U))
 
 
-def window_ranks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two ranks of the window at each position."""
+def short_runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rank of the shared bytes, rank of all bytes, start, length, place - start) of the short runs of each run.
+
+    Short runs are counted from the place, so that equal windows fall into equal ones.
+    """
+    high, low = place // SHORT, (place - length + 1) // SHORT
+    n = high - low + 1
+    step = np.repeat(high, n) - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    at = np.repeat(start + place, n)
+    first = np.maximum(np.repeat(start, n), at - SHORT * step - SHORT + 1)
+    last = np.minimum(np.repeat(start + length, n) - 1, at - SHORT * step)
+    h = grams(raw, 64)
+    core = at - SHORT * step
+    shared = mix(h[core] * _U(0x9FB21C651E98DF25) + h[core + LENGTH - SHORT + 1 - 64] + step.astype(_U))
+    size = last - first + 1
+    return shared, run_ranks(raw, first, size, at - first), first, size, at - first
+
+
+def single_runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for the single windows of each run."""
+    at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
     h = grams(raw, 64)
     a, b = h[at], h[at + LENGTH - 64]
-    return mix(a * _U(0x9FB21C651E98DF25) + b), mix(b * _U(0xA24BAED4963EE407) + (a ^ (a >> _U(29))))
+    one = np.ones(len(at), np.int64)
+    return mix(a * _U(0x9FB21C651E98DF25) + b), mix(b * _U(0xA24BAED4963EE407) + (a ^ (a >> _U(29)))), at, one, 0 * one
+
+
+def pack(start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (start << 14) + (length << 7) + place
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -109,7 +136,7 @@ def place_ranks(rows: DataFrame) -> DataFrame:
 
 
 def all_runs(rows: DataFrame) -> DataFrame:
-    """(rank of the place, rank of the run, doc_id, start and length in one number)."""
+    """(rank of the place, rank of the run, key, start with length and place in one number)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,42 +144,51 @@ def all_runs(rows: DataFrame) -> DataFrame:
             for top, raw, off in blocks(batch.column(1)):
                 row, start, length, rank, place = runs(raw, off)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([_long(rank), _long(run_ranks(raw, start, length, place)), _long(ids[top + row]), _long((start - off[row]) * 128 + length)], ["rank", "run", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([_long(rank), _long(run_ranks(raw, start, length, place)), _long(ids[top + row]), _long(pack(start - off[row], length, place))], ["rank", "run", "key", "at"])
 
     return rows.mapInArrow(task, "rank long, run long, key long, at long")
 
 
-def windows_of(texts: DataFrame) -> DataFrame:
-    """(two ranks, key, start) of the windows of the runs ``at`` of each (key, text, at)."""
+def split_runs(texts: DataFrame, how) -> DataFrame:
+    """The shorter runs that ``how`` makes of the runs ``at`` of each (key, text, at)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, at in zip(*batch.columns, strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
-                packed = np.unique(np.array(at.values.to_numpy(zero_copy_only=False)))
-                start, length = packed >> 7, packed & 127
-                each = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
-                a, b = window_ranks(raw, each)
-                yield pa.RecordBatch.from_arrays([_long(a), _long(b), pa.array([key.as_py()] * len(each), pa.int64()), _long(each)], ["a", "b", "key", "start"])
+                packed = np.unique(at.values.to_numpy(zero_copy_only=False))
+                packed = packed[(packed >> 14) + (packed >> 7 & 127) - 1 + LENGTH <= len(raw)]
+                if len(packed):
+                    rank, run, start, length, place = how(raw, packed >> 14, packed >> 7 & 127, packed & 127)
+                    yield pa.RecordBatch.from_arrays([_long(rank), _long(run), pa.array([key.as_py()] * len(rank), pa.int64()), _long(pack(start, length, place))], ["rank", "run", "key", "at"])
 
-    return texts.select("key", F.col("text").cast("binary").alias("text"), "at").mapInArrow(task, "a long, b long, key long, start long")
+    return texts.select("key", F.col("text").cast("binary").alias("text"), "at").mapInArrow(task, "rank long, run long, key long, at long")
+
+
+def settle(runs_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated runs, runs to split) of (rank, run, key, at).
+
+    Of equal runs all but the first are repeated.  The first of each is to be split if
+    other runs share its rank.
+    """
+    first = stash(runs_.groupBy("rank", "run").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")))
+    again = runs_.join(first.where("n > 1").select("rank", "run", "first"), ["rank", "run"])
+    # equal places (rows of one id) are not earlier than one another
+    again = again.where(F.struct("key", F.shiftright("at", 14)) > F.struct("first.key", F.shiftright("first.at", 14))).select("key", "at")
+    several = first.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
+    return again, first.join(several, "rank", "left_semi").select("first.key", "first.at").groupBy("key").agg(F.collect_set("at").alias("at"))
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """Runs of repeated windows in ``rows`` (key, text): (key, at) with at = start * 128 + length."""
+    """Runs of repeated windows in ``rows`` (key, text): (key, at) with start, length and place packed in at."""
     often = place_ranks(rows).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
     found = stash(all_runs(rows).join(often.hint("shuffle_hash"), "rank", "left_semi"))
-    first = found.groupBy("rank", "run").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n"))
-    first = stash(first)
-    again = found.join(first.where("n > 1").select("rank", "run", "first"), ["rank", "run"])
-    # the first of a rank may itself be found twice where ids repeat: equal places are not earlier ones
-    again = again.where(F.struct("key", F.shiftright("at", 7)) > F.struct("first.key", F.shiftright("first.at", 7))).select("key", "at")
-    several = first.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
-    some = first.join(several, "rank", "left_semi").select("first.key", "first.at").groupBy("key").agg(F.collect_set("at").alias("at"))
-    single = stash(windows_of(rows.join(some.hint("shuffle_hash"), "key")))
-    early = single.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    late = single.join(early, ["a", "b"]).where(F.struct("key", "start") > F.col("first")).select("key", (F.col("start") * 128 + 1).alias("at"))
-    return again.union(late)
+    again, parts = settle(found)
+    texts = stash(rows.join(parts.hint("shuffle_hash"), "key"))
+    short = stash(split_runs(texts, short_runs))
+    more, parts = settle(short)
+    single = stash(split_runs(texts.drop("at").join(parts.hint("shuffle_hash"), "key"), single_runs))
+    return again.union(more).union(settle(single)[0])
 
 
 def cut(raw: bytes, packed: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
@@ -160,7 +196,7 @@ def cut(raw: bytes, packed: np.ndarray) -> tuple[int, int, list[tuple[int, int]]
     if not len(packed):
         return 0, 0, [(0, len(raw))]
     packed = np.sort(packed)
-    start, end = packed >> 7, (packed >> 7) + (packed & 127) - 1 + LENGTH
+    start, end = packed >> 14, (packed >> 14) + (packed >> 7 & 127) - 1 + LENGTH
     end = np.maximum.accumulate(end)
     new = np.concatenate(([True], start[1:] > end[:-1]))
     a, b = start[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]
@@ -191,7 +227,7 @@ def dedup_substrings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
             for key, text, at in zip(*batch.columns, strict=True):
                 raw = text.as_py()
                 packed = np.array(at.values.to_numpy(zero_copy_only=False), np.int64) if at.is_valid else np.zeros(0, np.int64)
-                packed = packed[(packed >> 7) + (packed & 127) - 1 + LENGTH <= len(raw)]
+                packed = packed[(packed >> 14) + (packed >> 7 & 127) - 1 + LENGTH <= len(raw)]
                 removed, spans, stay = cut(raw, packed)
                 kept = b"".join(raw[a:b] for a, b in stay)
                 key = key.as_py()
