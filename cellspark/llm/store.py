@@ -28,6 +28,8 @@ def stash(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes a finished shuffle's files once the driver collects its plan as garbage
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

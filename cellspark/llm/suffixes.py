@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprints import grams
+from .fingerprints import grams, ladder
 from .store import stash
 from .words import blocks, mix
 
@@ -39,13 +39,12 @@ _PLACE = 26
 _U = np.uint64
 
 
-def rank24(raw: np.ndarray) -> np.ndarray:
-    h16, h8 = grams(raw, 16), grams(raw, 8)
-    n = len(raw) - GRAM + 1
-    return mix(h16[:n] * _U(0x9FB21C651E98DF25) + h8[16 : 16 + n])
+def rank24(steps: dict[int, np.ndarray]) -> np.ndarray:
+    n = len(steps[8]) - 16
+    return mix(steps[16][:n] * _U(0x9FB21C651E98DF25) + steps[8][16:])
 
 
-def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(raw: np.ndarray, off: np.ndarray, steps: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
     """(row, start, length, rank of the place, place - start) of each run in the block.
 
     start is counted from the block's first byte.
@@ -54,7 +53,7 @@ def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, _U), none
-    rank = rank24(raw)
+    rank = rank24(steps)
     place = max(_PLACE, int(len(raw)).bit_length())
     key = rank & ~_U(2**place - 1) | np.arange(len(rank), dtype=_U)
     span, size = LENGTH - GRAM + 1, 1
@@ -79,9 +78,8 @@ def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, start, stop - start, rank[at[start]], at[start] - start
 
 
-def run_ranks(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Ranks of the bytes that a run's windows cover, from three ranks of 64 bytes."""
-    h = grams(raw, 64)
+def run_ranks(h: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Ranks of the bytes that a run's windows cover, from three of the ranks ``h`` of 64 bytes."""
     size = length + LENGTH - 1
     out = h[start] * _U(0x9FB21C651E98DF25) + h[start + (size - 64) // 2]
     out = (out ^ (out >> _U(31))) * _U(0xD6E8FEB86659FD93) + h[start + size - 64]
@@ -103,7 +101,7 @@ def short_runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np
     core = at - SHORT * step
     shared = mix(h[core] * _U(0x9FB21C651E98DF25) + h[core + LENGTH - SHORT + 1 - 64] + step.astype(_U))
     size = last - first + 1
-    return shared, run_ranks(raw, first, size, at - first), first, size, at - first
+    return shared, run_ranks(h, first, size, at - first), first, size, at - first
 
 
 def single_runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -129,7 +127,7 @@ def place_ranks(rows: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, off in blocks(batch.column(1)):
-                rank, n = np.unique(runs(raw, off)[3], return_counts=True)
+                rank, n = np.unique(runs(raw, off, ladder(raw, 16))[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(rank), pa.array(n, pa.int32())], ["rank", "n"])
 
     return rows.mapInArrow(task, "rank long, n int")
@@ -142,9 +140,10 @@ def all_runs(rows: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for top, raw, off in blocks(batch.column(1)):
-                row, start, length, rank, place = runs(raw, off)
+                steps = ladder(raw, 64)
+                row, start, length, rank, place = runs(raw, off, steps)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([_long(rank), _long(run_ranks(raw, start, length, place)), _long(ids[top + row]), _long(pack(start - off[row], length, place))], ["rank", "run", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([_long(rank), _long(run_ranks(steps[64], start, length, place)), _long(ids[top + row]), _long(pack(start - off[row], length, place))], ["rank", "run", "key", "at"])
 
     return rows.mapInArrow(task, "rank long, run long, key long, at long")
 
@@ -165,16 +164,24 @@ def split_runs(texts: DataFrame, how) -> DataFrame:
     return texts.select("key", F.col("text").cast("binary").alias("text"), "at").mapInArrow(task, "rank long, run long, key long, at long")
 
 
+def firsts(runs_: DataFrame) -> DataFrame:
+    return runs_.groupBy("rank", "run").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n"))
+
+
+def repeats(runs_: DataFrame, first: DataFrame) -> DataFrame:
+    again = runs_.join(first.where("n > 1").select("rank", "run", "first"), ["rank", "run"])
+    # equal places (rows of one id) are not earlier than one another
+    return again.where(F.struct("key", F.shiftright("at", 14)) > F.struct("first.key", F.shiftright("first.at", 14))).select("key", "at")
+
+
 def settle(runs_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeated runs, runs to split) of (rank, run, key, at).
 
     Of equal runs all but the first are repeated.  The first of each is to be split if
     other runs share its rank.
     """
-    first = stash(runs_.groupBy("rank", "run").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")))
-    again = runs_.join(first.where("n > 1").select("rank", "run", "first"), ["rank", "run"])
-    # equal places (rows of one id) are not earlier than one another
-    again = again.where(F.struct("key", F.shiftright("at", 14)) > F.struct("first.key", F.shiftright("first.at", 14))).select("key", "at")
+    first = stash(firsts(runs_))
+    again = repeats(runs_, first)
     several = first.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
     return again, first.join(several, "rank", "left_semi").select("first.key", "first.at").groupBy("key").agg(F.collect_set("at").alias("at"))
 
@@ -188,7 +195,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     short = stash(split_runs(texts, short_runs))
     more, parts = settle(short)
     single = stash(split_runs(texts.drop("at").join(parts.hint("shuffle_hash"), "key"), single_runs))
-    return again.union(more).union(settle(single)[0])
+    return again.union(more).union(repeats(single, firsts(single)))
 
 
 def cut(raw: bytes, packed: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
