@@ -30,7 +30,17 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     # Spark deletes a finished shuffle's files once the driver collects its plan as garbage
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables made by ``stash`` that nothing reads any more."""
+    for df in stashed:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:

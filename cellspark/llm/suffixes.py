@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import grams, ladder
-from .store import stash
+from .store import discard, stash
 from .words import blocks, mix
 
 LENGTH = 100
@@ -175,27 +175,28 @@ def repeats(runs_: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def settle(runs_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated runs, runs to split) of (rank, run, key, at).
+    """(repeated runs, runs to split) of the stashed (rank, run, key, at), which is discarded.
 
     Of equal runs all but the first are repeated.  The first of each is to be split if
     other runs share its rank.
     """
     first = stash(firsts(runs_))
-    again = repeats(runs_, first)
+    again = stash(repeats(runs_, first))
     several = first.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
-    return again, first.join(several, "rank", "left_semi").select("first.key", "first.at").groupBy("key").agg(F.collect_set("at").alias("at"))
+    split = stash(first.join(several, "rank", "left_semi").select("first.key", "first.at").groupBy("key").agg(F.collect_set("at").alias("at")))
+    discard(runs_, first)
+    return again, split
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """Runs of repeated windows in ``rows`` (key, text): (key, at) with start, length and place packed in at."""
     often = place_ranks(rows).groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1").select("rank")
-    found = stash(all_runs(rows).join(often.hint("shuffle_hash"), "rank", "left_semi"))
-    again, parts = settle(found)
-    texts = stash(rows.join(parts.hint("shuffle_hash"), "key"))
-    short = stash(split_runs(texts, short_runs))
-    more, parts = settle(short)
-    single = stash(split_runs(texts.drop("at").join(parts.hint("shuffle_hash"), "key"), single_runs))
-    return again.union(more).union(repeats(single, firsts(single)))
+    again, parts = settle(stash(all_runs(rows).join(often.hint("shuffle_hash"), "rank", "left_semi")))
+    more, shorter = settle(stash(split_runs(rows.join(parts.hint("shuffle_hash"), "key"), short_runs)))
+    single = stash(split_runs(rows.join(shorter.hint("shuffle_hash"), "key"), single_runs))
+    late = stash(repeats(single, firsts(single)))
+    discard(single, parts, shorter)
+    return again.union(more).union(late)
 
 
 def cut(raw: bytes, packed: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
