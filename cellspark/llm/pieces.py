@@ -231,36 +231,55 @@ class Encoder:
 
     def __init__(self, table: Table, known: dict[str, tuple[int, ...]]):
         self.table, self.known, self.more = table, known, {}
+        #: what a piece stands for; a byte beyond ASCII needs its neighbours
+        self.plain = [x if isinstance(x, str) else chr(x) if isinstance(x, int) and x < 128 else "" for x in table.text]
+        self.high = np.array([isinstance(x, int) and x >= 128 for x in table.text])
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        if not text:
+            return out
         known, more = self.known, self.more
-        for word in WORD.findall(marked(text)):
+        spaces = ""  # marks before a word beyond its own
+        for bare in text.replace(SPACE, " ").split(" "):
+            if not bare:
+                spaces += SPACE
+                continue
+            word = spaces + SPACE + bare
             ids = known.get(word) or more.get(word)
             if ids is None:
                 ids = path(word, self.table)
-                if len(more) > 300_000:
+                if len(more) > 150_000:
                     more.clear()
                 more[word] = ids
             out += ids
-        return out
+            spaces = ""
+        return out + list(path(spaces, self.table)) if spaces else out
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = ids[(ids >= 0) & (ids < len(self.plain))]
+        if self.high[ids].any():
+            return self.decode_bytes(ids.tolist())
+        return self.unmarked("".join(map(self.plain.__getitem__, ids.tolist())))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode_bytes(self, ids: list[int]) -> str:
+        """The same for texts with characters in pieces of single bytes."""
         out, raw = [], bytearray()
-        text = self.table.text
         for i in ids:
-            piece = text[i] if 0 <= i < len(text) else None
+            piece = self.table.text[i]
             if isinstance(piece, int):
                 raw.append(piece)
-                continue
-            if raw:
+            elif piece:
                 out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if piece:
+                raw.clear()
                 out.append(piece)
         out.append(raw.decode("utf-8", "replace"))
-        joined = "".join(out).replace(SPACE, " ")
-        return joined[1:] if joined.startswith(" ") else joined
+        return self.unmarked("".join(out))
+
+    @staticmethod
+    def unmarked(text: str) -> str:
+        text = text.replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def _with(df: DataFrame, task, **new: T.DataType) -> DataFrame:
@@ -303,7 +322,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(table.value, {})
         for batch in batches:
-            text = [encoder.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in batch.column(place)]
+            text = [encoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
 
     return _with(rows, task, decoded=T.StringType())
