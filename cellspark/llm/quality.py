@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BY_LETTER, blocks, hash_spans, lower, mix, table, windows, words
+from .words import BY_LETTER, blocks, hash_spans, lower, mix, table, words
 
 DIMS = 1 << 17
 #: The model is fitted on about so many labelled documents, chosen by a hash of the text.
 SAMPLE = 8000
-STEPS, RATE, RIDGE = 150, 0.1, 2e-4
+STEPS, RATE, RIDGE = 200, 0.05, 2e-2
+#: Features of fewer training documents say more of those documents than of grades.
+LEAST_DOCS = 5
 #: Grades: toxic, poor, good.
 GRADES = 3
 #: Kept: documents whose probability of a grade above poor is at least this.
@@ -47,30 +49,35 @@ def shapes(raw: np.ndarray, off: np.ndarray, count: np.ndarray, distinct: np.nda
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct feature numbers of each row: words, word pairs, shapes."""
+    """Sorted distinct feature numbers of each row: words and shapes."""
     low = lower(raw)
     starts, ends, rows = words(low, off, BY_LETTER)
     hashes = hash_spans(low, starts, ends, seed=32)
-    pairs = windows(hashes, 2, seed=33)
     count = np.diff(rows)
     alone = [np.unique(hashes[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
     shape = shapes(raw, off, count, np.array([len(x) for x in alone]))
     # five copies of a shape feature under hashes of their own: they weigh more against many words
     out = []
     for i, x in enumerate(alone):
-        two = pairs[rows[i] : max(rows[i], rows[i + 1] - 1)]
-        out.append(np.unique(np.concatenate((x, np.unique(two), mix(shape[i, :, None] + np.arange(5, dtype=_U)).ravel())) & _U(DIMS - 1)).astype(np.int32))
+        out.append(np.unique(np.concatenate((x, mix(shape[i, :, None] + np.arange(5, dtype=_U)).ravel())) & _U(DIMS - 1)).astype(np.int32))
     return out
 
 
+def only(rows: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+    """Known features of each row; a row without any stands on feature 0."""
+    none = np.zeros(1, np.int32)
+    return [x if len(x := r[known[r]]) else none for r in rows]
+
+
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, known: np.ndarray):
+        self.weights, self.thresholds, self.known = weights, thresholds, known
 
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
         """P(grade > k) of each row, k = 0 ... GRADES - 2."""
         if not rows:
             return np.zeros((0, GRADES - 1))
+        rows = only(rows, self.known)
         at = np.concatenate(rows)
         first = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
         n = np.array([len(r) for r in rows], np.float64)
@@ -82,7 +89,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
     """Full-batch Adam on the mean log likelihood with a ridge; thresholds stay ordered by construction."""
     weights, free = np.zeros(DIMS), np.array([-2.0, 0.5])  # first threshold, log of the gap
     if not len(rows):
-        return Model(weights, np.array([-2.0, -2.0 + np.exp(0.5)]))
+        return Model(weights, np.array([-2.0, -2.0 + np.exp(0.5)]), weights > 0)
+    known = np.bincount(np.concatenate(rows), minlength=DIMS) >= LEAST_DOCS
+    rows = only(rows, known)
     at = np.concatenate(rows)
     size = np.array([len(r) for r in rows])
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -107,8 +116,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
         for x, g, a, b in ((weights, grad, m, v), (free, d_free, fm, fv)):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            x -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Model(weights, np.array([free[0], free[0] + np.exp(free[1])]))
+            x -= RATE * (1 - step / (steps + 1)) * (1 if x is weights else 4) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    return Model(weights, np.array([free[0], free[0] + np.exp(free[1])]), known)
 
 
 def graded(labels: DataFrame) -> DataFrame:
