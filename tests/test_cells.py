@@ -35,7 +35,7 @@ def test_assignment_beats_greedy(spark):
 @pytest.mark.parametrize("seed", range(30))
 def test_assignment_is_optimal(seed):
     r = np.random.default_rng(seed)
-    n, m = r.integers(1, 6, 2)
+    n, m = r.integers(1, 6, 2).tolist()
     c = r.random((n, m)).round(1)
     got = sum(c[i, j] for i, j in matching.hungarian(c))
     small, large = min(n, m), max(n, m)
