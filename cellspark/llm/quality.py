@@ -17,8 +17,8 @@ from .words import BY_LETTER, blocks, hash_spans, lower, mix, table, words
 
 DIMS = 1 << 17
 #: The model is fitted on about so many labelled documents, chosen by a hash of the text.
-SAMPLE = 8000
-STEPS, RATE, RIDGE = 200, 0.05, 2e-2
+SAMPLE = 6000
+STEPS, RATE, RIDGE = 300, 0.1, 2e-2
 #: Features of fewer training documents say more of those documents than of grades.
 LEAST_DOCS = 5
 #: Grades: toxic, poor, good.
