@@ -38,10 +38,13 @@ def hull_area(rows: np.ndarray, cols: np.ndarray) -> float:
     """Area of the convex hull of the pixels' unit squares."""
     points = np.unique(np.concatenate([np.stack((rows + a, cols + b), 1) for a in (-0.5, 0.5) for b in (-0.5, 0.5)]), axis=0)
 
+    def turn(a, b, c):
+        return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
     def chain(p):
         out: list[np.ndarray] = []
         for x in p:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], x - out[-1]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], x) <= 0:
                 out.pop()
             out.append(x)
         return out[:-1]
