@@ -14,7 +14,6 @@ not what the model encodes; there the fold merges neighbours, best edge first.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,8 @@ SPACE = "▁"
 LEXICON, LEXICON_CHARS = 30_000, 48
 #: Characters that no piece covers cost this much more than the worst piece.
 UNKNOWN = 10.0
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words and parts of words that a task remembers at most.
+WORDS, PARTS = 250_000, 250_000
 
 
 class Table:
@@ -54,6 +54,7 @@ class Table:
                 self.ids[piece], self.scores[piece], self.text[i] = i, model.get_score(i), piece
         self.ranks = {p: -s for p, s in self.scores.items()}
         self.longest = max(map(len, self.ids))
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: Scores of a BPE model are 0, -1, -2, ...
         self.merges = all(s == round(s) for s in self.scores.values())
         self.worst = min(self.scores.values()) - UNKNOWN
@@ -149,9 +150,9 @@ def path(word: str, table: Table) -> tuple[int, ...]:
 
 def frequent_words(texts: DataFrame, most: int = LEXICON) -> DataFrame:
     """(word) of the most frequent words of (text), at most ``most``: those of at least some count."""
-    mark = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    words = texts.where("length(text) > 0").select(F.explode(F.regexp_extract_all(mark, F.lit(WORD.pattern), F.lit(0))).alias("word"))
-    counts = words.where(F.length("word") <= LEXICON_CHARS).groupBy("word").count()
+    bare = texts.where("length(text) > 0").select(F.explode(F.split(F.translate("text", SPACE, " "), " ")).alias("bare"))
+    counts = bare.where(F.length("bare").between(1, LEXICON_CHARS - 1)).groupBy("bare").count()
+    counts = counts.select(F.concat(F.lit(SPACE), "bare").alias("word"), "count")
     # counts of counts: a few thousand rows however large the corpus
     level = F.when(F.col("count") < 1000, F.col("count")).otherwise(1000 * F.floor(F.log2(F.col("count"))))
     counts = stash(counts.withColumn("level", level).where("level > 1"))
@@ -219,42 +220,77 @@ def merged(grouped: DataFrame) -> DataFrame:
     return whole.select("word", F.flatten(ids).alias("ids"))
 
 
-def lexicon(texts: DataFrame, table: Table, most: int = LEXICON) -> dict[str, tuple[int, ...]]:
-    """The encoded frequent words of (text); at most ``most`` rows come to the driver."""
+def lexicon(texts: DataFrame, table: Table, most: int = LEXICON) -> dict[str, bytes]:
+    """The frequent words of (text), without their mark, and their ids as int32; at most ``most`` rows come to the driver."""
     spark = texts.sparkSession
     edges = lattice(frequent_words(texts, most), spark, table)
-    return {r[0]: tuple(r[1]) for r in (merged if table.merges else viterbi)(edges).toLocalIterator()}
+    return {r[0][1:]: np.array(r[1], np.int32).tobytes() for r in (merged if table.merges else viterbi)(edges).toLocalIterator()}
+
+
+def cuts(word: str, pairs: set[str]) -> list[str]:
+    """The word cut between characters that stand side by side in no piece.
+
+    No edge of the lattice spans such a place, so the parts' encodings are the word's.
+    """
+    at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+    return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
+
+
+class Parts(dict):
+    """Ids of parts of words as int32, computed when first asked for."""
+
+    def __init__(self, table: Table):
+        self.table = table
+
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(path(part, self.table), np.int32).tobytes()
+        if len(self) < PARTS and len(part) <= LEXICON_CHARS:
+            self[part] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of words after one space as int32: the lexicon's, others by their parts."""
+
+    def __init__(self, known: dict[str, bytes], table: Table):
+        super().__init__(known)
+        self.parts, self.most, self.table = Parts(table), len(known) + WORDS, table
+
+    def __missing__(self, bare: str) -> bytes:
+        ids = self.marked(SPACE + bare)
+        if len(self) < self.most and len(bare) <= LEXICON_CHARS:
+            self[bare] = ids
+        return ids
+
+    def marked(self, word: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, cuts(word, self.table.pairs)))
 
 
 class Encoder:
     """Encodes and decodes texts with a lexicon, and a bounded memory of other words."""
 
-    def __init__(self, table: Table, known: dict[str, tuple[int, ...]]):
-        self.table, self.known, self.more = table, known, {}
+    def __init__(self, table: Table, known: dict[str, bytes]):
+        self.table, self.words = table, Words(known, table)
         #: what a piece stands for; a byte beyond ASCII needs its neighbours
         self.plain = [x if isinstance(x, str) else chr(x) if isinstance(x, int) and x < 128 else "" for x in table.text]
         self.high = np.array([isinstance(x, int) and x >= 128 for x in table.text])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return out
-        known, more = self.known, self.more
-        spaces = ""  # marks before a word beyond its own
-        for bare in text.replace(SPACE, " ").split(" "):
-            if not bare:
+            return np.zeros(0, np.int32)
+        bare = text.replace(SPACE, " ").split(" ")
+        if "" not in bare:
+            return np.frombuffer(b"".join(map(self.words.__getitem__, bare)), np.int32)
+        out, spaces = [], ""  # marks before a word beyond its own
+        for word in bare:
+            if not word:
                 spaces += SPACE
                 continue
-            word = spaces + SPACE + bare
-            ids = known.get(word) or more.get(word)
-            if ids is None:
-                ids = path(word, self.table)
-                if len(more) > 150_000:
-                    more.clear()
-                more[word] = ids
-            out += ids
+            out.append(self.words.marked(spaces + SPACE + word) if spaces else self.words[word])
             spaces = ""
-        return out + list(path(spaces, self.table)) if spaces else out
+        if spaces:
+            out.append(self.words.marked(spaces))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         ids = ids[(ids >= 0) & (ids < len(self.plain))]
@@ -289,6 +325,26 @@ def _with(df: DataFrame, task, **new: T.DataType) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def _coded(docs: DataFrame, model: str, most: int, finish, **new: T.DataType) -> DataFrame:
+    """``docs`` through tasks that encode its text and hand each slice, its texts and ids to ``finish``."""
+    table = Table(model)
+    known = lexicon(docs.select(F.col("text").cast("string").alias("text")), table, most)
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(table, known))  # a process's tasks share what it remembers
+    place = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                rows = batch.slice(i, 500)
+                texts = rows.column(place).to_pylist()
+                ids = [None if t is None else encoder.encode(t) for t in texts]
+                more = [pa.array(ids, pa.list_(pa.int32())), pa.array([0 if x is None else len(x) for x in ids], pa.int64()), *finish(encoder, texts, ids)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*batch.schema.names, *new])
+
+    return _with(docs, task, **new)
+
+
 def encode(docs: DataFrame, model: str = MODEL, most: int = LEXICON) -> DataFrame:
     """``docs`` with ids (array of int) and n_tokens of its text.
 
@@ -298,19 +354,20 @@ def encode(docs: DataFrame, model: str = MODEL, most: int = LEXICON) -> DataFram
     ``docs`` are replaced; all rows stay, repeated ones too.
     """
     docs = docs.drop("ids", "n_tokens")
-    table = Table(model)
-    known = docs.sparkSession.sparkContext.broadcast((table, lexicon(docs.select(F.col("text").cast("string").alias("text")), table, most)))
-    place = docs.columns.index("text")
+    return _coded(docs, model, most, lambda encoder, texts, ids: [], ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType())
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*known.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                ids = [None if t is None else np.array(encoder.encode(t), np.int32) for t in rows.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([0 if x is None else len(x) for x in ids], pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
 
-    return _with(docs, task, ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType())
+def round_trip(docs: DataFrame, model: str = MODEL, most: int = LEXICON) -> DataFrame:
+    """``encode``, and round_trip: whether decoding the ids gives the text again (null: true).
+
+    The task that encodes a text decodes it too, so that texts pass to Python once.
+    """
+    docs = docs.drop("ids", "n_tokens", "round_trip")
+
+    def same(encoder, texts, ids):
+        return [pa.array([t is None or encoder.decode(x) == t for t, x in zip(texts, ids, strict=True)], pa.bool_())]
+
+    return _coded(docs, model, most, same, ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType(), round_trip=T.BooleanType())
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -184,6 +184,21 @@ def test_pieces_equal_the_library(docs, none):
     for r in rows:
         assert r.decoded == r.text and (r.ids is None if r.text is None else r.ids == lib.encode(r.text))
     assert pieces.encode(none).count() == 0
+    assert {r.round_trip for r in pieces.round_trip(docs).collect()} == {True} and pieces.round_trip(none).count() == 0
+
+
+def test_pieces_of_odd_spacing_and_long_words(spark):
+    """Cut words, runs of spaces, and words beyond what a task remembers."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r = random.Random(8)
+    texts = [" two  spaces   here ", "   ", "tabs\tand\nlines\n\nagain", "a" * 3000, "x.y,z;(w)--v", "naïve ÜBER 漢字テスト 🙂🙂", ". " * 50]
+    texts += ["".join(r.choice("abcdeé .,\n-Aß漢") for _ in range(200)) for _ in range(60)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for most in (0, 50):
+        got = {x.doc_id: x for x in pieces.round_trip(table, most=most).collect()}
+        assert all(got[k].ids == lib.encode(t) and got[k].round_trip for k, t in enumerate(texts))
 
 
 def test_viterbi_against_brute_force(spark):
