@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stash(signatures(rows))
     same = ["set_a", "set_b", "n"]
-    least = signed.where("n > 0").groupBy(*same).agg(F.min("key").alias("class"))
+    # a table of its own: joined to an aggregate in the same stage, a large group of copies could not be split
+    least = stash(signed.where("n > 0").groupBy(*same).agg(F.min("key").alias("class")))
     # the row of the smallest id stands for its class; ids that repeat may give more than one
     classes = signed.join(least, [*same]).where("key = class").select("key", "n", "set_a", "bands", "bits").dropDuplicates(["key", "set_a"])
     classes = stash(classes)
