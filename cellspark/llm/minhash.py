@@ -25,12 +25,12 @@ from .store import components, stash
 from .words import BY_SPACE, blocks, hash_spans, lower, mix, table, windows, words
 
 SHINGLE = 5
-#: Linked from this share of common shingles on: numerator and denominator.
+#: Linked from this share of common shingles on, unless the caller says otherwise: numerator and denominator.
 LINK = (85, 100)
 BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
-#: Shares of equal bits below this are no candidates: six standard deviations under LINK.
-SLACK = 0.24
+#: Estimates so many standard deviations under the threshold are no candidates.
+DEVIATIONS = 6.3
 #: Bytes of shingle sets in a block of a family.
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
@@ -122,8 +122,15 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, SIGNATURE)
 
 
-def enough(common, na, nb):
-    return LINK[1] * common >= LINK[0] * (na + nb - common)
+def enough(common, na, nb, link: tuple[int, int] = LINK):
+    return link[1] * common >= link[0] * (na + nb - common)
+
+
+def least_estimate(link: tuple[int, int]) -> float:
+    """The smallest estimate that leaves a pair at the threshold possible."""
+    chance = 0.5**BITS
+    equal = chance + (1 - chance) * link[0] / link[1]
+    return link[0] / link[1] - DEVIATIONS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -157,14 +164,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(a), len(b))
 
 
-def block_links(a: dict, b: dict) -> list[tuple[int, int]]:
+def block_links(a: dict, b: dict, link: tuple[int, int] = LINK) -> list[tuple[int, int]]:
     """Links between two blocks of a family that join parts not joined yet.
 
     A block has key, open (not linked by the hub), bits and set of its members.
     """
     wide = np.frombuffer(b"".join(a["bits"]), np.uint8).reshape(len(a["key"]), -1), np.frombuffer(b"".join(b["bits"]), np.uint8).reshape(len(b["key"]), -1)
     open_a, open_b = np.array(a["open"]), np.array(b["open"])
-    maybe = (similarity(*wide) >= LINK[0] / LINK[1] - SLACK) & (open_a[:, None] | open_b[None, :])
+    maybe = (similarity(*wide) >= least_estimate(link)) & (open_a[:, None] | open_b[None, :])
     if a["key"] == b["key"]:
         maybe &= np.tri(len(open_a), k=-1, dtype=bool)
     use_a, use_b = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
@@ -172,7 +179,7 @@ def block_links(a: dict, b: dict) -> list[tuple[int, int]]:
         return []
     sets_a, sets_b = ([np.frombuffer(x["set"][i], _U) for i in use] for x, use in ((a, use_a), (b, use_b)))
     common = overlaps(sets_a, sets_b)
-    sure = enough(common, np.array([len(s) for s in sets_a])[:, None], np.array([len(s) for s in sets_b])) & maybe[np.ix_(use_a, use_b)]
+    sure = enough(common, np.array([len(s) for s in sets_a])[:, None], np.array([len(s) for s in sets_b]), link) & maybe[np.ix_(use_a, use_b)]
     found = [(a["key"][use_a[i]], b["key"][use_b[j]]) for i, j in zip(*np.nonzero(sure), strict=True)]
     return forest(found)
 
@@ -213,7 +220,7 @@ def sets_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(task, schema)
 
 
-def hub_links(members: DataFrame) -> DataFrame:
+def hub_links(members: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """(a, b) of the members (key, set, hub, hub_set) that their hub is linked to."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,14 +228,14 @@ def hub_links(members: DataFrame) -> DataFrame:
             out = []
             for key, mine, hub, its in zip(*batch.columns, strict=True):
                 x, y = np.frombuffer(mine.as_buffer(), _U), np.frombuffer(its.as_buffer(), _U)
-                if enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                if enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), link):
                     out.append((hub.as_py(), key.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return members.select("key", "set", "hub", "hub_set").mapInArrow(task, "a long, b long")
 
 
-def family_links(blocks_: DataFrame) -> DataFrame:
+def family_links(blocks_: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """Links within families (family, block, members), left open by the hubs."""
     light = blocks_.select("family", "block", F.exists("members", lambda m: m["open"]).alias("open"))
     pair = light.alias("x").join(light.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.open") | F.col("y.open")))
@@ -242,13 +249,13 @@ def family_links(blocks_: DataFrame) -> DataFrame:
             out = []
             for left, right in zip(*batch.columns, strict=True):
                 a, b = ({n: [m[n].as_buffer() if n in ("bits", "set") else m[n].as_py() for m in side.values] for n in ("key", "open", "bits", "set")} for side in (left, right))
-                out += block_links(a, b)
+                out += block_links(a, b, link)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return both.mapInArrow(task, "a long, b long")
 
 
-def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def links(rows: DataFrame, classes: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that are linked."""
     keys = classes.select("key", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -264,18 +271,21 @@ def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     texts = rows.join(placed.select("key", "set_a", "n", "bits", "family", "block", "hub").hint("shuffle_hash"), "key").select("key", "set_a", "bits", "family", "block", "hub", "text")
     members = stash(sets_of(texts))
     hubs = members.where("key = hub").select("hub", F.col("set").alias("hub_set"))
-    first = stash(hub_links(members.where("key <> hub").join(hubs, "hub")).distinct())
+    first = stash(hub_links(members.where("key <> hub").join(hubs, "hub"), link).distinct())
     linked = first.select(F.col("b").alias("key"), F.lit(False).alias("open"))
     state = members.join(linked, "key", "left").withColumn("open", F.coalesce("open", F.col("key") != F.col("hub")))
     busy = state.where("open").select("family").distinct()
     fields = F.struct("key", "open", "bits", "set")
     grouped = stash(state.join(busy, "family", "left_semi").groupBy("family", "block").agg(F.collect_list(fields).alias("members")))
-    return first.union(family_links(grouped))
+    return first.union(family_links(grouped, link))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
+    ``link`` is the share of common shingles, as numerator and denominator, from which
+    on two texts are near copies.
+
     Null, empty and blank texts have no shingles and are linked with nothing; a text of
     fewer words than a shingle is one shingle.  Rows of equal sets are linked; repeated
     rows of one id share everything, kept included.  A null id counts as the smallest.
@@ -289,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the row of the smallest id stands for its class; ids that repeat may give more than one
     classes = signed.join(least, [*same]).where("key = class").select("key", "n", "set_a", "bands", "bits").dropDuplicates(["key", "set_a"])
     classes = stash(classes)
-    joined = components(links(rows, classes)).toDF("class", "component")
+    joined = components(links(rows, classes, link)).toDF("class", "component")
     out = signed.select("key", *same).join(least, same, "left").join(joined, "class", "left")
     out = out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("c"), "key")
     return out.select("doc_id", "n_shingles", F.when(F.col("c") != low, F.col("c")).alias("component_id"), (F.col("key") == F.col("c")).alias("kept"))

@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    """Keeps the document of smallest id of each group of near copies: 0.8 or more of their shingles in common."""
+    gone = minhash.near_duplicates(docs, (80, 100)).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

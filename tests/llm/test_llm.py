@@ -93,6 +93,30 @@ def test_minhash_links_what_the_hub_does_not(spark):
     assert {r.component_id for r in got} == {100} and sum(r.kept for r in got) == 1
 
 
+def test_near_dedup_stage_against_brute_force(spark):
+    """Pairs around 0.8, 0.85 and beyond: the stage links from 0.8 on."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(40):
+        base = prose(900 + k, 150).split()
+        rows.append((10 * k, " ".join(base)))
+        for j in (1, 2):
+            near = base.copy()
+            for p in range((k + j) % 6 + 1):
+                near[10 + 20 * p] = f"other{k}x{j}"
+            rows.append((10 * k + j, " ".join(near)))
+    sets, comp = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    shares = {(i, j): len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if i < j and i // 10 == j // 10}
+    assert sum(0.8 <= x < 0.85 for x in shares.values()) > 5
+    for _ in range(3):
+        for i, j in shares:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                comp[i] = comp[j] = min(comp[i], comp[j])
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()) == sorted(i for i in comp if comp[i] == i)
+
+
 def test_bit_similarity_is_close():
     a, b = (set(range(1000)), set(range(100, 1100)))
     sets = [np.unique(np.array(list(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in (a, b)]
