@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SAMPLE_DOCS = 400
 #: of which so many bytes become the dictionary.
 DICT_BYTES = 1 << 17
+#: Bytes of a slice of a text that is too long for its share of a dictionary.
+PIECE = 128
 LEVEL = 3
 #: Texts whose two best sizes are closer than this many bytes are rejected.
 NARROW = 1
@@ -33,30 +35,49 @@ def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
 
     Null or empty text and null lang teach nothing.  The sample is bounded and
     depends on the rows alone: a text counts if its hash lies under the share that
-    ``sample_docs`` are of its language.  Repeated texts fill a dictionary once.
+    ``sample_docs`` are of the distinct texts of its language, so that copies neither
+    shrink a dictionary nor fill it.
     """
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    hashed = F.xxhash64("text")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count_distinct(hashed)).collect()}
     if not counts:
         return {}
-    part = F.pmod(F.xxhash64("text"), F.lit(2**31)) / float(2**31)
+    part = F.pmod(hashed, F.lit(2**31)) / float(2**31)
     want = F.lit(False)
     for lang, n in sorted(counts.items()):
         want = want | ((F.col("lang") == lang) & (part < sample_docs / n))
     # no text gives more than it may fill of a dictionary
-    picked = rows.where(want).select("lang", F.substring("text", 1, dict_bytes // 16).alias("text")).distinct().limit(8 * sample_docs * len(counts)).collect()
-    out = {}
-    for lang in sorted(counts):
-        joined = b" ".join(sorted(letters(r.text) for r in picked if r.lang == lang))
-        if joined:
-            out[lang] = joined[:dict_bytes] if len(joined) < 2 * dict_bytes else _spread(joined, dict_bytes)
-    return out
+    picked = rows.where(want).select("lang", _sliced(F.col("text"), dict_bytes // 16).alias("text")).distinct().limit(8 * sample_docs * len(counts)).collect()
+    found = {lang: dictionary([letters(r.text) for r in picked if r.lang == lang], dict_bytes) for lang in sorted(counts)}
+    return {lang: d for lang, d in found.items() if d}
+
+
+def _sliced(text: Column, most: int) -> Column:
+    """The text, or 16 slices from all over it where it has more than ``most`` characters."""
+    size = most // 16
+    at = [(F.floor((F.length(text) - size) * i / 15) + 1).cast("int") for i in range(16)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *(F.substring(text, x, F.lit(size)) for x in at)))
+
+
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes: short texts whole, and slices from all over the longer ones, a like share of each."""
+    texts = sorted((t for t in texts if t.strip()), key=lambda t: (len(t), t))
+    out, left = [], size
+    for i, text in enumerate(texts):
+        share = min(len(text), max(0, left // (len(texts) - i) - 1))
+        out.append(_spread(text, share))
+        left -= share + 1
+    return b" ".join(out)
 
 
 def _spread(text: bytes, size: int) -> bytes:
-    """``size`` bytes in 64 pieces from all over the text."""
-    piece, step = size // 64, len(text) // 64
-    return b"".join(text[i * step : i * step + piece] for i in range(64))
+    """``size`` bytes in pieces of about ``PIECE`` bytes from all over the text."""
+    if len(text) <= size:
+        return text
+    n = max(1, size // PIECE)
+    piece = size // n
+    return b"".join(text[x : x + piece] for x in ((len(text) - piece) * (2 * i + 1) // (2 * n) for i in range(n)))
 
 
 class Classifier:

@@ -199,6 +199,17 @@ def test_language(spark, docs, none):
     assert langid.identify(none, model).count() == 0 and langid.train(none.withColumn("lang", F.lit("q"))) == {}
 
 
+def test_language_learns_in_spite_of_copies_and_from_whole_texts(spark):
+    copies = [(prose(k, 40), "aa") for k in range(3)] * 4000
+    others = [(f"schung keit ein {k} derung unge", "bb") for k in range(50)] + [("ung der keit " * 10, "bb")] * 20_000
+    far = [("x " * 60_000 + "endmark " * 2000, "cc")]
+    model = langid.train(spark.createDataFrame(copies + others + far, "text string, lang string"))
+    assert set(model) == {"aa", "bb", "cc"} and b"endmark" in model["cc"]
+    assert all(langid.letters(prose(k, 40)) in model["aa"] for k in range(3)) and model["bb"].count(b"derung") == 50
+    many = langid.dictionary([b"%05d " % k * 100 for k in range(400)], 1 << 17)
+    assert len(many) <= 1 << 17 and all(b"%05d" % k in many for k in range(400))
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
