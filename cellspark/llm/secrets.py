@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 
 from .store import stash
 
+#: A key's body: up to its END line; where that is missing, to the end of the base64 lines (line ends may be written as \n).
+#: No group in it is tried again once it has matched, so that the time follows the length and no stack grows.
+_TO_END = r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+_GAP, _BREAK = r"(?:[\s>\"',#*|]|\\[nrt])", r"(?:[\r\n]|\\[nr])"
+_LINES = rf"(?:{_GAP}*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?={_BREAK}))*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_BREAK}++[ \t]*+[A-Za-z0-9+/]++={{0,2}}+(?=[ \t]*+(?:{_BREAK}|[\"'`]|\z)))?+"
+
 #: kind: (pattern, group whose length is tested, least length).  The first three are the base kinds.
 RULES = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
-    "private": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "private": (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_LINES})", 0, 1),
     "forge": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "rules-1"
+RULE_VERSION = "rules-2"
 #: A text that this pattern doesn't find holds no finding of any rule.  It follows from the rules.
 TRIGGER = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}|-----BEGIN |gh[pousr]_|eyJ|xox[abprs]-"
 
