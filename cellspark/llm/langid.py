@@ -19,8 +19,8 @@ DICT_BYTES = 1 << 17
 #: Bytes of a slice of a text that is too long for its share of a dictionary.
 PIECE = 128
 LEVEL = 3
-#: Texts whose two best sizes are closer than this many bytes are rejected.
-NARROW = 1
+#: Texts whose second best size is less than this share above the best are rejected.
+NARROW = 0.015
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -100,7 +100,7 @@ class Classifier:
         best = int(np.argmin(sizes))
         second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + 8)
         margin = second - sizes[best]
-        return self.langs[best], 1.0 - 0.5 ** (margin / 2), margin < NARROW, margin
+        return self.langs[best], 1.0 - 0.5 ** (margin / 2), len(sizes) > 1 and margin < NARROW * sizes[best], margin
 
 
 SCHEMA = "lang_pred string, score double, rejected boolean, margin long"
@@ -111,8 +111,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     Reads nothing but the text, and all of it.  ``und`` with score 0, rejected: null or
     empty text, text without letters, or no dictionaries.  Rejected too: a margin
-    under ``NARROW`` bytes, ties between languages included (the first in order of
-    name is given).  Columns of these names in ``docs`` are replaced.
+    under ``NARROW`` of the best size, ties between languages included (the first in
+    order of name is given); where there is one language only, nothing is narrow.  Columns of these names in ``docs`` are replaced.
     """
     new = ["lang_pred", "score", "rejected", "margin"]
     docs = docs.drop(*new)

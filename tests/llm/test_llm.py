@@ -229,6 +229,18 @@ def test_language_learns_in_spite_of_copies_and_from_whole_texts(spark):
     assert len(many) <= 1 << 17 and all(b"%05d" % k in many for k in range(400))
 
 
+def test_language_rejects_narrow_margins():
+    r = random.Random(4)
+    stems = {"aa": ["lo", "mi", "que", "ción", "ar"], "bb": ["sch", "ung", "keit", "der", "ein"]}
+    say = lambda stems, n: " ".join("".join(r.choice(stems) for _ in range(r.randint(1, 3))) for _ in range(n))
+    model = {lang: langid.dictionary([langid.letters(say(stems[lang], 80)) for _ in range(60)], langid.DICT_BYTES) for lang in stems}
+    narrow = langid.Classifier(model)
+    assert not any(narrow.predict(say(stems[lang], 60))[2] for lang in stems for _ in range(40))
+    foreign = [narrow.predict(say(list("abcdefghiklmnopqrstu"), 300)) for _ in range(40)]
+    assert sum(x[2] for x in foreign) >= 36 and sum(x[2] and x[3] > 0 for x in foreign) >= 10  # more than ties
+    assert not langid.Classifier({"aa": model["aa"]}).predict("lomi que")[2]
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
