@@ -15,14 +15,17 @@ from .words import mix, table
 
 #: Bytes of a window, and how far around it no less probable one may lie.
 WINDOW, RADIUS = 64, 16
-#: One position in SPARSE is looked at; a hash of what stands there decides.
-SPARSE = 16
 #: Entropy of a usual window of text, in bits a byte: what is far from it is improbable.
 USUAL_BITS = 4.0
+#: Positions that are ranked at a time, and bytes of texts that are taken together.
+BLOCK, TOGETHER = 1 << 15, 1 << 19
 FILTER_BITS, FEATURES, HASHES = 2048, 160, 5
 _U = np.uint64
 _BYTE = table(11, 256)
-_CLOG = np.concatenate(([0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))))
+#: c * log2(c) for each count c of a byte in a window, in whole units of 2**-14 bits so that sums are exact.
+_UNIT = 1 << 14
+_CLOG = np.round(np.concatenate(([0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1)))) * _UNIT).astype(np.int64)
+_STEP = np.concatenate(([0], np.diff(_CLOG)))
 
 
 def ladder(raw: np.ndarray, top: int) -> dict[int, np.ndarray]:
@@ -48,51 +51,69 @@ def grams(raw: np.ndarray, n: int) -> np.ndarray:
     return ladder(raw, n)[n]
 
 
-def entropies(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Shannon entropy, in bits a byte, of the window at each position."""
-    out = np.empty(len(at))
-    for i in range(0, len(at), 1 << 15):
-        rows = np.sort(raw[at[i : i + (1 << 15), None] + np.arange(WINDOW)], axis=1, kind="stable")
-        new = np.ones(rows.shape, bool)
-        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-        where = np.flatnonzero(new)
-        runs = np.diff(np.append(where, rows.size))
-        first = np.searchsorted(where, np.arange(len(rows)) * WINDOW)
-        out[i : i + len(rows)] = np.log2(WINDOW) - np.add.reduceat(_CLOG[runs], first) / WINDOW
-    return out
+def entropies(raw: np.ndarray) -> np.ndarray:
+    """Shannon entropy of the window at each position, in bits times WINDOW * _UNIT.
+
+    One byte leaves and one comes from each window to the next: what that changes
+    follows from how often the one stands in the window after it, and the other
+    in the window before it.
+    """
+    ahead, behind = np.ones(len(raw), np.uint8), np.ones(len(raw), np.uint8)
+    for shift in range(1, WINDOW):
+        same = (raw[:-shift] == raw[shift:]).view(np.uint8)
+        ahead[:-shift] += same
+        behind[shift:] += same
+    total = np.empty(len(raw) - WINDOW + 1, np.int64)
+    total[0] = _CLOG[np.bincount(raw[:WINDOW])].sum()
+    total[1:] = _STEP[behind[WINDOW:]] - _STEP[ahead[:-WINDOW]]
+    return int(np.log2(WINDOW)) * WINDOW * _UNIT - np.cumsum(total)
+
+
+def selected(raw: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Feature hashes at the local maxima of rarity, 0 where there is none.
+
+    ``valid`` tells which windows of ``raw`` count; RADIUS positions at both ends are
+    surroundings only.
+    """
+    n = len(valid) - 2 * RADIUS
+    hashes = ladder(raw, WINDOW)
+    rare = np.abs(entropies(raw) - int(USUAL_BITS * WINDOW * _UNIT)).astype(_U)
+    # rarity first, then the hash of the place: no two windows nearby tie but equal ones, of which the first counts
+    rank = np.where(valid, (rare + _U(1)) << _U(40) | mix(hashes[8][: len(valid)]) >> _U(24), _U(0))
+    most = rank
+    for shift in (1, 2, 4, 8):
+        most = np.maximum(most[:-shift], most[shift:])
+    mine = rank[RADIUS : RADIUS + n]
+    best = (mine > most[:n]) & (mine >= most[RADIUS + 1 : RADIUS + 1 + n])
+    return np.where(best, mix(hashes[WINDOW][RADIUS : RADIUS + n]) | _U(1 << 63), _U(0))
+
+
+def features_of(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the selected windows of each text, in order of position.
+
+    Every window is ranked.  A text shorter than a window is one feature; an empty one
+    has none.
+    """
+    long = [t for t in texts if len(t) >= WINDOW]
+    size = np.array([len(t) for t in long], np.int64)
+    end = RADIUS + np.cumsum(size)
+    raw = np.frombuffer(b"".join((b"\0" * RADIUS, *long, b"\0" * (RADIUS + WINDOW))), np.uint8)
+    valid = np.zeros(len(raw), bool)
+    for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
+        valid[a : b - WINDOW + 1] = True
+    at, found, last = [], [], int(end[-1]) if long else 0
+    for a in range(RADIUS, last, BLOCK):
+        b = min(a + BLOCK, last)
+        got = selected(raw[a - RADIUS : b + RADIUS + WINDOW - 1], valid[a - RADIUS : b + RADIUS])
+        at.append(a + np.flatnonzero(got))
+        found.append(got[got > 0])
+    cuts = np.searchsorted(np.concatenate(at), end[:-1]) if long else []
+    parts = iter(np.split(np.concatenate(found), cuts) if long else [])
+    return [next(parts) if len(t) >= WINDOW else mix(np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")], _U)) if t else np.zeros(0, _U) for t in texts]
 
 
 def features(data: bytes) -> np.ndarray:
-    """64-bit hashes of the selected windows, in order of position.
-
-    A text shorter than a window is one feature; an empty one has none.
-    """
-    if len(data) < WINDOW:
-        return mix(np.array([int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")], _U)) if data else np.zeros(0, _U)
-    raw = np.frombuffer(data, np.uint8)
-    near = mix(grams(raw, 8)[: len(raw) - WINDOW + 1])
-    at = np.flatnonzero((near >> _U(60)) == 0)
-    if not len(at):
-        at = np.array([int(np.argmin(near))])
-    rare = np.abs(entropies(raw, at) - USUAL_BITS)
-    #: rarity first, then the hash of the place: no two windows nearby tie but equal ones
-    rank = (np.minimum(rare, 7.99) * 2**20).astype(_U) << _U(40) | near[at] & _U(2**40 - 1)
-    lo, hi = np.searchsorted(at, at - RADIUS), np.searchsorted(at, at + RADIUS, "right")
-    best = rank == np.array([rank[a:b].max() for a, b in zip(lo, hi, strict=True)]) if len(at) < 64 else rank == _spread_max(rank, lo, hi)
-    at = at[best]
-    whole = grams(raw, WINDOW)
-    return mix(whole[at])
-
-
-def _spread_max(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The maximum of rank[lo:hi] for each row; lo and hi never descend and are close."""
-    out = rank.copy()
-    for shift in range(1, int((hi - lo).max())):
-        back = np.arange(len(rank)) - shift >= lo
-        out[shift:] = np.where(back[shift:], np.maximum(out[shift:], rank[:-shift]), out[shift:])
-        fore = np.arange(len(rank)) + shift < hi
-        out[:-shift] = np.where(fore[:-shift], np.maximum(out[:-shift], rank[shift:]), out[:-shift])
-    return out
+    return features_of([data])[0]
 
 
 def filters(found: np.ndarray) -> np.ndarray:
@@ -133,18 +154,37 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.average(best, weights=na))
 
 
+def fingerprints(texts: list[str | None]) -> list[np.ndarray]:
+    return [filters(f) for f in features_of([(t or "").encode() for t in texts])]
+
+
 def fingerprint(text: str | bytes | None) -> np.ndarray:
     data = text.encode() if isinstance(text, str) else text or b""
     return filters(features(data))
 
 
+def groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """The rows in lists whose texts (the last value) have about TOGETHER characters at most, or of a single row."""
+    out, size = [], 0
+    for row in rows:
+        n = len(row[-1] or "") + WINDOW
+        if out and size + n > TOGETHER:
+            yield out
+            out, size = [], 0
+        out.append(row)
+        size += n
+    if out:
+        yield out
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row of ``docs`` (doc_id, text); null text as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(fingerprint(t.as_py())) for t in batch.column(1)], pa.string())], ["doc_id", "fingerprint"])
+        for group in groups((i.as_py(), t.as_py()) for batch in batches for i, t in zip(batch.column(0), batch.column(1), strict=True)):
+            found = [encode(f) for f in fingerprints([t for _, t in group])]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     return rows.mapInArrow(task, "doc_id long, fingerprint string")
 
@@ -189,29 +229,21 @@ def compare_in_order(docs: DataFrame) -> DataFrame:
     rows = rows.select("dealt.to", "dealt.extra", "key", "doc_id", "text").repartition(size + 1, "to").sortWithinPartitions("to", "extra", "key", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for row in pairs(batches):
-            out.append(row)
-            if len(out) == 500:
-                yield record(out)
-                out = []
-        if out:
-            yield record(out)
-
-    def pairs(batches):
         before = None
-        for batch in batches:
-            for to, extra, doc_id, text in zip(*(batch.column(i) for i in (0, 1, 3, 4)), strict=True):
-                to, extra, doc_id, text = to.as_py(), extra.as_py(), doc_id.as_py(), text.as_py()
-                now = (to, doc_id, text, fingerprint(text))
+        dealt = (tuple(batch.column(i)[k].as_py() for i in (0, 1, 3, 4)) for batch in batches for k in range(batch.num_rows))
+        for group in groups(dealt):
+            due = []
+            for (to, extra, doc_id, text), own in zip(group, fingerprints([r[-1] for r in group]), strict=True):
                 if before and before[0] == to:
-                    yield result(*before[1:], *now[2:])
+                    due.append((*before[1:], edited(before[2], text), own))
                 # after the first of the next range nothing of this one follows
-                before = None if extra else now
+                before = None if extra else (to, doc_id, text, own)
+            changed = iter(fingerprints([new for _, text, _, new, _ in due if new != text]))
+            out = [result(*row, row[2] if row[3] == row[1] else next(changed)) for row in due]
+            if out:
+                yield record(out)
 
-    def result(doc_id, text, own, following, next_own):
-        new = edited(text, following)
-        print_ = own if new == text else fingerprint(new)
+    def result(doc_id, text, own, new, next_own, print_):
         return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), encode(own), encode(print_), likeness(own, print_), likeness(own, next_own))
 
     def record(out):

@@ -204,6 +204,28 @@ def test_fingerprints(spark, docs, none):
     assert one.edited_sha256 == hashlib.sha256(b"abca").hexdigest()
 
 
+def test_fingerprints_rank_every_window():
+    """Against a plain count of each window: the features are the rarest windows within the radius, over all positions."""
+    r = random.Random(6)
+    texts = [prose(1, 30)[:100].encode(), prose(2, 800).encode(), bytes(r.randrange(256) for _ in range(500)), b"a" * 500, b"ab c" * 40, "é漢ü ".encode() * 30 + prose(3, 99).encode(), b"short", b"", prose(4, 12_000).encode()]
+    n = fingerprints.WINDOW
+    for text, got in zip(texts, fingerprints.features_of(texts), strict=True):
+        assert (got == fingerprints.features(text)).all()
+        if len(text) < n:
+            assert len(got) == len(text[:1])
+            continue
+        raw = np.frombuffer(text, np.uint8)
+        near = fingerprints.mix(fingerprints.grams(raw, 8)) >> np.uint64(24)
+        rank = []
+        for p in range(len(text) - n + 1):
+            entropy = 6 * n * fingerprints._UNIT - sum(int(fingerprints._CLOG[c]) for c in np.bincount(raw[p : p + n]) if c)
+            rank.append((abs(entropy - 4 * n * fingerprints._UNIT), int(near[p])))
+        best = [p for p, x in enumerate(rank) if all(x > y for y in rank[max(0, p - 16) : p]) and all(x >= y for y in rank[p + 1 : p + 17])]
+        assert best and (got == (fingerprints.mix(fingerprints.grams(raw, n))[best] | np.uint64(1 << 63))).all()
+    counts = np.unique(raw[:n], return_counts=True)[1] / n
+    assert abs(fingerprints.entropies(raw)[0] / n / fingerprints._UNIT + (counts * np.log2(counts)).sum()) < 1e-2
+
+
 def test_language(spark, docs, none):
     r = random.Random(3)
     stems = {"aa": ["lo", "mi", "que", "ción", "ar"], "bb": ["sch", "ung", "keit", "der", "ein"]}
