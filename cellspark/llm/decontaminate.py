@@ -4,9 +4,9 @@ Each task builds a suffix array over the words of its shard of documents and
 binary-searches every suffix of the benchmark items in it.  A suffix array entry
 that cannot match (its first three words start no test window) is left out before
 sorting, so the sort touches a small part of the corpus.  Documents never shuffle;
-the benchmark is sent out in blocks of at most ``BLOCK_WORDS`` words, so its
-broadcast has a fixed bound and a larger benchmark means more blocks, not a larger
-broadcast.
+the benchmark is sent out in blocks of at most ``BLOCK_WORDS`` words.  One broadcast
+has that bound, but all blocks pass through the driver, and driver and tasks hold them
+all: the benchmark as a whole must fit in memory.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Suffixes:
     a shorter one gives its whole sequence.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
         raw, off = b"", [0]
         texts = [(t or "").encode() for _, t in items]
@@ -44,7 +44,8 @@ class Suffixes:
         raw = lower(raw)
         starts, ends, rows = words(raw, off, BY_LETTER)
         self.hashes = hash_spans(raw, starts, ends)
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
+        self.start = rows[:-1]
         at, size, item, end = [], [], [], []
         for k, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True)):
             n = int(b - a)
@@ -101,15 +102,19 @@ def _bound(column: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarr
         high = np.where(open_ & ~right, mid, high)
 
 
-def match_block(raw: np.ndarray, off: np.ndarray, tests: list[Suffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray, list[str | None]]:
-    """Words, hit words, items with occurrences, and the longest match with its item, of each row."""
+def match_block(raw: np.ndarray, off: np.ndarray, tests: list[Suffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple | None]]:
+    """Words, hit words, items with occurrences, and the longest match, of each row.
+
+    A longest match is (-length, is nameless, item or "", place in the row, place in the
+    item); of several the least, places in words.
+    """
     n = len(off) - 1
     raw = lower(raw)
     starts, ends, rows = words(raw, off, BY_LETTER)
     hashes = hash_spans(raw, starts, ends)
     count = np.diff(rows)
     items: list[set[str]] = [set() for _ in range(n)]
-    longest, longest_item = np.zeros(n, np.int64), [None] * n
+    longest: list[tuple | None] = [None] * n
     marks = np.zeros(len(hashes) + 1, np.int64)
     row_end = np.repeat(rows[1:], count)
     for test in tests:
@@ -134,13 +139,14 @@ def match_block(raw: np.ndarray, off: np.ndarray, tests: list[Suffixes]) -> tupl
                 who = np.searchsorted(rows, found, "right") - 1
                 name = test.ids[test.item[w]]
                 for p, r in zip(found, who, strict=True):
-                    items[r].add(name)
-                    if size > longest[r] or size == test.window:
+                    if name is not None:
+                        items[r].add(name)
+                    if longest[r] is None or size >= -longest[r][0] or size == test.window:
                         length = extend(hashes, p, rows[r + 1], test.hashes, test.at[w], test.end[w], size)
-                        if length > longest[r] or length == longest[r] and name < longest_item[r]:
-                            longest[r], longest_item[r] = length, name
+                        now = (-length, name is None, name or "", int(p - rows[r]), int(test.at[w] - test.start[test.item[w]]))
+                        longest[r] = now if longest[r] is None else min(longest[r], now)
     hit = np.concatenate(([0], np.cumsum(np.cumsum(marks[:-1]) > 0)))
-    return count, hit[rows[1:]] - hit[rows[:-1]], items, longest, longest_item
+    return count, hit[rows[1:]] - hit[rows[:-1]], items, longest
 
 
 def extend(hashes, p, end, test, q, last, n) -> int:
@@ -150,7 +156,7 @@ def extend(hashes, p, end, test, q, last, n) -> int:
     return int(differ[0]) if len(differ) else max(n, most)
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_words long, longest_item string"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_words long, longest_item string, longest_at long, longest_item_at long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -160,7 +166,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     repeated items count once by id.  An empty benchmark, or items without words,
     hit nothing.  A document word is hit if it lies inside an occurrence of any
     ``window`` consecutive item words, or of a whole item that is shorter.
-    Repeated document rows each get a row.
+    An item whose id is null hits like any other but has no name: it is not among
+    ``items`` and not counted in ``n_items``.  ``longest_at`` and ``longest_item_at`` are
+    the places, in words from 0, where the longest match begins in the document and in
+    its item.  Repeated document rows each get a row.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
@@ -169,21 +178,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw, off in blocks(batch.column(1)):
-                n, hit, items, longest, item = match_block(raw, off, [t.value for t in tests])
+                n, hit, items, longest = match_block(raw, off, [t.value for t in tests])
                 names = [sorted(x) for x in items]
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(hit > 0), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(item, pa.string())],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_words", "longest_item"],
+                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(hit > 0), pa.array(names, pa.list_(pa.string())), pa.array([-x[0] if x else 0 for x in longest], pa.int64()), pa.array([None if not x or x[1] else x[2] for x in longest], pa.string()), *(pa.array([x[k] if x else None for x in longest], pa.int64()) for k in (3, 4))],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_words", "longest_item", "longest_at", "longest_item_at"],
                 )
 
     return docs.mapInArrow(task, SCHEMA)
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks of at most ``BLOCK_WORDS`` words (a longer item stands alone)."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").distinct().toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").distinct().toLocalIterator():
         n = len((row[1] or "").split()) + 1
         if block and size + n > BLOCK_WORDS:
             yield block

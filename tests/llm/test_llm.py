@@ -150,6 +150,17 @@ def test_decontamination(spark, docs, none):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, _ in edge_texts() if not got[i].contaminated}
 
 
+def test_decontamination_without_a_name_and_places(spark):
+    long, other = prose(1, 400).split(), prose(60, 40)
+    items = [(None, other), ("a", "lead in " + " ".join(long[100:130])), (None, " ".join(long[100:112]))]
+    rows = [(1, "some " + other), (2, " ".join(long)), (3, prose(61, 60)), (4, "of " + " ".join(long[100:111]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(docs, bench).collect()}
+    pick = lambda r: (r.contaminated, r.n_items, r.longest_words, r.longest_item, r.longest_at, r.longest_item_at)
+    assert [pick(got[i]) for i in (1, 2, 3, 4)] == [(True, 0, 40, None, 1, 0), (True, 1, 30, "a", 100, 2), (False, 0, 0, None, None, None), (True, 1, 11, "a", 1, 2)]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
+
+
 def base_spans(t):
     t, out = t or "", []
     for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
