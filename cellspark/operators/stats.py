@@ -161,14 +161,21 @@ def balanced_sample(df: DataFrame, key: str, most: int, seed: int, *ids: str) ->
     return df.withColumn("__rank", rank).where(F.col("__rank") <= min([most, *counts])).drop("__rank")
 
 
+def resampled_means(x: np.ndarray, draws: int, seed: int, most: int = 1 << 20) -> np.ndarray:
+    """Means of so many resamples, drawn in blocks of about ``most`` values; blocks change no draw."""
+    if not len(x):
+        return np.array([np.nan])
+    r, step = np.random.default_rng(seed), max(1, most // len(x))
+    return np.concatenate([x[r.integers(0, len(x), (min(step, draws - i), len(x)))].mean(1) for i in range(0, draws, step)])
+
+
 def bootstrap_means(df: DataFrame, keys: list[str], value: str, draws: int = 2000, seed: int = 43) -> DataFrame:
     """Mean and 2.5 and 97.5 percentiles of resampled means of each group of a few hundred rows."""
     import pandas as pd
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows[value].dropna().to_numpy(float)
-        r = np.random.default_rng(seed)
-        means = x[r.integers(0, len(x), (draws, len(x)))].mean(1) if len(x) else np.array([np.nan])
+        means = resampled_means(x, draws, seed)
         out = rows[keys].iloc[:1].copy()
         return out.assign(n_images=len(x), mean=x.mean() if len(x) else None, ci_lower=np.percentile(means, 2.5), ci_upper=np.percentile(means, 97.5))
 

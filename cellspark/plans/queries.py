@@ -198,17 +198,17 @@ def pca_scores(spark, sf_dir):
 
 def kmeans_labels(spark, sf_dir):
     e = phenotypes.spread(table(spark, sf_dir, "embeddings"), "embedding", 6)
-    return phenotypes.cluster(e, [f"f{i}" for i in range(6)], 3, restarts=3, order_by="f0", key="vec_id").select("vec_id", "phenotype_cluster")
+    return phenotypes.cluster(e, [f"f{i}" for i in range(6)], 3, order_by="f0", key="vec_id").select("vec_id", "phenotype_cluster")
 
 
 def logreg_cv(spark, sf_dir):
     e = phenotypes.spread(table(spark, sf_dir, "embeddings"), "embedding", 6).withColumn("label", F.col("label").cast("string")).withColumn("split_group", F.concat_ws("|", "label", (F.col("vec_id") % 20).cast("string")))
-    return phenotypes.grouped_cv(e, [f"f{i}" for i in range(6)], "label", "split_group", folds=2, models=("logistic",))
+    return phenotypes.grouped_cv(e, [f"f{i}" for i in range(6)], "label", "split_group")
 
 
 def bootstrap_means(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
-    return stats.bootstrap_means(o, ["o_orderpriority"], "v", draws=200)
+    return stats.bootstrap_means(o, ["o_orderpriority"], "v")
 
 
 QUERIES = {f.__name__: f for f in (

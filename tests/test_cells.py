@@ -129,3 +129,38 @@ def test_registered_queries_match_sql(spark):
         names = [x[0] for x in r.description]
         assert sorted(names) == cols
         assert got == sorted(tuple(str(x[names.index(c)]) for c in cols) for x in r.fetchall()), name
+
+
+def test_statistics_queries_do_the_whole_job(spark, monkeypatch):
+    import inspect
+
+    from cellspark.operators import phenotypes, stats
+    from cellspark.plans import queries
+
+    asked = {}
+    for module, name in ((stats, "bootstrap_means"), (phenotypes, "cluster"), (phenotypes, "grouped_cv")):
+        kept = inspect.signature(getattr(module, name))
+
+        def note(df, *args, kept=kept, name=name, **more):
+            found = kept.bind(df, *args, **more)
+            found.apply_defaults()
+            asked[name] = found.arguments
+            return df
+
+        monkeypatch.setattr(module, name, note)
+    queries.bootstrap_means(spark, "/root/testdata/sf0.001")
+    queries.logreg_cv(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(phenotypes, "cluster", lambda df, *args, **more: asked.update(restarts=more.get("restarts", 20)) or df.withColumn("phenotype_cluster", df.vec_id))
+    queries.kmeans_labels(spark, "/root/testdata/sf0.001")
+    assert asked["bootstrap_means"]["draws"] == 2000 and asked["restarts"] == 20
+    assert asked["grouped_cv"]["folds"] == 5 and set(asked["grouped_cv"]["models"]) == {"logistic", "forest"}
+
+
+def test_resampled_means_in_blocks_are_the_same():
+    import numpy as np
+
+    from cellspark.operators import stats
+
+    x = np.random.default_rng(1).normal(size=37)
+    whole = x[np.random.default_rng(43).integers(0, 37, (500, 37))].mean(1)
+    assert all((stats.resampled_means(x, 500, 43, most) == whole).all() for most in (1, 100, 1 << 20))
