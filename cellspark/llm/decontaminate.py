@@ -1,12 +1,14 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each task builds a suffix array over the words of its shard of documents and
-binary-searches every suffix of the benchmark items in it.  A suffix array entry
+binary-searches every distinct suffix of the benchmark items in it.  A suffix array entry
 that cannot match (its first three words start no test window) is left out before
-sorting, so the sort touches a small part of the corpus.  Documents never shuffle;
-the benchmark is sent out in blocks of at most ``BLOCK_WORDS`` words.  One broadcast
-has that bound, but all blocks pass through the driver, and driver and tasks hold them
-all: the benchmark as a whole must fit in memory.
+sorting, so the sort touches a small part of the corpus.  Documents never shuffle.
+
+The benchmark is a query set taken in blocks of at most ``BLOCK_CHARS`` characters.  One block
+at a time is made on the driver, broadcast, searched in all documents, and
+dropped, so driver and tasks hold one block however large the benchmark is; each further
+block costs one more scan of the documents.
 """
 
 from __future__ import annotations
@@ -19,50 +21,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import discard, stash
 from .words import BY_LETTER, blocks, hash_spans, lower, mix, words
 
 WINDOW = 10
 LEAD = 3
-#: Words of benchmark text in one broadcast.
-BLOCK_WORDS = 2_000_000
+#: Characters of benchmark text in one broadcast, which bound its words.
+BLOCK_CHARS = 4_000_000
 _U = np.uint64
 
 
 class Suffixes:
-    """The suffixes of a block of benchmark items, ready for binary search.
+    """The distinct suffixes of a block of benchmark items, ready for binary search.
 
     An item of at least ``window`` words gives one suffix for each window start;
-    a shorter one gives its whole sequence.
+    a shorter one gives its whole sequence.  Items of equal text stand in the block once.
     """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
-        raw, off = b"", [0]
-        texts = [(t or "").encode() for _, t in items]
-        raw = np.frombuffer(b"".join(texts), np.uint8)
+        names: dict[str, list[str | None]] = {}
+        for name, text in items:
+            names.setdefault(text or "", []).append(name)
+        #: names of each distinct text, sorted, and the least for reports (nameless last)
+        self.names = [sorted({str(x) for x in n if x is not None}) for n in names.values()]
+        self.label = [(not n, n[0] if n else "") for n in self.names]
+        texts = [t.encode() for t in names]
+        raw = lower(np.frombuffer(b"".join(texts), np.uint8))
         off = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-        raw = lower(raw)
         starts, ends, rows = words(raw, off, BY_LETTER)
         self.hashes = hash_spans(raw, starts, ends)
-        self.ids = [None if i is None else str(i) for i, _ in items]
-        self.start = rows[:-1]
-        at, size, item, end = [], [], [], []
-        for k, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True)):
-            n = int(b - a)
-            for s in range(max(1, n - window + 1) if n else 0):
-                at.append(a + s)
-                size.append(min(window, n))
-                item.append(k)
-                end.append(b)
-        self.at, self.size = np.array(at, np.int64), np.array(size, np.int64)
-        self.item, self.end = np.array(item, np.int64), np.array(end, np.int64)
-        self.sizes = [int(n) for n in np.unique(self.size)]
-        #: for each window size: hashes of the leading words, and a bit table of them
-        self.leads = {n: np.unique(lead(self.hashes, self.at[self.size == n], min(n, LEAD))) for n in self.sizes}
-        self.bits = {}
-        for n, have in self.leads.items():
-            self.bits[n] = np.zeros(1 << 20, bool)
-            self.bits[n][(have >> _U(44)).astype(np.int64)] = True
+        self.start, self.stop = rows[:-1], rows[1:]
+        n = np.diff(rows)
+        count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        item = np.repeat(np.arange(len(n)), count)
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + self.start[item]
+        size = np.minimum(window, n)[item]
+        self.sizes = [int(k) for k in np.unique(size)]
+        #: for each window size: a place of each distinct window, all places grouped by window, and where the groups begin
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: and hashes of the leading words, with a bit table of them
+        self.leads, self.bits = {}, {}
+        for k in self.sizes:
+            here = at[size == k]
+            order = np.lexsort(tuple(self.hashes[here + i] for i in range(k - 1, -1, -1)))
+            here = here[order]
+            new = np.concatenate(([True], np.any([self.hashes[here[1:] + i] != self.hashes[here[:-1] + i] for i in range(k)], axis=0)))
+            first = np.flatnonzero(new)
+            self.windows[k] = here[first], here, np.append(first, len(here))
+            self.leads[k] = np.unique(lead(self.hashes, here[first], min(k, LEAD)))
+            self.bits[k] = np.zeros(1 << 20, bool)
+            self.bits[k][(self.leads[k] >> _U(44)).astype(np.int64)] = True
 
 
 def lead(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -102,11 +111,12 @@ def _bound(column: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarr
         high = np.where(open_ & ~right, mid, high)
 
 
-def match_block(raw: np.ndarray, off: np.ndarray, tests: list[Suffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple | None]]:
-    """Words, hit words, items with occurrences, and the longest match, of each row.
+def match_block(raw: np.ndarray, off: np.ndarray, test: Suffixes, detail: bool = True) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple | None]]:
+    """Words of each row, marks of hit words, and with ``detail`` each row's items and longest match.
 
     A longest match is (-length, is nameless, item or "", place in the row, place in the
-    item); of several the least, places in words.
+    item); of several the least, places in words.  Each place of a row starts one window at
+    most, so the work follows the places found, not their product with the items'.
     """
     n = len(off) - 1
     raw = lower(raw)
@@ -117,49 +127,74 @@ def match_block(raw: np.ndarray, off: np.ndarray, tests: list[Suffixes]) -> tupl
     longest: list[tuple | None] = [None] * n
     marks = np.zeros(len(hashes) + 1, np.int64)
     row_end = np.repeat(rows[1:], count)
-    for test in tests:
-        for size in test.sizes:
-            at = np.flatnonzero(np.arange(len(hashes)) + size <= row_end) if len(hashes) else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            first = lead(hashes, at, min(size, LEAD))
-            near = test.bits[size][(first >> _U(44)).astype(np.int64)]
-            at, first = at[near], first[near]
-            have = test.leads[size]
-            at = at[have[np.minimum(np.searchsorted(have, first), len(have) - 1)] == first]
-            if not len(at):
-                continue
-            sa = suffix_array(hashes, at, size)
-            which = np.flatnonzero(test.size == size)
-            low, high = search(hashes, sa, test.hashes, test.at[which], size)
-            for w, a, b in zip(which[low < high], low[low < high], high[low < high], strict=True):
-                found = sa[a:b]
-                np.add.at(marks, found, 1)
-                np.add.at(marks, found + size, -1)
+    for size in test.sizes:
+        at = np.flatnonzero(np.arange(len(hashes)) + size <= row_end) if len(hashes) else np.zeros(0, np.int64)
+        if not len(at):
+            continue
+        first = lead(hashes, at, min(size, LEAD))
+        near = test.bits[size][(first >> _U(44)).astype(np.int64)]
+        at, first = at[near], first[near]
+        have = test.leads[size]
+        at = at[have[np.minimum(np.searchsorted(have, first), len(have) - 1)] == first]
+        if not len(at):
+            continue
+        sa = suffix_array(hashes, at, size)
+        one, places, begins = test.windows[size]
+        low, high = search(hashes, sa, test.hashes, one, size)
+        for w in np.flatnonzero(low < high):
+            found, there = sa[low[w] : high[w]], places[begins[w] : begins[w + 1]]
+            marks[found] += 1
+            marks[found + size] -= 1
+            if detail:
                 who = np.searchsorted(rows, found, "right") - 1
-                name = test.ids[test.item[w]]
-                for p, r in zip(found, who, strict=True):
-                    if name is not None:
-                        items[r].add(name)
-                    if longest[r] is None or size >= -longest[r][0] or size == test.window:
-                        length = extend(hashes, p, rows[r + 1], test.hashes, test.at[w], test.end[w], size)
-                        now = (-length, name is None, name or "", int(p - rows[r]), int(test.at[w] - test.start[test.item[w]]))
-                        longest[r] = now if longest[r] is None else min(longest[r], now)
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(marks[:-1]) > 0)))
-    return count, hit[rows[1:]] - hit[rows[:-1]], items, longest
+                which = np.searchsorted(test.start, there, "right") - 1
+                names = set().union(*(test.names[i] for i in set(which.tolist())))
+                for r in set(who.tolist()):
+                    items[r] |= names
+                lengthen(hashes, rows, found, who, test, there, which, size, longest)
+    return count, np.cumsum(marks[:-1]) > 0, items, longest
+
 
+def lengthen(hashes, rows, found, who, test, there, which, size, longest) -> None:
+    """Carries the matches of one window on to the right, and the best of each row to ``longest``.
 
-def extend(hashes, p, end, test, q, last, n) -> int:
-    """How many words agree from p and q on, at least n."""
-    most = int(min(end - p, last - q))
-    differ = np.flatnonzero(hashes[p : p + most] != test[q : q + most])
-    return int(differ[0]) if len(differ) else max(n, most)
+    A match that also goes on to the left is left out: the longer one that starts before
+    it is seen at its own window.  So places are grouped by the word before them.
+    """
+    before_p = np.where(found > rows[who], hashes[found - 1], _U(0))
+    before_q = np.where(there > test.start[which], test.hashes[there - 1], _U(1))
+    for word in np.unique(before_p):
+        mine = before_p == word
+        other = np.flatnonzero(before_q != word)
+        for q, k in zip(there[other].tolist(), which[other].tolist(), strict=True):
+            room = int(test.stop[k]) - q
+            for p, r in zip(found[mine].tolist(), who[mine].tolist(), strict=True):
+                most = min(int(rows[r + 1]) - p, room)
+                if longest[r] is not None and most < -longest[r][0]:
+                    continue
+                now = (-agreed(hashes, p, test.hashes, q, size, most), *test.label[k], p - int(rows[r]), q - int(test.start[k]))
+                longest[r] = now if longest[r] is None else min(longest[r], now)
+
+
+def agreed(hashes, p: int, test, q: int, n: int, most: int) -> int:
+    """How many words agree from p and q on: n at least, ``most`` at most."""
+    step = 64
+    while n < most:
+        end = min(most, n + step)
+        differ = np.flatnonzero(hashes[p + n : p + end] != test[q + n : q + end])
+        if len(differ):
+            return n + int(differ[0])
+        n, step = end, 2 * step
+    return n
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_words long, longest_item string, longest_at long, longest_item_at long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+PART = "blob binary, runs array<struct<start:long,stop:long>>, items array<string>, best struct<size:long,nameless:boolean,item:string,at:long,item_at:long>"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs``: words, words hit by a benchmark window, and the items.
 
     Null or empty text has no words.  Items with equal texts are all reported;
@@ -169,32 +204,102 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     An item whose id is null hits like any other but has no name: it is not among
     ``items`` and not counted in ``n_items``.  ``longest_at`` and ``longest_item_at`` are
     the places, in words from 0, where the longest match begins in the document and in
-    its item.  Repeated document rows each get a row.
+    its item.  Repeated document rows each get a row.  A benchmark of several blocks is
+    searched block by block; what each finds is written and then joined by the
+    text's content.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    tests = [spark.sparkContext.broadcast(Suffixes(block, window)) for block in benchmark_blocks(benchmark)]
+    found, several = [], False
+    for test, last in lasts(benchmark_blocks(benchmark, block_chars)):
+        if last and not several:
+            return whole_matches(docs, Suffixes(test, window))
+        several = True
+        sent = docs.sparkSession.sparkContext.broadcast(Suffixes(test, window))
+        found.append(stash(block_matches(docs, sent).dropDuplicates(["blob"])))
+        sent.destroy()
+    return joined_matches(docs, found)
+
+
+def lasts(parts: Iterator) -> Iterator[tuple]:
+    """Each part, and whether it is the last; an empty one if there is none."""
+    now = next(parts, [])
+    for after in parts:
+        yield now, False
+        now = after
+    yield now, True
+
+
+def hit_counts(hit: np.ndarray, count: np.ndarray) -> np.ndarray:
+    edge = np.concatenate(([0], np.cumsum(count)))
+    total = np.concatenate(([0], np.cumsum(hit)))
+    return total[edge[1:]] - total[edge[:-1]]
+
+
+def whole_matches(docs: DataFrame, test: Suffixes) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(test)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw, off in blocks(batch.column(1)):
-                n, hit, items, longest = match_block(raw, off, [t.value for t in tests])
+                n, marks, items, longest = match_block(raw, off, sent.value)
+                hit = hit_counts(marks, n)
                 names = [sorted(x) for x in items]
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(hit > 0), pa.array(names, pa.list_(pa.string())), pa.array([-x[0] if x else 0 for x in longest], pa.int64()), pa.array([None if not x or x[1] else x[2] for x in longest], pa.string()), *(pa.array([x[k] if x else None for x in longest], pa.int64()) for k in (3, 4))],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_words", "longest_item", "longest_at", "longest_item_at"],
+                    [f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
     return docs.mapInArrow(task, SCHEMA)
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most ``BLOCK_WORDS`` words (a longer item stands alone)."""
+def block_matches(docs: DataFrame, sent) -> DataFrame:
+    """What one block of the benchmark finds: a row for each row of ``docs`` that it hits, by content."""
+    rows = docs.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for first, raw, off in blocks(batch.column(1)):
+                n, marks, items, longest = match_block(raw, off, sent.value)
+                edge = np.concatenate(([0], np.cumsum(n)))
+                for r in np.flatnonzero(hit_counts(marks, n)):
+                    m = np.diff(marks[edge[r] : edge[r + 1]].astype(np.int8), prepend=0, append=0)
+                    runs = [{"start": int(a), "stop": int(b)} for a, b in zip(np.flatnonzero(m == 1), np.flatnonzero(m == -1), strict=True)]
+                    x = longest[r]
+                    out.append((batch.column(0)[first + int(r)].as_py(), runs, sorted(items[r]), dict(zip(("size", "nameless", "item", "at", "item_at"), x, strict=True))))
+            run, best = pa.struct([("start", pa.int64()), ("stop", pa.int64())]), pa.struct([("size", pa.int64()), ("nameless", pa.bool_()), ("item", pa.string()), ("at", pa.int64()), ("item_at", pa.int64())])
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.list_(run), pa.list_(pa.string()), best), strict=True)], ["blob", "runs", "items", "best"])
+
+    return rows.mapInArrow(task, PART)
+
+
+def joined_matches(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The blocks' findings put together: at most one row a block for each text."""
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = stash(every.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("best").alias("best")))
+    # runs in order of their start: what reaches beyond all before adds to the count
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["stop"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["stop"] - F.greatest(s["end"], x["start"]))).alias("n"))
+    n_hit = F.coalesce(F.aggregate("runs", start, step, lambda s: s["n"]), F.lit(0).cast("long"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", n_words.alias("n_words"), F.unhex(F.sha2("text", 256)).alias("blob")).join(every, "blob", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), items.alias("items"),
+        F.coalesce(-F.col("best.size"), F.lit(0)).cast("long").alias("longest_words"), F.when(~F.col("best.nameless"), F.col("best.item")).alias("longest_item"), F.col("best.at").alias("longest_at"), F.col("best.item_at").alias("longest_item_at"),
+    )
+
+
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of at most ``block_chars`` characters (a longer item stands alone); one partition of them comes to the driver at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").distinct().toLocalIterator():
-        n = len((row[1] or "").split()) + 1
-        if block and size + n > BLOCK_WORDS:
+        n = len(row[1]) + 1
+        if block and size + n > block_chars:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
@@ -203,20 +308,32 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, st
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns stay.
 
-    Works in the scan, without a join: the check runs on each row's own text.
+    Works in the scan, without a join: the check runs on each row's own text.  With a
+    benchmark of several blocks, what each leaves is written for the next.
     """
-    spark = docs.sparkSession
-    tests = [spark.sparkContext.broadcast(Suffixes(block)) for block in benchmark_blocks(benchmark)]
-    place = docs.columns.index("text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [np.zeros(0, bool)]
-            for _, raw, off in blocks(batch.column(place)):
-                keep.append(match_block(raw, off, [t.value for t in tests])[1] == 0)
-            yield batch.filter(pa.array(np.concatenate(keep)))
-
-    return docs.mapInArrow(task, docs.schema)
+    place, schema = docs.columns.index("text"), docs.schema
+
+    def without(rows: DataFrame, sent) -> DataFrame:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [np.zeros(0, bool)]
+                for _, raw, off in blocks(batch.column(place)):
+                    n, marks, _, _ = match_block(raw, off, sent.value, detail=False)
+                    keep.append(hit_counts(marks, n) == 0)
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+        return rows.mapInArrow(task, schema)
+
+    rows, before = docs, []
+    for items, last in lasts(benchmark_blocks(benchmark, block_chars)):
+        sent = docs.sparkSession.sparkContext.broadcast(Suffixes(items))
+        if last:
+            return without(rows, sent)
+        rows = stash(without(rows, sent))
+        sent.destroy()
+        discard(*before)
+        before = [rows]
+    return rows
