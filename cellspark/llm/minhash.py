@@ -92,16 +92,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / HASHES - chance) / (1 - chance)
 
 
-SIGNATURE = "key long, n long, set_a long, set_b long, bands array<long>, bits binary"
+#: Stands for a null id.
+NULL_ID = -(2**63) + 1
+SIGNATURE = "key long, mark long, n long, set_a long, set_b long, bands array<long>, bits binary"
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(key, n, set hashes, band keys, packed bits) of each (key, text)."""
+    """(key, mark, n, set hashes, band keys, packed bits) of each (key, mark, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for top, raw, off in blocks(batch.column(1)):
+            for top, raw, off in blocks(batch.column(2)):
                 sets = shingles(raw, off)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
@@ -115,8 +116,8 @@ def signatures(rows: DataFrame) -> DataFrame:
                     bands[full], bits[full] = key.view(np.int64), packed(least)
                 at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[top : top + len(sets)], pa.int64()), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.ListArray.from_arrays(at, pa.array(bands.ravel())), pa.array([b.tobytes() for b in bits], pa.binary())],
-                    ["key", "n", "set_a", "set_b", "bands", "bits"],
+                    [*(batch.column(i).slice(top, len(sets)) for i in (0, 1)), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.ListArray.from_arrays(at, pa.array(bands.ravel())), pa.array([b.tobytes() for b in bits], pa.binary())],
+                    ["key", "mark", "n", "set_a", "set_b", "bands", "bits"],
                 )
 
     return rows.mapInArrow(task, SIGNATURE)
@@ -256,7 +257,11 @@ def family_links(blocks_: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
 
 
 def links(rows: DataFrame, classes: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """Links (a, b) between classes, enough to connect all that are linked."""
+    """Links (a, b) between classes, enough to connect all that are linked.
+
+    ``classes`` (key, first, mark, n, set_a, bands, bits) name the row (first, mark) of
+    ``rows`` (key, mark, text) that stands for them.
+    """
     keys = classes.select("key", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = stash(keys.join(shared.hint("shuffle_hash"), "band"))
@@ -264,42 +269,82 @@ def links(rows: DataFrame, classes: DataFrame, link: tuple[int, int] = LINK) ->
     best = F.max(F.struct("weight", (-F.col("key")).alias("low")))
     leader = shared.join(weight, "key").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.low")).alias("leader"))
     candidates = shared.join(leader, "band").where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    family = components(candidates).toDF("key", "family").join(weight, "key").join(classes.select("key", "n", "set_a", "bits"), "key")
+    family = components(candidates).toDF("key", "family").join(weight, "key").join(classes.drop("bands"), "key")
     family = stash(family)
     about = family.groupBy("family").agg(F.sum("n").alias("total"), best.alias("best")).select("family", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int").alias("n_blocks"), (-F.col("best.low")).alias("hub"))
-    placed = family.join(about, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    texts = rows.join(placed.select("key", "set_a", "n", "bits", "family", "block", "hub").hint("shuffle_hash"), "key").select("key", "set_a", "bits", "family", "block", "hub", "text")
-    members = stash(sets_of(texts))
-    hubs = members.where("key = hub").select("hub", F.col("set").alias("hub_set"))
+    placed = family.join(stash(about), "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+    placed = placed.select(F.col("key").alias("node"), F.col("first").alias("key"), "mark", "set_a", "bits", "family", "block", "n_blocks", "hub")
+    texts = rows.join(placed.hint("shuffle_hash"), ["key", "mark"]).dropDuplicates(["key", "mark"])  # rows that repeat as a whole count once
+    members = stash(sets_of(texts.drop("key", "mark").withColumnRenamed("node", "key")))
+    hubs = stash(members.where("key = hub").select("hub", F.col("set").alias("hub_set")))
     first = stash(hub_links(members.where("key <> hub").join(hubs, "hub"), link).distinct())
     linked = first.select(F.col("b").alias("key"), F.lit(False).alias("open"))
-    state = members.join(linked, "key", "left").withColumn("open", F.coalesce("open", F.col("key") != F.col("hub")))
-    busy = state.where("open").select("family").distinct()
+    state = stash(members.select("key", "family", "n_blocks", "hub").join(linked, "key", "left").withColumn("open", F.coalesce("open", F.col("key") != F.col("hub"))))
+    # families with open members, a row for each block: dealt by blocks from here on, so that a large family is spread
+    busy = state.where("open").select("family", "n_blocks").distinct().select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
     fields = F.struct("key", "open", "bits", "set")
-    grouped = stash(state.join(busy, "family", "left_semi").groupBy("family", "block").agg(F.collect_list(fields).alias("members")))
+    held = members.select("key", "family", "block", "bits", "set").join(state.select("key", "open"), "key").join(busy.hint("shuffle_hash"), ["family", "block"], "left_semi")
+    grouped = stash(held.groupBy("family", "block").agg(F.collect_list(fields).alias("members")))
     return first.union(family_links(grouped, link))
 
 
+def classed(signed: DataFrame) -> DataFrame:
+    """(node, first, first_mark, set hashes, n): the classes of rows of equal sets, each with its first row.
+
+    ``node`` is that row's id, but where ids repeat it may be the smallest of several classes:
+    all but one of these get a number of their own, so that classes never merge by an id.
+    """
+    same = ["set_a", "set_b", "n"]
+    # tables of their own: joined to an aggregate in the same stage, a large group of copies could not be split
+    least = signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("key", "mark")).alias("r"))
+    least = stash(least.select(*same, F.col("r.key").alias("first"), F.col("r.mark").alias("first_mark")))
+    several = stash(least.groupBy("first").agg(F.min(F.struct(*same)).alias("own"), F.count("*").alias("k")).where("k > 1").select("first", "own"))
+    other = F.lit(-(2**62)) - F.shiftrightunsigned(F.xxhash64(*same), 2)
+    node = F.when(F.col("own").isNull() | (F.col("own") == F.struct(*same)), F.col("first")).otherwise(other)
+    return stash(least.join(several, "first", "left").select(node.alias("node"), "first", "first_mark", *same))
+
+
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept, mark, stays.
 
     ``link`` is the share of common shingles, as numerator and denominator, from which
     on two texts are near copies.
 
     Null, empty and blank texts have no shingles and are linked with nothing; a text of
     fewer words than a shingle is one shingle.  Rows of equal sets are linked; repeated
-    rows of one id share everything, kept included.  A null id counts as the smallest.
+    rows of one id and text share everything.  A null id counts as the smallest.  Links
+    are between texts, not ids: rows of one id with different texts have each their own
+    component.  ``kept`` tells whether the id is the component's.  ``stays``
+    is the verdict on the row for removal: true for one text of each component and for
+    every text without shingles; ``mark`` is xxhash64 of the text and, with the id, names
+    the row.
     """
-    low = -(2**63) + 1
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("key", F.xxhash64("text").alias("mark"), "text")
     signed = stash(signatures(rows))
     same = ["set_a", "set_b", "n"]
-    # a table of its own: joined to an aggregate in the same stage, a large group of copies could not be split
-    least = stash(signed.where("n > 0").groupBy(*same).agg(F.min("key").alias("class")))
-    # the row of the smallest id stands for its class; ids that repeat may give more than one
-    classes = signed.join(least, [*same]).where("key = class").select("key", "n", "set_a", "bands", "bits").dropDuplicates(["key", "set_a"])
-    classes = stash(classes)
-    joined = components(links(rows, classes, link)).toDF("class", "component")
-    out = signed.select("key", *same).join(least, same, "left").join(joined, "class", "left")
-    out = out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("c"), "key")
-    return out.select("doc_id", "n_shingles", F.when(F.col("c") != low, F.col("c")).alias("component_id"), (F.col("key") == F.col("c")).alias("kept"))
+    nodes = classed(signed)
+    classes = signed.join(nodes, same).where("key = first and mark = first_mark").select(F.col("node").alias("key"), "first", "mark", "n", "set_a", "bands", "bits").dropDuplicates(["key"])
+    joined = stash(components(links(rows, stash(classes), link)).toDF("node", "component"))
+    label = joined.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min(F.struct("first", "node")).alias("label"))
+    verdict = stash(nodes.join(joined, "node", "left").join(label, "component", "left").select(*same, "first", "first_mark", "node", "label"))
+    out = signed.select("key", "mark", *same).join(verdict, same, "left")
+    c = F.coalesce("label.first", "first", "key")
+    stays = F.col("first").isNull() | (F.col("key") == c) & (F.col("mark") == F.col("first_mark")) & (F.coalesce("label.node", "node") == F.col("node"))
+    known = lambda x: F.when(x != NULL_ID, x)
+    return out.select(known(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), known(c).alias("component_id"), (F.col("key") == c).alias("kept"), "mark", stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, link: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one document of each group of near copies.
+
+    The verdict belongs to the row, by id and text, so ids that repeat lose no text that is
+    no copy.  Of rows that repeat id and text one stays, unless the text has no shingles: those all stay.
+    """
+    found = stash(near_duplicates(docs, link).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key"), F.col("mark").alias("__mark"), "stays", "n_shingles"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__mark": F.xxhash64(text)})
+    held = named.join(found.where("not stays").select("__key", "__mark"), ["__key", "__mark"], "left_anti")
+    twice = stash(found.where("stays and n_shingles > 0").groupBy("__key", "__mark").count().where("count > 1").select("__key", "__mark"))
+    one = held.join(twice, ["__key", "__mark"], "left_semi").dropDuplicates(["__key", "__mark"])
+    return held.join(twice, ["__key", "__mark"], "left_anti").unionByName(one).select(*docs.columns)

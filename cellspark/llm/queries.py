@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), (85, 100))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), (85, 100)).drop("mark", "stays")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))[0].drop("found")
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces)}
 
 #: op1: what SQL expresses without the vocabulary's automaton, term by term.
-_TERMS_STRICT = ", ".join(f"'{t}'" for t in urls.STRICT)
-_TERMS_SOFT = ", ".join(f"('{t}', {w})" for t, w in urls.SOFT.items())
+_TERMS = ", ".join(f"('{t}', {w})" for t, w in urls.VOCABULARY.items())
 ORACLES = {
     "op1_url_filter": f"""
 WITH p AS (
@@ -81,14 +80,12 @@ rules(action, rule, rule_host, rule_path) AS (VALUES
 hit AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
   FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
-strict(term) AS (SELECT unnest([{_TERMS_STRICT}])),
-soft(term, weight) AS (VALUES {_TERMS_SOFT}),
+terms(term, weight) AS (VALUES {_TERMS}),
 bad AS (
   SELECT page_id,
-    (SELECT count(*) FROM strict WHERE regexp_matches(lower(coalesce(url, '')), '(^|[^\\pL\\pN])' || term || '($|[^\\pL\\pN])')) AS n_strict,
-    (SELECT coalesce(sum(weight), 0) FROM soft WHERE regexp_matches(lower(coalesce(url, '')), '(^|[^\\pL\\pN])' || term || '($|[^\\pL\\pN])')) AS w_soft
+    (SELECT coalesce(sum(weight), 0) FROM terms WHERE regexp_matches(lower(coalesce(url, '')), '(^|[^\\pL\\pN])' || term || '($|[^\\pL\\pN])')) AS weight
   FROM p)
 SELECT p.page_id, p.host, p.path, hit.rule,
-  coalesce(hit.action, CASE WHEN n_strict > 0 OR w_soft >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(hit.action, CASE WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN bad USING (page_id) LEFT JOIN hit USING (page_id)""",
 }

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests, one machine) a temporary folder stands in.
+    Only where it is unset and all runs on one machine (tests) a temporary folder stands in.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,12 +37,21 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete tables made by ``stash`` that nothing reads any more."""
     for df in stashed:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df.stashed)
-        path.getFileSystem(conf).delete(path, True)
+        files, at = _file_system(df.sparkSession, df.stashed)
+        files.delete(at, True)
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:

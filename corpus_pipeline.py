@@ -26,8 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies: 0.8 or more of their shingles in common."""
-    gone = minhash.near_duplicates(docs, (80, 100)).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS), (80, 100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +35,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; no document is dropped."""
-    clean = secrets.redact(docs.select(*COLUMNS))
+    """Replaces secrets in texts; no document is dropped.
+
+    ``spark.cellspark.ledger`` may name a ledger that is kept between runs, so that known texts are not scanned again.
+    """
+    clean = secrets.redact(docs.select(*COLUMNS), ledger_path=spark.conf.get("spark.cellspark.ledger", None))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text; decoding them gives the text again."""
-    return pieces.encode(docs.select(*COLUMNS)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
+    """Token ids of each text, and whether decoding them gives the text again."""
+    return pieces.round_trip(docs.select(*COLUMNS)).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("piece_encoding", piece_encoding)]
