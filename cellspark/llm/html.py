@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ class Page:
         self.flow: list[tuple[int, str | None]] = []
         self.chars, self.linked, self.tags, self.stops, self.kids = [0], [0], [0], [0], [0]
         stack: list[tuple[str, int]] = [("", 0)]  # tag, nearest block
+        self.open_tags: Counter[str] = Counter()  # what isn't open need not be looked for in the stack
         link = hidden = 0
         at = 0
         for m in TOKEN.finditer(source):
@@ -59,18 +61,18 @@ class Page:
             if not tag:
                 continue
             if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if self.open_tags[tag] else ():
                     if stack[i][0] == tag:
                         link, hidden = self.close(stack, i, link, hidden)
                         break
                 continue
-            if tag in BLOCK and tag not in ("html", "body"):
+            if tag in BLOCK and tag not in ("html", "body") and self.open_tags["p"]:
                 p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in _SHIELD), 0)
                 if p and stack[p][0] == "p":
                     link, hidden = self.close(stack, p, link, hidden)
             if tag in _ENDS:
                 ends, shield = _ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(self.open_tags[x] for x in ends) else ():
                     if stack[i][0] in shield:
                         break
                     if stack[i][0] in ends:
@@ -93,6 +95,7 @@ class Page:
             link += tag == "a"
             if not m[4].rstrip().endswith("/") or tag in BLOCK:
                 stack.append((tag, node))
+                self.open_tags[tag] += 1
         if at < len(source) and not hidden:
             self.say(stack[-1][1], source[at:], link)
 
@@ -116,6 +119,7 @@ class Page:
 
     def close(self, stack, i, link, hidden):
         for tag, node in stack[i:]:
+            self.open_tags[tag] -= 1
             link -= tag == "a"
             hidden -= tag in HEAD
             if tag in BLOCK:

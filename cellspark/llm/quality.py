@@ -19,6 +19,8 @@ DIMS = 1 << 17
 #: The model is fitted on about so many labelled documents, chosen by a hash of the text.
 SAMPLE = 6000
 STEPS, RATE, RIDGE = 300, 0.1, 2e-2
+#: Power of the inverse share of a grade that its documents weigh.
+BALANCE = 0.5
 #: Features of fewer training documents say more of those documents than of grades.
 LEAST_DOCS = 5
 #: Grades: toxic, poor, good.
@@ -98,7 +100,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
     scale = size**-0.25
     spread = np.repeat(scale, size)
     seen = np.bincount(grades, minlength=GRADES)
-    share = (len(grades) / (np.maximum(seen, 1) * max(1, (seen > 0).sum()))) ** 0.5
+    share = (len(grades) / (np.maximum(seen, 1) * max(1, (seen > 0).sum()))) ** BALANCE
     each = share[grades] / share[grades].sum()
     m, v, fm, fv = np.zeros(DIMS), np.zeros(DIMS), np.zeros(2), np.zeros(2)
     for step in range(1, steps + 1):
