@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     nodes = classed(signed)
     classes = signed.join(nodes, same).where("key = first and mark = first_mark").select(F.col("node").alias("key"), "first", "mark", "n", "set_a", "bands", "bits").dropDuplicates(["key"])
     joined = stash(components(links(rows, stash(classes), link)).toDF("node", "component"))
-    label = joined.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min(F.struct("first", "node")).alias("label"))
+    label = stash(joined.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min(F.struct("first", "node")).alias("label")))
     verdict = stash(nodes.join(joined, "node", "left").join(label, "component", "left").select(*same, "first", "first_mark", "node", "label"))
     out = signed.select("key", "mark", *same).join(verdict, same, "left")
     c = F.coalesce("label.first", "first", "key")
