@@ -5,11 +5,11 @@ Missing numbers are NULL throughout; ``clean`` turns NaN into NULL where data co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of an image's file name, and the feature sets used downstream.
-FILE_NAME = r"^([^_]+)_([^_]+)_([A-Z]\d+)_(\d+)_(\d{2}d\d{2}h\d{2}m)_(\d+)\.tif$"
+FILE_NAME = r"^([^_]+)_([^_]+)_([A-Za-z]\d+)_(\d+)_(\d+d\d+h\d+m)_(\d+)\.tif$"
 IOU_THRESHOLD = 0.50
 NEIGHBOUR_RADIUS = 50.0
 CROP_PADDING = 30
@@ -85,13 +85,39 @@ def add_filename_metadata(df: DataFrame, name: str = "image") -> DataFrame:
     ok = F.col(name).rlike(FILE_NAME)
     part = lambda i: F.when(ok, F.regexp_extract(name, FILE_NAME, i))
     time = part(5)
-    number = lambda at: F.substring(time, at, 2).cast("double")
+    number = lambda i: F.regexp_extract(time, r"^(\d+)d(\d+)h(\d+)m$", i).try_cast("double")
     return df.withColumns({
-        "cell_line": part(1), "modality": part(2), "well": part(3), "location": part(4).cast("int"), "elapsed_time": time,
-        "elapsed_hours": number(1) * 24 + number(4) + number(7) / 60, "crop": part(6).cast("int"),
+        "cell_line": part(1), "modality": part(2), "well": part(3), "location": part(4).try_cast("int"), "elapsed_time": time,
+        "elapsed_hours": number(1) * 24 + number(2) + number(3) / 60, "crop": part(6).try_cast("int"),
     })
 
 
+def metadata_for_line(df: DataFrame, line: Column, name: str = "image") -> DataFrame:
+    """The same, but the line that was asked for stands whatever the name says."""
+    return add_filename_metadata(df, name).withColumn("cell_line", line)
+
+
+def with_literals(df: DataFrame, model_name: str, parameters: dict, **metadata) -> DataFrame:
+    """``df`` with metadata, the model's name and its parameters (``cellpose_*``) on each row; None gives NULL."""
+    kinds = {"diameter": "int", "cellprob_threshold": "double", "flow_threshold": "double", "min_size": "int"}
+    more = {k: F.lit(v) for k, v in metadata.items()} | {"model_name": F.lit(model_name)}
+    return df.withColumns(more | {f"cellpose_{k}": F.lit(parameters[k]).cast(kind) for k, kind in kinds.items()})
+
+
+def count_ratios(truth: Column, predicted: Column, missed: Column) -> dict[str, Column]:
+    """prediction_to_truth_ratio and false_negative_rate; NULL where there is no truth."""
+    return {"prediction_to_truth_ratio": F.try_divide(predicted.cast("double"), truth.cast("double")), "false_negative_rate": F.try_divide(missed.cast("double"), truth.cast("double"))}
+
+
+def cluster_label(cluster: Column) -> Column:
+    return F.concat(F.lit("Morphology cluster "), cluster.cast("string"))
+
+
+def share_of_total(count: str) -> Column:
+    """The row's part of the sum over all rows of a small aggregate."""
+    return F.col(count) / F.sum(count).over(Window.partitionBy())
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 

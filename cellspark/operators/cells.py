@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .quantiles import quantiles
 
 FEATURES = ("log_area", "eccentricity", "solidity", "log_aspect_ratio", "log_neighbours_within_50px", "log_nearest_neighbour_distance")
 
@@ -30,28 +31,32 @@ def moments(pixels: DataFrame) -> DataFrame:
     return m.withColumns({
         "extent": F.col("area") / ((F.col("bbox_max_row") - F.col("bbox_min_row")) * (F.col("bbox_max_col") - F.col("bbox_min_col"))),
         "equivalent_diameter_area": F.sqrt(4 * F.col("area") / F.pi()), "major_axis_length": 4 * F.sqrt(l1), "minor_axis_length": 4 * F.sqrt(l2),
-        "eccentricity": F.sqrt(1 - F.try_divide(l2, l1)), "orientation": 0.5 * F.atan2(2 * F.col("vrc"), vr - vc),
+        "eccentricity": F.sqrt(1 - F.try_divide(l2, l1)), "orientation": 0.5 * F.atan2(F.when(F.abs("vrc") < 1e-9, 0.0).otherwise(2 * F.col("vrc")), vr - vc),  # no sign of zero
     }).drop("vr", "vc", "vrc")
 
 
-def hull_area(rows: np.ndarray, cols: np.ndarray) -> float:
-    """Area of the convex hull of the pixels' unit squares."""
-    points = np.unique(np.concatenate([np.stack((rows + a, cols + b), 1) for a in (-0.5, 0.5) for b in (-0.5, 0.5)]), axis=0)
+def hull_area(rows: np.ndarray, cols: np.ndarray) -> int:
+    """Pixels in the convex hull: those whose centre lies in or on the hull of all points half a pixel beside the pixels' centres.
 
-    def turn(a, b, c):
-        return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+    Coordinates are doubled, so everything is whole numbers.
+    """
+    r, c = 2 * rows.astype(np.int64), 2 * cols.astype(np.int64)
+    points = np.unique(np.concatenate([np.stack((r + a, c + b), 1) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]), axis=0).tolist()
 
     def chain(p):
-        out: list[np.ndarray] = []
+        out: list[list[int]] = []
         for x in p:
-            while len(out) > 1 and turn(out[-2], out[-1], x) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (x[1] - out[-1][1]) <= (out[-1][1] - out[-2][1]) * (x[0] - out[-1][0]):
                 out.pop()
             out.append(x)
         return out[:-1]
 
     hull = np.array(chain(points) + chain(points[::-1]))
-    x, y = hull[:, 0], hull[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+    y, x = np.meshgrid(np.arange(r.min(), r.max() + 1, 2), np.arange(c.min(), c.max() + 1, 2), indexing="ij")
+    inside = np.ones(y.shape, bool)
+    for (y1, x1), (y2, x2) in zip(hull, np.roll(hull, -1, 0), strict=True):
+        inside &= (y2 - y1) * (x - x1) >= (x2 - x1) * (y - y1)
+    return int(inside.sum())
 
 
 #: Length that a border pixel adds, by 1, 2 and 10 times its straight, own and diagonal border neighbours.
@@ -134,6 +139,35 @@ def crowding(cells: DataFrame, image: str, cell: str, y: str, x: str, radius: fl
     return out.select(F.col("i").alias(image), F.col("c").alias(cell), F.coalesce("n", F.lit(0)).alias("neighbours_within_50px"), F.coalesce("d", "d2").alias("nearest_neighbour_distance"))
 
 
+def pixel_counts(pixels: DataFrame) -> DataFrame:
+    """background_pixels, cell_pixels, cells and coverage of each image's label pixels (image, label)."""
+    out = pixels.groupBy("image").agg(F.count_if(F.col("label") == 0).alias("background_pixels"), F.count_if(F.col("label") > 0).alias("cell_pixels"), F.countDistinct(F.when(F.col("label") > 0, F.col("label"))).alias("cells"))
+    return out.withColumn("coverage", E.ratio(F.col("cell_pixels"), F.col("cell_pixels") + F.col("background_pixels")))
+
+
+def relabel(pixels: DataFrame) -> DataFrame:
+    """(image, label, dense_label): labels of each image numbered without gaps, in order; background stays out."""
+    labels = pixels.where("label > 0").select("image", "label").distinct()
+    return labels.withColumn("dense_label", F.row_number().over(Window.partitionBy("image").orderBy("label")))
+
+
+def crops(pixels: DataFrame, cells: DataFrame, padding: int = E.CROP_PADDING) -> DataFrame:
+    """(image, cell_id, status, row_from ... col_to, pixels): the padded surroundings of each wanted cell.
+
+    ``cells`` has image, cell_id, the bounding box, height and width; ``pixels`` image,
+    row, col, label, intensity.  A crop's pixels are (row, col, intensity, target), in order;
+    target tells the cell's own.  status: ok, label_not_found (no pixel of the cell), no_pixels.
+    """
+    box = E.crop_bounds(*(F.col(f"bbox_{x}") for x in ("min_row", "min_col", "max_row", "max_col")), F.col("height"), F.col("width"), padding)
+    wanted = cells.select("image", "cell_id", box.alias("box")).select("image", "cell_id", "box.*")
+    p = pixels.select("image", "row", "col", "intensity", F.col("label").alias("__label"))
+    near = wanted.join(p, "image").where((F.col("row") >= F.col("row_from")) & (F.col("row") < F.col("row_to")) & (F.col("col") >= F.col("col_from")) & (F.col("col") < F.col("col_to")))
+    own = F.col("__label") == F.col("cell_id")
+    found = near.groupBy("image", "cell_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "intensity", own.alias("target")))).alias("pixels"), F.count_if(own).alias("__own"))
+    out = wanted.join(found, ["image", "cell_id"], "left")
+    return out.withColumn("status", F.when(F.col("pixels").isNull(), "no_pixels").when(F.col("__own") == 0, "label_not_found").otherwise("ok")).drop("__own")
+
+
 def derived(cells: DataFrame) -> DataFrame:
     return cells.withColumns({
         "log_area": E.positive_log(F.col("area")), "log_aspect_ratio": E.positive_log(F.col("aspect_ratio")),
@@ -143,13 +177,13 @@ def derived(cells: DataFrame) -> DataFrame:
 
 def area_limits(cells: DataFrame, value: str, low: float, high: float, *keys: str) -> DataFrame:
     """Exact quantiles of the finite values, one row for each key (or one row)."""
-    ok = cells.where(E.finite(value))
-    return ok.groupBy(*keys).agg(F.percentile(value, low).alias("area_qc_lower"), F.percentile(value, high).alias("area_qc_upper"))
+    q = quantiles(cells.where(E.finite(value)), value, [low, high], *keys)
+    return q.select(*keys, F.get("q", 0).alias("area_qc_lower"), F.get("q", 1).alias("area_qc_upper"))
 
 
 def qc_flags(cells: DataFrame, limits: DataFrame, value: str, features: list[str], border: Column, *keys: str) -> DataFrame:
     """Flags, include and the reasons.  Limits stay strict; a missing area is no extreme one."""
-    joined = cells.join(F.broadcast(limits), list(keys), "left") if keys else cells.crossJoin(F.broadcast(limits))  # a row for each line
+    joined = cells.join(limits, list(keys), "left") if keys else cells.crossJoin(F.broadcast(limits))  # one row
     extreme = F.coalesce((F.col(value) < F.col("area_qc_lower")) | (F.col(value) > F.col("area_qc_upper")), F.lit(False))
     out = joined.withColumns({"qc_touches_image_border": E.truthy(border), "qc_extreme_area": E.finite(value) & extreme, "qc_missing_feature": ~E.finite(*features)})
     flags = {"image_border": F.col("qc_touches_image_border"), "extreme_area": F.col("qc_extreme_area"), "missing_feature": F.col("qc_missing_feature")}
@@ -165,6 +199,40 @@ def group_summary(cells: DataFrame, keys: list[str], medians: list[str] = [], me
     return cells.groupBy(*keys).agg(F.count("*").alias("cells"), *(F.median(c).alias(f"median_{c}") for c in medians), *(F.avg(c).alias(f"mean_{c}") for c in means), *(F.count_if(c).alias(n) for n, c in counts.items()))
 
 
+def cluster_summary(cells: DataFrame, key: str, medians: list[str], border: str = "touches_image_border") -> DataFrame:
+    """A row for each cluster: cells, medians, the share that touches the border, and its part of all cells."""
+    out = group_summary(cells, [key], medians).join(cells.groupBy(key).agg(F.avg(E.truthy(F.col(border)).cast("double")).alias("border_touching_fraction")), key)
+    return out.withColumn("cell_fraction", E.share_of_total("cells"))  # a row a cluster
+
+
+def image_morphology(cells: DataFrame) -> DataFrame:
+    """The per-image medians and means that are set beside the image's scores."""
+    named = {"median": ("area", "solidity", "eccentricity", "extent", "neighbours_within_50px"), "mean": ("area", "solidity", "neighbours_within_50px", "nearest_neighbour_distance")}
+    return group_summary(cells, ["image"], list(named["median"]), list(named["mean"])).drop("cells")
+
+
+def with_morphology(scores: DataFrame, morphology: DataFrame) -> DataFrame:
+    """Images that have both scores and measured cells."""
+    return scores.join(morphology, "image", "inner")
+
+
+def back_fill(cells: DataFrame, clustered: DataFrame, columns: list[str], keys: tuple[str, ...] = ("image", "cell_id")) -> DataFrame:
+    """All cells with what only the clustered ones have: ``columns``, and the cluster's display label; NULL for the others."""
+    out = cells.join(clustered.select(*keys, *columns), list(keys), "left")
+    return out.withColumn("phenotype_cluster_label", E.cluster_label(F.col("phenotype_cluster"))) if "phenotype_cluster" in columns else out
+
+
+def in_class_order(table: DataFrame, key: str, classes: list) -> DataFrame:
+    """A row for each class in the order given, with what ``table`` has for it; others go."""
+    order = table.sparkSession.createDataFrame([(i, c) for i, c in enumerate(classes)], f"class_order int, `{key}` {dict(table.dtypes)[key]}")
+    return order.join(table, key, "left").orderBy("class_order")
+
+
+def first_values(cells: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What each image's cells say of it.  The columns follow from the image; the least non-null value is given, so that no order matters."""
+    return cells.groupBy(key).agg(*(F.min(c).alias(c) for c in columns))
+
+
 def line_summary(raw: DataFrame, qc: DataFrame, images: DataFrame, limits: DataFrame, key: str = "cell_line") -> DataFrame:
     """A row for each line: cells, images, medians, quality counts, limits."""
     a = group_summary(raw, [key], ["area", "eccentricity", "solidity", "neighbours_within_50px"]).withColumnRenamed("cells", "predicted_cells")
@@ -188,7 +256,8 @@ def composition(cells: DataFrame, keys: list[str], part: str) -> DataFrame:
     for k in (*keys, part):
         cells = cells.where(F.col(k).isNotNull())
     n = cells.groupBy(*keys, part).agg(F.count("*").alias("cells"))
-    grid = n.select(*keys).distinct().crossJoin(F.broadcast(n.select(part).distinct()))  # a handful of clusters
+    # every key gets all parts, a handful of clusters, as an array
+    grid = n.select(*keys).distinct().crossJoin(n.agg(F.collect_set(part).alias("__parts"))).select(*keys, F.explode("__parts").alias(part))
     out = grid.join(n, [*keys, part], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
     total = F.sum("cells").over(Window.partitionBy(*keys))
     return out.withColumns({"total_cells": total, "cluster_fraction": F.col("cells") / total})
@@ -196,7 +265,7 @@ def composition(cells: DataFrame, keys: list[str], part: str) -> DataFrame:
 
 def quartile_bins(df: DataFrame, value: str, name: str, labels: list[str]) -> DataFrame:
     """Right-closed quartile bins, the lowest edge included; edges that fall together merge."""
-    edges = df.agg(F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("e")).select(F.array_distinct("e").alias("e"))
+    edges = quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0]).select(F.array_distinct("q").alias("e"))
     at = F.size(F.filter(F.slice(F.col("e"), F.lit(2), F.size("e") - 2), lambda x: x < F.col(value)))
     names = F.array(*map(F.lit, labels))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.get(names, at))).drop("e")  # one row

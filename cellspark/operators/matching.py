@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .quantiles import quantiles
 
 
 def paint(pixels: DataFrame) -> DataFrame:
@@ -48,6 +49,28 @@ def best_match(ious: DataFrame, labels: DataFrame, side: str, other: str) -> Dat
     return out.select("image", side, F.coalesce(-F.col("b.low"), F.lit(1)).alias(f"best_{other}"), F.coalesce("b.iou", F.lit(0.0)).alias("best_iou")).withColumn("matched", F.col("best_iou") >= E.IOU_THRESHOLD)
 
 
+def failures(best: DataFrame) -> DataFrame:
+    """Labels whose best match stays under the threshold."""
+    return best.where(F.col("best_iou") < E.IOU_THRESHOLD)
+
+
+def with_best_match(cells: DataFrame, best: DataFrame, label: str = "label", side: str = "gt_label") -> DataFrame:
+    """Cells with their best match, by label; 0 and IoU 0 for a cell that was painted over and so has none.
+
+    ``segmentation_success`` is ``matched`` as a number.
+    """
+    found = best.withColumnRenamed(side, label)
+    other = next(c for c in best.columns if c.startswith("best_") and c != "best_iou")
+    out = cells.join(found, ["image", label], "left").withColumns({other: F.coalesce(other, F.lit(0)), "best_iou": F.coalesce("best_iou", F.lit(0.0)), "matched": F.coalesce("matched", F.lit(False))})
+    return out.withColumn("segmentation_success", F.col("matched").cast("int"))
+
+
+def iou_summary(matches: DataFrame, iou: str = "iou") -> DataFrame:
+    """Mean and median IoU over all rows given: matched ones only, or all cells with 0 for the unmatched."""
+    q = quantiles(matches, iou, [0.5]).select(F.get("q", 0).alias("median_iou"))
+    return matches.agg(F.count(iou).alias("objects"), F.avg(iou).alias("mean_iou")).crossJoin(F.broadcast(q))  # one row
+
+
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Row and column pairs of a least-cost assignment (shortest augmenting paths)."""
     turned = cost.shape[0] > cost.shape[1]
@@ -128,13 +151,21 @@ def select_best(summary: DataFrame, order: str) -> DataFrame:
     return summary.orderBy(F.desc_nulls_last("f1"), F.desc_nulls_last("mean_matched_iou"), F.desc_nulls_last("recall"), F.asc(order)).limit(1)
 
 
+#: A grid of more configurations than this is refused: each is run on every image.
+MOST_CONFIGS = 1000
+
+
 def segment(images: DataFrame, configs: DataFrame, segmenter, schema: str = "image string, config_id string, row int, col int, label long") -> DataFrame:
     """Predicted pixels of every image under every configuration.
 
     ``segmenter()`` makes, once a task, a function (image row, config row) -> label
     array; no model comes with this library.
     """
-    pairs = images.crossJoin(F.broadcast(configs))  # a grid of a dozen configurations
+    few = configs.collect()  # a grid of a dozen configurations
+    if len(few) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} configurations")
+    grid = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in configs.schema)) for r in few))
+    pairs = images.withColumn("__c", F.explode(grid)).select(*images.columns, "__c.*") if few else images.crossJoin(configs)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = segmenter()

@@ -1,4 +1,4 @@
-"""Phenotypes and classifiers with pyspark.ml: PCA, K-means, silhouette, grouped cross-validation."""
+"""Phenotypes with pyspark.ml: PCA, K-means, silhouette, choice of the number of clusters."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
+from .quantiles import quantiles
 
 
 def spread(df: DataFrame, array: str, n: int) -> DataFrame:
@@ -23,11 +23,11 @@ def spread(df: DataFrame, array: str, n: int) -> DataFrame:
 
 def scaled_vector(df: DataFrame, columns: list[str], center: bool = False) -> DataFrame:
     """Robustly scaled columns as the vector ``features``; centred on means for PCA."""
-    out = stats.robust_scale(df, columns)
+    out = df.withColumns(stats.scaling(df, columns))
     names = [f"{c}_scaled" for c in columns]
     if center:
-        means = out.agg(*(F.avg(c).alias(f"__{c}") for c in names))
-        out = out.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"__{c}") for c in names}).drop(*(f"__{c}" for c in names))  # one row
+        means = out.agg(*(F.avg(c) for c in names)).first()
+        out = out.withColumns({c: F.col(c) - F.lit(m) for c, m in zip(names, means, strict=True)})
     return VectorAssembler(inputCols=names, outputCol="features").transform(out)
 
 
@@ -51,15 +51,21 @@ def pca_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("cumulative_explained_variance", total).drop("i")
 
 
-def cluster(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area", key: str = "cell_id") -> DataFrame:
-    """K-means, the best of several starts; clusters renumbered 1 ... k by ascending median of ``order_by``."""
-    vectors = scaled_vector(df, columns).cache()
+def fit_clusters(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area") -> tuple[DataFrame, float]:
+    """(rows with phenotype_cluster, inertia): K-means, the best of several starts; clusters renumbered 1 ... k by ascending median of ``order_by``."""
+    rows = scaled_vector(df, columns)
+    vectors = rows.select("features").persist()
     fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(vectors) for i in range(restarts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    raw = best.transform(vectors)
-    medians = raw.groupBy("prediction").agg(F.median(order_by).alias("m"))
-    names = medians.withColumn("phenotype_cluster", F.row_number().over(Window.orderBy("m", "prediction"))).drop("m")  # k rows
-    return raw.join(F.broadcast(names), "prediction").drop("prediction", "features")
+    vectors.unpersist()
+    raw = best.transform(rows)
+    medians = quantiles(raw, order_by, [0.5], "prediction")
+    names = medians.select("prediction", F.row_number().over(Window.orderBy(F.get("q", F.lit(0)), "prediction")).alias("phenotype_cluster"))  # k rows
+    return raw.join(names, "prediction").drop("prediction", "features"), float(best.summary.trainingCost)
+
+
+def cluster(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area") -> DataFrame:
+    return fit_clusters(df, columns, k, restarts, seed, order_by)[0]
 
 
 def silhouette(df: DataFrame, columns: list[str], label: str, key: str, sample: int = 10_000, seed: int = 42) -> float:
@@ -77,8 +83,10 @@ def silhouette(df: DataFrame, columns: list[str], label: str, key: str, sample:
     def task(batches):
         for b in batches:
             mine, own = b[columns].to_numpy(float), b[label].to_numpy()
-            d = np.sqrt(((mine[:, None, :] - x[None]) ** 2).sum(2))
-            sums = np.stack([d[:, y == n].sum(1) for n in names], 1)
+            sums = np.zeros((len(mine), len(names)))
+            for i in range(0, len(mine), 64):  # 64 rows against the sample at a time
+                d = np.sqrt(sum((mine[i : i + 64, None, k] - x[None, :, k]) ** 2 for k in range(len(columns))))
+                sums[i : i + 64] = np.stack([d[:, y == n].sum(1) for n in names], 1)
             size = np.array([(y == n).sum() for n in names])
             at = np.searchsorted(names, own)
             r = np.arange(len(mine))
@@ -92,39 +100,26 @@ def silhouette(df: DataFrame, columns: list[str], label: str, key: str, sample:
     return rows.repartition(8).mapInPandas(task, "s double").agg(F.avg("s")).first()[0]
 
 
-def select_k(df: DataFrame, columns: list[str], key: str, order_by: str, most: int = 6, restarts: int = 20) -> tuple[int, list[tuple[int, float]]]:
-    """The number of clusters (2 ... most) of the highest silhouette, the smallest of equals."""
+def select_k(df: DataFrame, columns: list[str], key: str, order_by: str, most: int = 6, restarts: int = 20) -> tuple[int, list[tuple[int, float, float]]]:
+    """The number of clusters (2 ... most) of the highest silhouette, the smallest of equals, and (k, silhouette, inertia) of each."""
     n = df.count()
     if n < 3:
         raise ValueError("too few cells to choose a number of clusters")
-    names = [f"{c}_scaled" for c in columns]
-    found = [(k, silhouette(cluster(df, columns, k, restarts, order_by=order_by, key=key), names, "phenotype_cluster", key)) for k in range(2, min(most, n - 1) + 1)]
+    names, found = [f"{c}_scaled" for c in columns], []
+    for k in range(2, min(most, n - 1) + 1):
+        rows, inertia = fit_clusters(df, columns, k, restarts, order_by=order_by)
+        found.append((k, silhouette(rows, names, "phenotype_cluster", key), inertia))
     return max(found, key=lambda x: (x[1], -x[0]))[0], found
 
 
+def loadings(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, PC1, ...): what each scaled column gives to each component."""
+    _, loads, _ = pca(df, columns)
+    rows = [(c, *map(float, loads[i])) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "feature string" + "".join(f", PC{i + 1} double" for i in range(len(columns))))
+
+
 def align(centres: np.ndarray, reference: np.ndarray) -> list[int]:
     """For each centre the reference it goes to: least summed distance over all permutations (k is at most 6)."""
     d = np.sqrt(((centres[:, None] - reference[None]) ** 2).sum(2))
     return list(min(itertools.permutations(range(len(reference))), key=lambda p: sum(d[i, j] for i, j in enumerate(p))))
-
-
-def grouped_cv(df: DataFrame, columns: list[str], label: str, group: str, folds: int = 5, models: tuple[str, ...] = ("logistic", "forest"), most: int = 5000, seed: int = 42) -> DataFrame:
-    """Out-of-fold metrics of each fold and model; groups never stand on both sides."""
-    placed = stats.group_folds(df, group, label, folds, seed)
-    data = scaled_vector(df, columns).join(F.broadcast(placed), group)  # a row for each field of view
-    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    data = index.transform(data).cache()
-    ids = [c for c, _ in df.dtypes if c not in (*columns, label) and _ not in ("array<float>", "array<double>")]
-    out = []
-    for fold in range(folds):
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        if stats.leaks(train, test, group).count():
-            raise RuntimeError("a group stands in both training and test data")
-        train = stats.balanced_sample(train, label, most, seed + fold, *ids).cache()
-        n = train.count()
-        for name in models:
-            fitted = (LogisticRegression(labelCol="y", family="multinomial", regParam=1 / max(n, 1), standardization=False, maxIter=200) if name == "logistic" else RandomForestClassifier(labelCol="y", numTrees=300, minInstancesPerNode=5, featureSubsetStrategy="sqrt", maxDepth=20, maxBins=128, seed=seed + fold)).fit(train)
-            got = fitted.transform(test).select("y", "prediction")
-            m = stats.overall_metrics(stats.class_metrics(got, "y", "prediction"), got, "y", "prediction").first()
-            out.append((fold, name, n, got.count(), m["accuracy"], m["balanced_accuracy"], m["macro_f1"]))
-    return df.sparkSession.createDataFrame(out, "fold int, model string, training_cells long, held_out_cells long, accuracy double, balanced_accuracy double, macro_f1 double")

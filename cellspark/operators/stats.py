@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def value_ranks(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, value, n, rank): average rank of each distinct value.
-
-    Ranks come from counts of distinct values, so what is sorted in a key is its
-    distinct values and not its rows.
-    """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return n.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+from ..functions import expressions as E
+from .quantiles import column_quantiles, quantiles, value_ranks
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -59,10 +53,37 @@ def spearman_p(rho: float, n: int) -> float:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(group, n, u) of both groups: rank sums over all rows, ties averaged."""
-    r = value_ranks(df.where(F.col(group).isNotNull()), value).select(value, "rank")
-    s = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k")).join(r, value)
-    return s.groupBy(group).agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("rank")) - F.sum("k") * (F.sum("k") + 1) / 2).alias("u"))
+    """(group, n, u, ties) of both groups: rank sums over all rows, ties averaged; ties = sum of t^3 - t over values."""
+    r = value_ranks(df.where(F.col(group).isNotNull()), value)
+    ties = r.agg(F.coalesce(F.sum(F.pow(F.col("n"), 3) - F.col("n")), F.lit(0.0)).alias("ties"))
+    s = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k")).join(r.select(value, "rank"), value)
+    return s.groupBy(group).agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("rank")) - F.sum("k") * (F.sum("k") + 1) / 2).alias("u")).crossJoin(F.broadcast(ties))  # one row
+
+
+def mann_whitney_exact_p(u: float, n1: int, n2: int) -> float:
+    """Two-sided p-value of the exact distribution of U without ties: counts of rank sets by their sum."""
+    ways = np.zeros((n1 + 1, n1 * n2 + 1))
+    ways[0, 0] = 1
+    for j in range(1, n1 + n2 + 1):  # each rank in turn may join the first group
+        for i in range(min(j, n1), 0, -1):
+            shift = j - i
+            ways[i, shift:] += ways[i - 1, : ways.shape[1] - shift] if shift else ways[i - 1]
+    top = max(u, n1 * n2 - u)
+    return float(min(1.0, 2 * ways[n1, math.ceil(top) :].sum() / ways[n1].sum()))
+
+
+def mann_whitney_test(df: DataFrame, value: str, group: str) -> dict:
+    """U of the first group in order, both sizes and the two-sided p-value.
+
+    Exact where a group has at most 8 rows and no values tie, else by the normal approximation.
+    """
+    rows = sorted(mann_whitney(df, value, group).collect(), key=lambda r: r[0])  # two groups
+    if len(rows) != 2:
+        raise ValueError(f"two groups are compared, not {len(rows)}")
+    a, b = rows
+    exact = min(a["n"], b["n"]) <= 8 and not a["ties"]
+    p = mann_whitney_exact_p(a["u"], a["n"], b["n"]) if exact else mann_whitney_p(a["u"], a["n"], b["n"], a["ties"])
+    return {"group": a[0], "u": a["u"], "n1": a["n"], "n2": b["n"], "p": p, "method": "exact" if exact else "asymptotic"}
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0) -> float:
@@ -75,19 +96,28 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0) -> float:
     return math.erfc(z / math.sqrt(2))
 
 
+def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    return column_quantiles(df, columns, [0.25, 0.5, 0.75]).withColumnsRenamed({c: f"__{c}" for c in columns})
+
+
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / IQR of each column, exact; a zero IQR divides by 1."""
-    stats = df.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    out = df.crossJoin(F.broadcast(_quartiles(df, columns)))  # one row
     q = lambda c, i: F.get(F.col(f"__{c}"), i)
     scale = lambda c: F.when(q(c, 2) == q(c, 0), 1.0).otherwise(q(c, 2) - q(c, 0))
     return out.withColumns({f"{c}_scaled": (F.col(c) - q(c, 1)) / scale(c) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
+def scaling(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """The same as expressions with the quartiles of ``df`` as constants, which come to the driver: for rows that aren't in ``df``, too."""
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75]).first()
+    none = [None] * 3
+    return {f"{c}_scaled": (F.col(c) - F.lit((q[c] or none)[1])) / F.lit(((q[c] or none)[2] or 0) - ((q[c] or none)[0] or 0) or 1.0) for c in columns}
+
+
 def relative_profile(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(median of the group - global median) / global IQR; NULL where the IQR is 0."""
-    stats = df.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__{c}") for c in columns))
-    m = df.groupBy(key).agg(*(F.median(c).alias(c) for c in columns)).crossJoin(F.broadcast(stats))  # one row
+    m = df.groupBy(key).agg(*(F.median(c).alias(c) for c in columns)).crossJoin(F.broadcast(_quartiles(df, columns)))  # one row
     q = lambda c, i: F.get(F.col(f"__{c}"), i)
     return m.select(key, *(F.try_divide(F.col(c) - q(c, 1), q(c, 2) - q(c, 0)).alias(c) for c in columns))
 
@@ -109,10 +139,14 @@ def confusion(df: DataFrame, true: str, pred: str, labels: list) -> DataFrame:
     return df.groupBy(true).pivot(pred, labels).count().na.fill(0)
 
 
+def normalised_confusion(counts: DataFrame, true: str, labels: list) -> DataFrame:
+    """Each row of ``confusion`` as shares of its sum, 0 where a class has no rows."""
+    total = sum((F.col(str(x)) for x in labels), F.lit(0))
+    return counts.select(true, *(E.ratio(F.col(str(x)), total).alias(str(x)) for x in labels))
+
+
 def class_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support of each class; 0 where undefined."""
-    from ..functions import expressions as E
-
     n = df.groupBy(true, pred).agg(F.count("*").alias("n"))
     rows = n.select(F.col(true).alias("label"), F.col("n").alias("support"), F.when(F.col(true) == F.col(pred), F.col("n")).otherwise(0).alias("tp"), F.lit(0).alias("predicted"))
     cols = n.select(F.col(pred).alias("label"), F.lit(0).alias("support"), F.lit(0).alias("tp"), F.col("n").alias("predicted"))
@@ -148,20 +182,53 @@ def diverse_top(df: DataFrame, key: str, spread: str, order: list[Column], n: in
     return out.withColumn("selection_rank", rank).where(F.col("selection_rank") <= n).drop("pass")
 
 
-def capped_status(df: DataFrame, key: str, order: str, found: Column, cap: int) -> DataFrame:
-    """evaluated, limit or missing: the cap counts what was found before, in order."""
-    before = F.coalesce(F.sum(found.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("status", F.when(before >= cap, "evaluation_limit_reached").when(found, "evaluated").otherwise("not_in_annotation_file"))
+def capped_status(df: DataFrame, key: str, order: str, found: Column, cap: int, annotated: Column | None = None, enabled: bool = True) -> DataFrame:
+    """What becomes of each image's evaluation, in this order: evaluation_disabled, annotation_file_not_found,
+    evaluation_limit_reached, not_in_annotation_file, evaluated.
+
+    ``annotated`` tells whether the line has an annotation file, ``found`` whether the file
+    names the image.  The cap counts what was evaluated before, in order.
+    """
+    if not enabled:
+        return df.withColumn("status", F.lit("evaluation_disabled"))
+    has = F.lit(True) if annotated is None else F.coalesce(annotated, F.lit(False))
+    scored = (has & F.coalesce(found, F.lit(False))).cast("int")
+    before = F.coalesce(F.sum(scored).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("status", F.when(~has, "annotation_file_not_found").when(before >= cap, "evaluation_limit_reached").when(scored == 1, "evaluated").otherwise("not_in_annotation_file"))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, count, mean, std, min, q25, median, q75, max) of each numeric column, exact; std is the sample's."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
+    long = df.select(pairs.alias("x")).select("x.*")
+    plain = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, "v", [0.25, 0.5, 0.75], "column").select("column", *(F.get("q", i).alias(n) for i, n in enumerate(("q25", "median", "q75"))))
+    return plain.join(q, "column", "left").select("column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
+def by_strength(correlations: DataFrame) -> DataFrame:
+    """Strongest correlation first, whatever its sign; undefined ones last."""
+    return correlations.orderBy(F.desc_nulls_last(F.abs("rho")))
+
 
+def sampled(df: DataFrame, most: int, seed: int, *ids: str) -> DataFrame:
+    """At most so many rows for a plot, chosen by a seeded hash of the ids: the same on every run."""
+    return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(most)
 
-def balanced_sample(df: DataFrame, key: str, most: int, seed: int, *ids: str) -> DataFrame:
-    """As many rows of every class: the smallest class' count, ``most`` at most; chosen by a seeded hash."""
-    counts = [r[1] for r in df.groupBy(key).count().collect()]  # a row for each class
+
+def balanced_sample(df: DataFrame, key: str, most: int, seed: int, *ids: str, classes: list | None = None) -> DataFrame:
+    """As many rows of every class: the smallest class' count, ``most`` at most; chosen by a seeded hash.
+
+    With ``classes``, one of them that has no row is an error.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(key).count().collect()}  # a row for each class
+    if missing := [c for c in classes or () if not counts.get(c)]:
+        raise ValueError(f"no rows of class {missing}")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= min([most, *counts])).drop("__rank")
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= min([most, *counts.values()])).drop("__rank")
 
 
-def resampled_means(x: np.ndarray, draws: int, seed: int, most: int = 1 << 20) -> np.ndarray:
+def resampled_means(x: np.ndarray, draws: int, seed: int | list[int], most: int = 1 << 20) -> np.ndarray:
     """Means of so many resamples, drawn in blocks of about ``most`` values; blocks change no draw."""
     if not len(x):
         return np.array([np.nan])
@@ -169,13 +236,21 @@ def resampled_means(x: np.ndarray, draws: int, seed: int, most: int = 1 << 20) -
     return np.concatenate([x[r.integers(0, len(x), (min(step, draws - i), len(x)))].mean(1) for i in range(0, draws, step)])
 
 
+def _own_seed(seed: int, *values) -> list[int]:
+    """A seed of its own for each group, so that no two draw the same."""
+    return [seed, zlib.crc32(repr([str(v) for v in values]).encode())]
+
+
 def bootstrap_means(df: DataFrame, keys: list[str], value: str, draws: int = 2000, seed: int = 43) -> DataFrame:
-    """Mean and 2.5 and 97.5 percentiles of resampled means of each group of a few hundred rows."""
-    import pandas as pd
+    """Mean and 2.5 and 97.5 percentiles of resampled means of each group of a few hundred rows.
+
+    Groups draw independently.  Values that are not finite don't count.
+    """
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[value].dropna().to_numpy(float)
-        means = resampled_means(x, draws, seed)
+        x = np.sort(rows[value].to_numpy(float))
+        x = x[np.isfinite(x)]
+        means = resampled_means(x, draws, _own_seed(seed, *rows[keys].iloc[0]))
         out = rows[keys].iloc[:1].copy()
         return out.assign(n_images=len(x), mean=x.mean() if len(x) else None, ci_lower=np.percentile(means, 2.5), ci_upper=np.percentile(means, 97.5))
 

@@ -4,24 +4,95 @@ from __future__ import annotations
 
 import json
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-COCO = "images array<struct<id:bigint,file_name:string,height:int,width:int>>, annotations array<struct<id:bigint,image_id:bigint,segmentation:array<array<double>>>>"
+#: A segmentation is read as text: a list of polygons, or run lengths.
+COCO = "images array<struct<id:bigint,file_name:string,height:int,width:int>>, annotations array<struct<id:bigint,image_id:bigint,segmentation:string>>"
+DEFAULT_MODEL = "cpsam_v2"
 PARAMETERS = ("diameter", "cellprob_threshold", "flow_threshold", "min_size")
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images with their position in the file, annotations with label numbers by position)."""
+    """(images with their position in the file, annotations with label numbers by position).
+
+    An annotation has ``segmentation`` (polygons) or ``runs`` (lengths of background and
+    cell in turn, down the columns), the other is NULL.
+    """
     whole = spark.read.schema(COCO).option("multiLine", True).json(path)
     images = whole.select(F.posexplode("images").alias("pos", "i")).select("pos", "i.*")
     notes = whole.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*")
     label = F.row_number().over(Window.partitionBy("image_id").orderBy("pos"))
-    return images, notes.withColumn("label", label)
+    polygons = F.when(F.col("segmentation").startswith("["), F.from_json("segmentation", "array<array<double>>"))
+    counts = F.get_json_object("segmentation", "$.counts")
+    runs = F.when(counts.startswith("["), F.from_json(counts, "array<int>")).when(counts.isNotNull(), unpack_runs(counts))
+    return images, notes.withColumns({"label": label, "runs": runs}).withColumn("segmentation", polygons)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def unpack_runs(counts: pd.Series) -> pd.Series:
+    """Run lengths from their packed text: five bits a character from 48 on, the sixth for more to come; from the third on, differences to the last but one."""
+
+    def one(text: str | None) -> list[int] | None:
+        if text is None:
+            return None
+        out: list[int] = []
+        value = shift = 0
+        for ch in text:
+            bits = ord(ch) - 48
+            value |= (bits & 31) << shift
+            shift += 5
+            if not bits & 32:
+                if bits & 16:
+                    value -= 1 << shift
+                out.append(value + out[-2] if len(out) > 2 else value)
+                value = shift = 0
+        return out
+
+    return counts.map(one)
+
+
+def catalogue_counts(images: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row: images and annotations."""
+    return images.agg(F.count("*").alias("images")).crossJoin(notes.agg(F.count("*").alias("annotations")))  # one row each
+
+
+def first_image(images: DataFrame) -> DataFrame:
+    """The first in the file's order."""
+    return images.orderBy("pos").limit(1)
+
+
+def find_image(images: DataFrame, file_name: str):
+    """The first image of that name; an error if there is none."""
+    row = images.where(F.col("file_name") == file_name).orderBy("pos").first()
+    if row is None:
+        raise LookupError(f"no image {file_name}")
+    return row
+
+
+def name_index(images: DataFrame) -> DataFrame:
+    """(file_name, image_id): of a repeated name the last stands."""
+    return images.groupBy("file_name").agg(F.max_by("id", "pos").alias("image_id"))
+
+
+def annotation_file(spark: SparkSession, folder: str, line: str) -> str | None:
+    """The first that exists of the line's two usual names in ``folder``, or None."""
+    for name in (f"{line.lower()}_train.json", f"{line}_train.json"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return f"{folder.rstrip('/')}/{name}"
+    return None
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header and a declared schema; a header that differs is an error, empty fields are NULL."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -31,7 +102,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """An uncompressed single-channel TIFF of 8, 16 or 32 bits, losslessly."""
+    """A single-channel TIFF of 8, 16 or 32 bits, losslessly; strips as they are, deflated or packed in runs of bytes."""
     order = "<" if data[:2] == b"II" else ">"
     at = struct.unpack(order + "I", data[4:8])[0]
     tags = {}
@@ -41,13 +112,27 @@ def decode_tiff(data: bytes) -> np.ndarray:
         code, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("B", 1))
         raw = entry[8:] if n * size <= 4 else data[struct.unpack(order + "I", entry[8:])[0] :]
         tags[tag] = struct.unpack(order + code * n, raw[: n * size])
-    if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-        raise ValueError("only uncompressed single-channel images")
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bytes}.get(tags.get(259, (1,))[0])
+    if unpack is None or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
+        raise ValueError("only single-channel images without prediction, stored plainly, deflated or packed")
     width, height, bits = tags[256][0], tags[257][0], tags.get(258, (1,))[0]
-    pixels = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
+    pixels = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[273], tags[279], strict=True))
     return np.frombuffer(pixels, f"{order}u{bits // 8}").reshape(height, width)
 
 
+def _unpack_bytes(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:  # n + 1 bytes as they are
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:  # the next one 257 - n times; 128 says nothing
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 def encode_tiff(image: np.ndarray) -> bytes:
     """The same, one strip, little endian."""
     image = np.ascontiguousarray(image, image.dtype.newbyteorder("<"))
@@ -57,18 +142,85 @@ def encode_tiff(image: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(pixels)) + pixels + struct.pack("<H", len(entries)) + table + b"\0" * 4
 
 
-def read_pixels(spark: SparkSession, folder: str, pattern: str = "*.tif", value: str = "label") -> DataFrame:
-    """(image, row, col, value) of every pixel; a file that fails gives no rows."""
+def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
+    """(image, status, message, height, width, bits, pixels) of every file: decoded pixels row by row as little-endian bytes.
+
+    A file that can't be decoded has the status ``failed``, a message and no pixels; the
+    others are ``completed``.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
-                a = decode_tiff(content)
-                r, c = np.indices(a.shape)
-                yield pd.DataFrame({"image": path.rsplit("/", 1)[-1], "row": r.ravel(), "col": c.ravel(), value: a.ravel().astype(np.int64)})
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    a = decode_tiff(content)
+                    row = (name, "completed", None, a.shape[0], a.shape[1], a.itemsize * 8, a.astype(a.dtype.newbyteorder("<")).tobytes())
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                    row = (name, "failed", f"{type(e).__name__}: {e}", None, None, None, None)
+                yield pd.DataFrame([row], columns=["image", "status", "message", "height", "width", "bits", "pixels"]).astype({"height": "Int32", "width": "Int32", "bits": "Int32"})
+
+    return files.mapInPandas(task, "image string, status string, message string, height int, width int, bits int, pixels binary")
+
+
+def explode_pixels(images: DataFrame, value: str = "label") -> DataFrame:
+    """(image, row, col, value) of every pixel of ``read_images``."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples():
+                r, c = np.indices((int(x.height), int(x.width)))
+                yield pd.DataFrame({"image": x.image, "row": r.ravel(), "col": c.ravel(), value: np.frombuffer(x.pixels, f"<u{int(x.bits) // 8}").astype(np.int64)})
 
-    return files.mapInPandas(task, f"image string, row int, col int, {value} long")
+    return images.where("status = 'completed'").select("image", "height", "width", "bits", "pixels").mapInPandas(task, f"image string, row int, col int, {value} long")
+
+
+def read_pixels(spark: SparkSession, folder: str, pattern: str = "*.tif", value: str = "label") -> DataFrame:
+    """(image, row, col, value) of every pixel; a file that fails gives no rows (``read_images`` tells which)."""
+    return explode_pixels(read_images(spark, folder, pattern), value)
+
+
+def label_images(pixels: DataFrame, images: DataFrame, label: str = "label") -> DataFrame:
+    """(image, tiff): each image's labels as a 32-bit TIFF file's bytes; ``images`` has image, height, width.
+
+    Pixels that are not given are background.  An image is one group of bounded size.
+    """
+    rows = images.select("image", "height", "width").join(pixels.where(F.col(label) > 0).select("image", "row", "col", F.col(label).alias("__label")), "image", "left")
+
+    def draw(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(x.height.iloc[0]), int(x.width.iloc[0])), np.uint32)
+        x = x.dropna(subset=["__label"])
+        a[x["row"].astype(int), x["col"].astype(int)] = x["__label"].astype(np.int64)
+        return pd.DataFrame({"image": [key[0]], "tiff": [encode_tiff(a)]})
+
+    return rows.groupBy("image").applyInPandas(draw, "image string, tiff binary")
+
+
+def export_tiff(tiffs: DataFrame, folder: str, suffix: str = "_optimized_masks.tif") -> DataFrame:
+    """Writes each (image, tiff) to a file of its own in ``folder``, which all executors share; (image, path) of what was written.
+
+    A file is written under another name first and then renamed, so that a task that is
+    lost leaves no half of one.
+    """
+    from pyarrow import fs
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(at, recursive=True)
+        for batch in batches:
+            paths = []
+            for image, data in zip(batch.image, batch.tiff, strict=True):
+                path = f"{at}/{image.rsplit('.', 1)[0]}{suffix}"
+                draft = f"{path}.{zlib.crc32(data):08x}.part"
+                with files.open_output_stream(draft) as out:
+                    out.write(data)
+                files.move(draft, path)
+                paths.append(path)
+            yield pd.DataFrame({"image": batch.image, "path": paths})
+
+    out = tiffs.select("image", "tiff").mapInPandas(task, "image string, path string")
+    return tiffs.sparkSession.createDataFrame(out.collect(), "image string, path string")  # a name and a path a file
 
 
 def fill_polygon(points: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -85,32 +237,44 @@ def fill_polygon(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+def fill_runs(runs, height: int, width: int) -> np.ndarray:
+    """The mask of run lengths: background and cell in turn, down the columns."""
+    flat = np.repeat(np.arange(len(runs)) % 2 == 1, runs)[: height * width]
+    return np.pad(flat, (0, height * width - len(flat))).reshape(width, height).T
+
+
 def rasterise(notes: DataFrame) -> DataFrame:
-    """(image, row, col, label) of annotations (image, label, segmentation, height, width); parts of one unite."""
+    """(image, row, col, label) of annotations (image, label, segmentation, runs, height, width); parts of one unite.
+
+    An annotation has polygons or runs; one that covers no pixel gives no row.
+    """
+    notes = notes if "runs" in notes.columns else notes.withColumn("runs", F.lit(None).cast("array<int>"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x in batch.itertuples():
                 mask = np.zeros((x.height, x.width), bool)
-                for flat in x.segmentation:
+                if x.runs is not None:
+                    mask |= fill_runs(x.runs, x.height, x.width)
+                for flat in x.segmentation if x.segmentation is not None else ():
                     p = np.asarray(flat, float)
                     if len(p) >= 6:
                         mask |= fill_polygon(p[: len(p) // 2 * 2].reshape(-1, 2), x.height, x.width)
                 r, c = np.nonzero(mask)
                 yield pd.DataFrame({"image": x.image, "row": r, "col": c, "label": x.label})
 
-    return notes.select("image", "label", "segmentation", "height", "width").mapInPandas(task, "image string, row int, col int, label long")
+    return notes.select("image", "label", "segmentation", "runs", "height", "width").mapInPandas(task, "image string, row int, col int, label long")
 
 
 def load_parameters(spark: SparkSession, path: str) -> tuple[dict, dict]:
-    """(report, selected parameters) of a JSON file; a missing section or key is an error."""
+    """(report, selected parameters) of a JSON file; a missing section or key is an error.  The report's model has a usual name if it gives none."""
     report = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     selected = report.get("selected_parameters")
     if selected is None:
         raise KeyError("selected_parameters")
     if missing := [k for k in PARAMETERS if k not in selected]:
         raise KeyError(f"missing parameters: {missing}")
-    return report, selected
+    return {"model": DEFAULT_MODEL} | report, selected
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
@@ -132,8 +296,32 @@ def mask_cache(images: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFram
     return images.join(known, keys, "left_semi"), images.join(known, keys, "left_anti")
 
 
-def write_table(df: DataFrame, path: str, *order, csv: bool = False) -> None:
-    """Parquet, or CSV with a header; sorted with nulls last if asked."""
-    out = df.orderBy(*(F.asc_nulls_last(c) for c in order)) if order else df
+def write_table(df: DataFrame, path: str, *order, csv: bool = False, index: str | None = None) -> None:
+    """Parquet, or CSV with a header; sorted with nulls last if asked; ``index`` becomes the first column."""
+    out = df.select(index, *(c for c in df.columns if c != index)) if index else df
+    out = out.orderBy(*(F.asc_nulls_last(c) for c in order)) if order else out
     writer = out.write.mode("overwrite")
     writer.option("header", True).csv(path) if csv else writer.parquet(path)
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """A JSON document of a run's parameters and counts, as one line of text."""
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def save_model(model, path: str, about: dict) -> None:
+    """A fitted pipeline and, beside it, what it was made from (columns, classes, seed ...)."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    write_manifest(spark, f"{path}/about", about)
+
+
+def load_model(path: str) -> tuple:
+    """(fitted pipeline, what it was made from)."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), read_manifest(SparkSession.active(), f"{path}/about")

@@ -51,10 +51,13 @@ def test_two_mean_ious(spark):
 
 
 def test_file_names(spark):
-    df = spark.createDataFrame([("A172_Phase_D7_1_02d04h00m_3.tif",), ("A172_Phase_d7_1_02d04h00m_3.tif",), ("x.png",), (None,)], "image string")
-    rows = E.add_filename_metadata(df).collect()
-    assert (rows[0].cell_line, rows[0].well, rows[0].location, rows[0].elapsed_hours, rows[0].crop) == ("A172", "D7", 1, 52.0, 3)
-    assert all(r.cell_line is None and r.elapsed_hours is None for r in rows[1:])
+    names = ["A172_Phase_D7_1_02d04h00m_3.tif", "A172_Phase_d7_1_02d04h00m_3.tif", "A172_Phase_D7_1_2d4h0m_3.tif", "A172_Phase_D12_1_100d04h30m_3.tif", "x.png", "A172_Phase_D7_1_02d04h00m_3.tiff", "A172_Phase_7D_1_02d04h00m_3.tif", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, image string")
+    rows = E.add_filename_metadata(df).orderBy("i").collect()
+    assert [(r.cell_line, r.well, r.location, r.elapsed_hours, r.crop) for r in rows[:4]] == [("A172", "D7", 1, 52.0, 3), ("A172", "d7", 1, 52.0, 3), ("A172", "D7", 1, 52.0, 3), ("A172", "D12", 1, 2404.5, 3)]
+    assert all(r.cell_line is None and r.elapsed_hours is None for r in rows[4:])
+    forced = E.metadata_for_line(df, F.lit("BV2")).orderBy("i").collect()
+    assert {r.cell_line for r in forced} == {"BV2"} and forced[4].well is None
 
 
 def test_quality_flags_with_nan_null_and_text_booleans(spark):
@@ -86,7 +89,24 @@ def test_constant_column_scales_to_zero(spark):
 def test_region_shapes():
     assert cells.perimeter(np.ones((3, 3), bool)) == pytest.approx(8.0)
     r, c = np.nonzero(np.ones((4, 6)))
-    assert cells.hull_area(r, c) == 24.0
+    assert cells.hull_area(r, c) == 24
+    shapes = {"plus": ([0, 1, 1, 1, 2], [1, 0, 1, 2, 1], 5), "corner": ([0, 1, 2, 2, 2], [0, 0, 0, 1, 2], 6), "slant": ([0, 1, 2], [0, 1, 2], 3), "one": ([4], [4], 1), "ring": ([0, 0, 0, 1, 1, 2, 2, 2], [0, 1, 2, 0, 2, 0, 1, 2], 9)}
+    for rows, cols, area in shapes.values():
+        assert cells.hull_area(np.array(rows), np.array(cols)) == area
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_hull_against_every_line(seed):
+    """A centre is in the hull unless a line through two corners parts it from all of them."""
+    g = np.random.default_rng(seed)
+    mask = g.random((5, 6)) < 0.3
+    mask[2, 3] = True
+    r, c = np.nonzero(mask)
+    corners = [(2 * a + x, 2 * b + y) for a, b in zip(r, c) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    side = lambda p, q, x: (q[0] - p[0]) * (x[1] - p[1]) - (q[1] - p[1]) * (x[0] - p[0])
+    lines = [(p, q) for p in corners for q in corners if p != q and all(side(p, q, x) >= 0 for x in corners)]
+    want = sum(all(side(p, q, (2 * a, 2 * b)) >= 0 for p, q in lines) for a in range(5) for b in range(6))
+    assert cells.hull_area(r, c) == want
 
 
 def test_tiff_round_trip_and_polygon():
@@ -101,6 +121,26 @@ def test_p_values():
     assert stats.mann_whitney_p(50, 10, 10) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("n1,n2", [(1, 3), (3, 4), (5, 2), (4, 4)])
+def test_exact_rank_sum_against_all_choices(n1, n2):
+    us = [sum(ranks) - n1 * (n1 + 1) / 2 for ranks in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+    for u in set(us):
+        top = max(u, n1 * n2 - u)
+        assert stats.mann_whitney_exact_p(u, n1, n2) == pytest.approx(min(1.0, 2 * sum(x >= top for x in us) / len(us)))
+
+
+def test_rank_sum_test_picks_its_method(spark):
+    df = lambda a, b: spark.createDataFrame([(float(x), "a") for x in a] + [(float(x), "b") for x in b] + [(None, "a"), (1.0, None)], "v double, g string")
+    few = stats.mann_whitney_test(df([1, 2, 3], [4, 5, 6, 7]), "v", "g")
+    assert (few["u"], few["n1"], few["n2"], few["method"]) == (0.0, 3, 4, "exact") and few["p"] == pytest.approx(2 / 35)
+    tied = stats.mann_whitney_test(df([1, 1, 2], [1, 2, 2, 3]), "v", "g")
+    n, ties = 7, 3**3 - 3 + 3**3 - 3
+    z = (abs(tied["u"] - 6) - 0.5) / math.sqrt(12 / 12 * (n + 1 - ties / (n * (n - 1))))
+    assert tied["method"] == "asymptotic" and tied["p"] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    with pytest.raises(ValueError):
+        stats.mann_whitney_test(df([1], []), "v", "g")
+
+
 def test_folds_keep_groups_together(spark):
     df = spark.createDataFrame([(f"g{i % 12}", "ab"[i % 12 % 2], i) for i in range(240)], "g string, y string, i int")
     folds = stats.group_folds(df, "g", "y", 3)
@@ -119,9 +159,9 @@ def test_registered_queries_match_sql(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in "lineitem orders events customer part embeddings".split():
+    for t in "lineitem orders events customer part embeddings nation supplier".split():
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for name in ("overlap_iou", "match_metrics", "qc_flags", "crowding", "even_spaced_pick", "class_metrics", "regions"):
+    for name in ("overlap_iou", "match_metrics", "qc_flags", "crowding", "even_spaced_pick", "class_metrics", "shapes", "cell_table", "name_index", "two_stage_search"):
         df = queries.QUERIES[name](spark, d)
         cols = sorted(df.columns)
         got = sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
@@ -131,29 +171,15 @@ def test_registered_queries_match_sql(spark):
         assert got == sorted(tuple(str(x[names.index(c)]) for c in cols) for x in r.fetchall()), name
 
 
-def test_statistics_queries_do_the_whole_job(spark, monkeypatch):
+def test_statistics_queries_do_the_whole_job():
     import inspect
 
-    from cellspark.operators import phenotypes, stats
-    from cellspark.plans import queries
+    from cellspark.operators import classifier, validation
 
-    asked = {}
-    for module, name in ((stats, "bootstrap_means"), (phenotypes, "cluster"), (phenotypes, "grouped_cv")):
-        kept = inspect.signature(getattr(module, name))
-
-        def note(df, *args, kept=kept, name=name, **more):
-            found = kept.bind(df, *args, **more)
-            found.apply_defaults()
-            asked[name] = found.arguments
-            return df
-
-        monkeypatch.setattr(module, name, note)
-    queries.bootstrap_means(spark, "/root/testdata/sf0.001")
-    queries.logreg_cv(spark, "/root/testdata/sf0.001")
-    monkeypatch.setattr(phenotypes, "cluster", lambda df, *args, **more: asked.update(restarts=more.get("restarts", 20)) or df.withColumn("phenotype_cluster", df.vec_id))
-    queries.kmeans_labels(spark, "/root/testdata/sf0.001")
-    assert asked["bootstrap_means"]["draws"] == 2000 and asked["restarts"] == 20
-    assert asked["grouped_cv"]["folds"] == 5 and set(asked["grouped_cv"]["models"]) == {"logistic", "forest"}
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert default(stats.bootstrap_means, "draws") == 2000 and default(phenotypes.cluster, "restarts") == 20
+    assert default(classifier.cross_validate, "folds") == 5 and set(default(classifier.cross_validate, "models")) == {"logistic_regression", "random_forest"}
+    assert default(classifier.cross_validate, "trees") == 300 and default(validation.stability, "refits") == 100
 
 
 def test_resampled_means_in_blocks_are_the_same():
@@ -164,3 +190,37 @@ def test_resampled_means_in_blocks_are_the_same():
     x = np.random.default_rng(1).normal(size=37)
     whole = x[np.random.default_rng(43).integers(0, 37, (500, 37))].mean(1)
     assert all((stats.resampled_means(x, 500, 43, most) == whole).all() for most in (1, 100, 1 << 20))
+
+
+def test_exact_quantiles_against_numpy(spark):
+    g = np.random.default_rng(3)
+    rows = [("ab"[i % 2], float(x)) for i, x in enumerate(np.concatenate([g.normal(size=400), np.repeat(0.5, 100), [1e9, -1e9]]))] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    from cellspark.operators.quantiles import column_quantiles, counted, quantiles, value_ranks
+
+    shares = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    got = {r.k: r.q for r in quantiles(df, "v", shares, "k").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
+        assert got[k] == pytest.approx(list(np.quantile([v for x, v in rows if x == k], shares)))
+    every = [v for _, v in rows if v is not None]
+    assert quantiles(df, "v", shares).first().q == pytest.approx(list(np.quantile(every, shares)))
+    assert column_quantiles(df.withColumn("w", -F.col("v")), ["v", "w"], [0.25]).first().w[0] == pytest.approx(np.quantile([-v for v in every], 0.25))
+    ranks = {r.v: r["rank"] for r in value_ranks(df, "v").collect()}
+    assert all(ranks[v] == sum(x < v for x in every) + (sum(x == v for x in every) + 1) / 2 for v in every)
+    assert counted(df.where("false"), "v").count() == 0 and quantiles(df.where("false"), "v", [0.5]).first().q == [None]
+
+
+def test_groups_draw_independently(spark):
+    df = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(50)] + [("d", None)], "g string, v double")
+    got = {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in stats.bootstrap_means(df, ["g"], "v", 200).collect()}
+    assert len({x[1:] for k, x in got.items() if k != "d"}) == 3 and {got[k][0] for k in "abc"} == {24.5}
+    assert got == {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in stats.bootstrap_means(df.repartition(3), ["g"], "v", 200).collect()} or got["d"][0] is None
+    assert got["d"][0] is None
+
+
+def test_evaluation_statuses_in_order(spark):
+    df = spark.createDataFrame([("a", i, i % 2 == 0) for i in range(6)] + [("b", 1, True)], "line string, i int, found boolean")
+    run = lambda **more: [(r.line, r.i, r.status) for r in stats.capped_status(df, "line", "i", F.col("found"), 2, F.col("line") == "a", **more).orderBy("line", "i").collect()]
+    assert [x[2] for x in run()] == ["evaluated", "not_in_annotation_file", "evaluated", "evaluation_limit_reached", "evaluation_limit_reached", "evaluation_limit_reached", "annotation_file_not_found"]
+    assert {x[2] for x in run(enabled=False)} == {"evaluation_disabled"}
