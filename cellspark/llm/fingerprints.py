@@ -195,6 +195,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+#: Characters of text in a range of ids, about, and ranges at most.
+RANGE_CHARS, MOST_RANGES = 16 << 20, 4096
+
+
+def spots(spark, n: int) -> list[int]:
+    """For each of n partitions a number that ``repartition`` sends there: ranges dealt by their own numbers would share some partitions and leave others empty."""
+    found = spark.range(0, 64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to")).groupBy("to").agg(F.min("id")).collect()  # a row a partition
+    at = dict(map(tuple, found))
+    return [at.get(i, i) for i in range(n)]
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -210,8 +221,9 @@ def compare_in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     low = -(2**63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(low)))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({x for x in rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()[0] or []})
+    fine, chars = rows.agg(F.percentile_approx("key", [i / MOST_RANGES for i in range(1, MOST_RANGES)], 4 * MOST_RANGES), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), chars // RANGE_CHARS))
+    cuts = sorted({fine[i * MOST_RANGES // n - 1] for i in range(1, n)}) if fine else []
     bounds = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
     size, steps = len(cuts), [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
 
@@ -226,7 +238,7 @@ def compare_in_order(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("extra"))
     more = F.struct(F.get(back, F.col("bucket")).alias("to"), F.lit(True).alias("extra"))
     rows = rows.withColumn("dealt", F.explode(F.when(F.col("key") == F.get(first, F.col("bucket")), F.array(own, more)).otherwise(F.array(own))))
-    rows = rows.select("dealt.to", "dealt.extra", "key", "doc_id", "text").repartition(size + 1, "to").sortWithinPartitions("to", "extra", "key", "text")
+    rows = rows.select("dealt.to", "dealt.extra", "key", "doc_id", "text", F.get(F.lit(spots(spark, size + 1)).cast("array<long>"), F.col("dealt.to")).alias("spot")).repartition(size + 1, "spot").drop("spot").sortWithinPartitions("to", "extra", "key", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
