@@ -76,9 +76,9 @@ class Model:
         self.weights, self.thresholds, self.known = weights, thresholds, known
 
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
-        """P(grade > k) of each row, k = 0 ... GRADES - 2."""
+        """P(grade > k) of each row, one column a threshold."""
         if not rows:
-            return np.zeros((0, GRADES - 1))
+            return np.zeros((0, len(self.thresholds)))
         rows = only(rows, self.known)
         at = np.concatenate(rows)
         first = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
@@ -87,11 +87,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model:
+def ordered(free: np.ndarray) -> np.ndarray:
+    """Thresholds from the first and the logarithms of the gaps."""
+    return free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:]))))
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, n_grades: int = GRADES) -> Model:
     """Full-batch Adam on the mean log likelihood with a ridge; thresholds stay ordered by construction."""
-    weights, free = np.zeros(DIMS), np.array([-2.0, 0.5])  # first threshold, log of the gap
+    weights, free = np.zeros(DIMS), np.array([-2.0] + [0.5] * (n_grades - 2))
     if not len(rows):
-        return Model(weights, np.array([-2.0, -2.0 + np.exp(0.5)]), weights > 0)
+        return Model(weights, ordered(free), weights > 0)
     known = np.bincount(np.concatenate(rows), minlength=DIMS) >= LEAST_DOCS
     rows = only(rows, known)
     at = np.concatenate(rows)
@@ -99,12 +104,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     scale = size**-0.25
     spread = np.repeat(scale, size)
-    seen = np.bincount(grades, minlength=GRADES)
+    seen = np.bincount(grades, minlength=n_grades)
     share = (len(grades) / (np.maximum(seen, 1) * max(1, (seen > 0).sum()))) ** BALANCE
     each = share[grades] / share[grades].sum()
-    m, v, fm, fv = np.zeros(DIMS), np.zeros(DIMS), np.zeros(2), np.zeros(2)
+    m, v, fm, fv = np.zeros(DIMS), np.zeros(DIMS), np.zeros(len(free)), np.zeros(len(free))
     for step in range(1, steps + 1):
-        cuts = np.array([free[0], free[0] + np.exp(free[1])])
+        cuts = ordered(free)
         score = np.add.reduceat(weights[at], first) * scale
         up = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
         full = np.column_stack((np.ones(len(rows)), up, np.zeros(len(rows))))
@@ -113,13 +118,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
         above, below = slope[np.arange(len(rows)), grades], slope[np.arange(len(rows)), grades + 1]
         d_score = -each * (above - below) / p
         grad = np.bincount(at, np.repeat(d_score, size) * spread, DIMS) + RIDGE * weights / len(rows) ** 0.5
-        d_cut = np.array([(each * np.where(grades == k + 1, slope[:, k + 1] / p, np.where(grades == k, -slope[:, k + 1] / p, 0))).sum() for k in range(2)])
-        d_free = np.array([d_cut.sum(), d_cut[1] * np.exp(free[1])])
+        d_cut = np.array([(each * np.where(grades == k + 1, slope[:, k + 1] / p, np.where(grades == k, -slope[:, k + 1] / p, 0))).sum() for k in range(len(cuts))])
+        later = np.cumsum(d_cut[::-1])[::-1]
+        d_free = np.concatenate((later[:1], later[1:] * np.exp(free[1:])))
         for x, g, a, b in ((weights, grad, m, v), (free, d_free, fm, fv)):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x -= RATE * (1 - step / (steps + 1)) * (1 if x is weights else 4) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Model(weights, np.array([free[0], free[0] + np.exp(free[1])]), known)
+    return Model(weights, ordered(free), known)
 
 
 def graded(labels: DataFrame) -> DataFrame:

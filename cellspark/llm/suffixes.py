@@ -199,6 +199,46 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     return again.union(more).union(late)
 
 
+def first_bytes(rows: DataFrame, size: int) -> DataFrame:
+    """(key, pos, rank) of each position of (key, text) with ``size`` bytes from there on: these bytes as a number."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for top, raw, off in blocks(batch.column(1)):
+                for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    n = max(0, b - a - size + 1)
+                    rank = sum((raw[a + k : a + k + n].astype(np.int64) << 8 * (size - 1 - k) for k in range(size)), np.zeros(n, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, keys[top + i], np.int64)), pa.array(np.arange(n)), pa.array(rank)], ["key", "pos", "rank"])
+
+    return rows.mapInArrow(task, "key long, pos long, rank long")
+
+
+def repeated_by_sorting(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, pos) where a string of ``length`` bytes starts that also starts earlier, by plain prefix doubling.
+
+    Spark sorts the pairs of ranks at a position and at an offset from it, and their order
+    is the new rank; the offset doubles until the ranks are unique or cover ``length``
+    bytes.  Every position is a row in every round, so what is shuffled is many times the
+    text: this is for small tables, and for the tests of ``dedup_substrings``.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = 4
+    ranks = stash(first_bytes(rows, size))
+    while size < length:
+        step = min(size, length - size)
+        pairs = stash(ranks.join(ranks.select("key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next")), ["key", "pos"]))
+        order = pairs.groupBy("rank", "next").count().orderBy("rank", "next").select("rank", "next", "count", F.monotonically_increasing_id().alias("now"))
+        order = stash(order)
+        discard(ranks)
+        ranks = stash(pairs.join(order, ["rank", "next"]).select("key", "pos", F.col("now").alias("rank")))
+        size += step
+        if not order.where("count > 1").limit(1).count():
+            break
+    first = ranks.groupBy("rank").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return ranks.join(first, "rank").where(F.struct("key", "pos") > F.struct("first.key", "first.pos")).select("key", "pos").distinct()
+
+
 def cut(raw: bytes, packed: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
     """Bytes removed, number of removed runs, and the (start, end) that stay."""
     if not len(packed):

@@ -62,6 +62,18 @@ def test_suffixes_against_brute_force(docs, none):
     assert suffixes.dedup_substrings(none).count() == 0
 
 
+def test_plain_prefix_doubling_finds_the_same(spark):
+    texts = [(1, prose(1, 90)), (2, "lead " + prose(1, 90)[37:300] + " tail"), (3, "b" * 150), (4, None), (5, "short"), (6, "é" * 60 + prose(1, 90)[200:320])]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.key, r.pos) for r in suffixes.repeated_by_sorting(table).collect()}
+    seen, want = set(), set()
+    for i, t in texts:
+        b = (t or "").encode()
+        for p in range(len(b) - 99):
+            (want.add((i, p)) if b[p : p + 100] in seen else seen.add(b[p : p + 100]))
+    assert got == want and want
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FEW))
     return frozenset(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
@@ -470,3 +482,22 @@ def test_pipeline_keeps_its_promises(spark, tmp_path):
     assert set(got) == set(range(40)) | {100, 105}
     table = pieces.Table()
     assert "[SECRET]" in pieces.Encoder(table, {}).decode(np.array(got[105].ids)) and len(got[7].ids) == got[7].n_tokens
+
+
+def test_every_stage_takes_odd_rows_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    stems = ["lo", "mi", "que", "ción", "ar"]
+    say = lambda n: " ".join("".join(r.choice(stems) for _ in range(r.randint(1, 3))) for _ in range(n))
+    spark.createDataFrame([(1, say(20)), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, say(60), "aa") for i in range(20)] + [(50, None, "aa"), (51, "", "aa"), (52, "  12 ", "aa"), (None, say(60), "aa"), (None, say(60), None), (53, say(20_000), "aa"), (54, say(50), "aa"), (54, say(50), "aa")]
+    rows.append(rows[-1])
+    table = spark.createDataFrame([(*x, "s", 1, "clash", 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, key int")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, str(tmp_path))
+        sizes.append((name, got.count()))
+        assert name == "piece_encoding" or got.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, table.where("false"), str(tmp_path)).count() == 0
+    assert sizes == [("language_id", 26), ("near_dedup", 28), ("decontamination", 29), ("secret_scan", 29), ("piece_encoding", 29)]
