@@ -171,7 +171,7 @@ def even_pick(df: DataFrame, key: str, order: str, m: int) -> DataFrame:
     kind = dict(df.dtypes)[key]
     wanted = df.sparkSession.createDataFrame(spots, f"`{key}` {kind}, selection_rank int")
     ranked = df.withColumn("selection_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return ranked.join(F.broadcast(wanted), [key, "selection_rank"], "left_semi")  # at most m rows for each line
+    return ranked.join(wanted, [key, "selection_rank"], "left_semi")
 
 
 def diverse_top(df: DataFrame, key: str, spread: str, order: list[Column], n: int) -> DataFrame:
