@@ -471,6 +471,119 @@ def test_html(spark):
     assert html.extract(pages.where("false"), trees).count() == 0
 
 
+SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+
+
+def crc_held_out(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_pages_against_another_parser(spark):
+    """The article element as the standard library's parser sees it, on pages the trees never saw."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines = 0, [""]
+
+        def edge(self, tag, step):
+            self.inside += step * (tag == "article")
+            if tag in ("article", "h1", "h2", "h3", "p", "li", "ul", "ol", "blockquote", "div"):
+                self.lines.append("")
+            elif tag == "br" and step > 0:
+                self.lines[-1] += " "
+
+        def handle_starttag(self, tag, _):
+            self.edge(tag, 1)
+
+        def handle_endtag(self, tag):
+            self.edge(tag, -1)
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages, html.train(spark)).collect()}
+    same = 0
+    for r in pages.collect():
+        want = Article()
+        want.feed(r.html)
+        same += got[r.page_id] == "\n".join(x for x in (" ".join(line.split()) for line in want.lines) if x)
+    assert same >= 0.95 * len(got) and len(got) == pages.count()
+
+
+def test_deep_nesting_takes_no_square():
+    import time
+
+    began = time.time()
+    assert len(html.Page("<div>" * 20_000 + "x" + "</div>" * 20_000).tag) == 20_001
+    assert html.Page("<p>a" * 20_000 + "<li>b" * 20_000 + "</b>" * 20_000).features().shape[0] == 40_001
+    assert time.time() - began < 20
+
+
+def test_grades_on_held_out_labels():
+    """A third of the toxic labels stand on texts without any mark of it; the others must be told."""
+    import duckdb
+
+    marks = set("trash pathetic idiot worthless disgusting stupid clown loser scum moron".split())
+    rows = duckdb.sql(f"SELECT d.doc_id, any_value(text), min(CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END) FROM '{LARGE}/labels.parquet' JOIN '{LARGE}/documents.parquet' d USING (doc_id) GROUP BY 1 ORDER BY 1").fetchall()
+    import pyarrow as pa
+
+    from cellspark.llm.words import blocks
+
+    found = [x for _, raw, off in blocks(pa.array([t for _, t, _ in rows])) for x in quality.features(raw, off)]
+    grade, held = np.array([g for *_, g in rows]), np.array([crc_held_out(i) for i, *_ in rows])
+    plain = np.array([bool(marks & set(re.findall("[a-z]+", t.lower()))) for _, t, _ in rows])[held]
+    up = quality.fit([x for x, h in zip(found, held) if not h], grade[~held]).tails([x for x, h in zip(found, held) if h])
+    kept, g = up[:, 1] >= quality.KEEP, grade[held]
+    as_toxic = np.column_stack((1 - up[:, 0], up[:, 0] - up[:, 1], up[:, 1])).argmax(1) == 0
+    assert kept[g == 2].mean() > 0.95 and kept[g == 1].mean() < 0.15 and kept[(g == 0) & plain].mean() < 0.1
+    assert as_toxic[(g == 0) & plain].mean() > 0.35 and as_toxic[g == 2].mean() < 0.01
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r for r in queries.op9_language(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").collect()]
+    assert {r.doc_id: r.held_out for r in rows} == {r.doc_id: crc_held_out(r.doc_id) for r in rows}
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.96 and np.mean([r.rejected for r in held]) < 0.05
+
+
+def test_likeness_against_plain_counts(spark):
+    """Digests and likeness of a whole small table, filter by filter and bit by bit."""
+    rows = {r.doc_id: r for r in queries.op6_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    order = sorted(texts)
+
+    def chain(text):
+        found = fingerprints.features((text or "").encode()).tolist()
+        parts = [found[i : i + fingerprints.FEATURES] for i in range(0, len(found), fingerprints.FEATURES)]
+        return [{(h >> 11 * k) % fingerprints.FILTER_BITS for h in part for k in range(fingerprints.HASHES)} for part in parts]
+
+    def alike(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        a, b = (b, a) if len(a) > len(b) else (a, b)
+        best = []
+        for x in a:
+            chance = [len(x) * len(y) / fingerprints.FILTER_BITS for y in b]
+            best.append(max(min(1.0, max(0.0, (len(x & y) - c) / max(min(len(x), len(y)) - c, 1e-9))) for y, c in zip(b, chance)))
+        return sum(v * len(x) for v, x in zip(best, a)) / sum(map(len, a))
+
+    assert sorted(rows) == order
+    for k, i in enumerate(order):
+        r, following = rows[i], texts[order[(k + 1) % len(order)]]
+        new = fingerprints.edited(texts[i] or "", following or "")
+        assert r.n_chars == len(texts[i] or "") and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        bits = [set(np.flatnonzero(x).tolist()) for x in fingerprints.decode(r.fingerprint)] if r.fingerprint else []
+        assert bits == chain(texts[i])
+        assert abs(r.near_edited - alike(chain(texts[i]), chain(new))) < 1e-5 and abs(r.near_next - alike(chain(texts[i]), chain(following))) < 1e-5
+
+
 def test_pipeline_keeps_its_promises(spark, tmp_path):
     import corpus_pipeline
 
