@@ -66,14 +66,16 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
+        # minima are tables of their own: joined to an aggregate in the same stage, a node of many edges could not be split
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stash(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: link what is smaller than u, and u, to the smallest neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stash(small.select("e.*").where("u <> v").distinct())
+        after = stash(small.select("e.*").where("u <> v").distinct())
+        discard(edges, low, large, least)
+        edges = after
         now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
