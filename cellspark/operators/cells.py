@@ -31,7 +31,9 @@ def moments(pixels: DataFrame) -> DataFrame:
     return m.withColumns({
         "extent": F.col("area") / ((F.col("bbox_max_row") - F.col("bbox_min_row")) * (F.col("bbox_max_col") - F.col("bbox_min_col"))),
         "equivalent_diameter_area": F.sqrt(4 * F.col("area") / F.pi()), "major_axis_length": 4 * F.sqrt(l1), "minor_axis_length": 4 * F.sqrt(l2),
-        "eccentricity": F.sqrt(1 - F.try_divide(l2, l1)), "orientation": 0.5 * F.atan2(F.when(F.abs("vrc") < 1e-9, 0.0).otherwise(2 * F.col("vrc")), vr - vc),  # no sign of zero
+        "eccentricity": F.sqrt(1 - F.try_divide(l2, l1)), 
+        # equal spreads have no direction but that of the covariance; the sign of zero is none
+        "orientation": F.when(F.abs(vr - vc) < 1e-9, F.when(F.col("vrc") > 1e-9, F.pi() / 4).otherwise(-F.pi() / 4)).otherwise(0.5 * F.atan2(F.when(F.abs("vrc") < 1e-9, 0.0).otherwise(2 * F.col("vrc")), vr - vc)),
     }).drop("vr", "vc", "vrc")
 
 

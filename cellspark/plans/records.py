@@ -186,7 +186,7 @@ def _morphology(spark, sf_dir):
 
 def scores_with_morphology(spark, sf_dir):
     scores = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("image"), F.col("o_totalprice").alias("f1"))
-    return _r(cells.with_morphology(scores, cells.image_morphology(_morphology(spark, sf_dir))), 4)
+    return _r(cells.with_morphology(scores, cells.image_morphology(_morphology(spark, sf_dir))))
 
 
 def morphology_by_success(spark, sf_dir):
@@ -253,7 +253,7 @@ ORACLES = {
     "label_areas": f"WITH {_RASTER} SELECT image, label, count(*) AS area, (row_number() OVER (ORDER BY label))::INT AS dense_label FROM raster WHERE label > 0 GROUP BY image, label",
     "painted": "SELECT l_returnflag AS image, l_suppkey AS row, l_linenumber AS col, max(l_orderkey % 100) AS label FROM lineitem GROUP BY ALL",
     "cell_table": f"""{_CELLS} SELECT image, cell_id, area, round(centroid_row, 4) AS centroid_row, round(centroid_col, 4) AS centroid_col, bbox_min_row, bbox_min_col, bbox_max_row, bbox_max_col, round(intensity_mean, 4) AS intensity_mean, intensity_median, round(intensity_std, 4) AS intensity_std, intensity_min, intensity_max,
- 1.0::DOUBLE AS extent, round(sqrt(4 * area / pi()), 4) AS equivalent_diameter_area, round(major, 4) AS major_axis_length, round(minor, 4) AS minor_axis_length, round(sqrt(1 - l2 / l1), 4) AS eccentricity, round(0.5::DOUBLE * atan2(0::DOUBLE, vr - vc), 4) AS orientation,
+ 1.0::DOUBLE AS extent, round(sqrt(4 * area / pi()), 4) AS equivalent_diameter_area, round(major, 4) AS major_axis_length, round(minor, 4) AS minor_axis_length, round(sqrt(1 - l2 / l1), 4) AS eccentricity, round(CASE WHEN abs(vr - vc) < 1e-9 THEN -pi() / 4 ELSE 0.5::DOUBLE * atan2(0::DOUBLE, vr - vc) END, 4) AS orientation,
  round(CASE WHEN r = 1 OR w = 1 THEN greatest(r, w) - 1 ELSE 2 * (r + w) - 4 END::DOUBLE, 4) AS perimeter, round(crofton, 4) AS perimeter_crofton, 1.0::DOUBLE AS solidity, height, width, round(im, 4) AS image_intensity_mean, round(istd, 4) AS image_intensity_std,
  round(major / minor, 4) AS aspect_ratio, round(4 * pi() * area / crofton ** 2, 4) AS circularity, round(least(centroid_row, centroid_col, height - 1 - centroid_row, width - 1 - centroid_col), 4) AS centroid_to_edge_distance,
  bbox_min_row <= 0 OR bbox_min_col <= 0 OR bbox_max_row >= height OR bbox_max_col >= width AS touches_image_border, round((intensity_mean - im) / istd, 4) AS cell_mean_intensity_zscore, k AS neighbours_within_50px, round(near, 4) AS nearest_neighbour_distance,
@@ -283,7 +283,7 @@ SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_tax > 0 THEN round(l_qu
  'diameter_' || CASE WHEN l_linenumber > 2 THEN l_linenumber::VARCHAR ELSE 'native' END || '__cellprob_' || format('{:+.1f}', l_tax - 0.04) || '__flow_' || format('{:.1f}', l_discount) || '__minsize_' || (l_linenumber * 5) AS config FROM x""",
     "image_table": """WITH s AS (SELECT l_orderkey AS image, count(*) AS n, sum(l_quantity) AS covered, count(*) FILTER (l_linenumber = 1) AS b, median(l_quantity) AS ma, median(l_extendedprice) AS ms, avg(l_quantity) AS aa, avg(l_extendedprice) AS xs FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
 SELECT o_orderkey AS image, 520 AS height, 704 AS width, coalesce(n, 0) AS predicted_cells, coalesce(b, 0) AS border_touching_cells, round(ma, 4) AS median_area, round(ms, 4) AS median_solidity, round(aa, 4) AS mean_area, round(xs, 4) AS mean_solidity, round(coalesce(covered, 0) / 366080::DOUBLE, 4) AS cell_coverage_fraction, round(coalesce(n, 0) / 366080::DOUBLE * 100000, 4) AS cell_density_per_100k_px, round(b / n::DOUBLE, 4) AS border_touching_fraction FROM orders LEFT JOIN s ON image = o_orderkey""",
-    "scores_with_morphology": "SELECT o_orderkey AS image, round(any_value(o_totalprice), 4) AS f1, round(median(l_extendedprice), 4) AS median_area, round(median(l_tax), 4) AS median_solidity, round(median(l_discount), 4) AS median_eccentricity, round(median(l_quantity), 4) AS median_extent, round(median(l_linenumber), 4) AS median_neighbours_within_50px, round(avg(l_extendedprice), 4) AS mean_area, round(avg(l_tax), 4) AS mean_solidity, round(avg(l_linenumber), 4) AS mean_neighbours_within_50px, round(avg(l_quantity), 4) AS mean_nearest_neighbour_distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1",
+    "scores_with_morphology": "SELECT o_orderkey AS image, round(any_value(o_totalprice), 6) AS f1, round(median(l_extendedprice), 6) AS median_area, round(median(l_tax), 6) AS median_solidity, round(median(l_discount), 6) AS median_eccentricity, round(median(l_quantity), 6) AS median_extent, round(median(l_linenumber), 6) AS median_neighbours_within_50px, round(avg(l_extendedprice), 6) AS mean_area, round(avg(l_tax), 6) AS mean_solidity, round(avg(l_linenumber), 6) AS mean_neighbours_within_50px, round(avg(l_quantity), 6) AS mean_nearest_neighbour_distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1",
     "morphology_by_success": "SELECT l_tax >= 0.04 AS matched, count(*) AS cells, round(median(l_quantity), 4) AS median_l_quantity, round(avg(l_quantity), 4) AS mean_l_quantity, round(avg(l_extendedprice), 4) AS mean_l_extendedprice FROM lineitem GROUP BY 1",
     "back_fill": "SELECT o_custkey AS image, o_orderkey AS cell_id, CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice / 1000, 6) END AS PC1, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 + 1 END AS phenotype_cluster, CASE WHEN o_orderkey % 3 > 0 THEN 'Morphology cluster ' || (o_orderkey % 4 + 1) END AS phenotype_cluster_label FROM orders",
     "cluster_summary": "SELECT o_orderkey % 4 + 1 AS phenotype_cluster, count(*) AS cells, round(median(o_totalprice), 6) AS median_o_totalprice, round(avg((o_custkey % 5 = 0)::INT), 6) AS border_touching_fraction, round(count(*) / (SELECT count(*) FROM orders)::DOUBLE, 6) AS cell_fraction FROM orders GROUP BY 1",
