@@ -64,6 +64,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     is the smallest reachable id; ids without links do not appear.
     """
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.toDF("id", "component")
     before = None
     for _ in range(rounds):
         # minima are tables of their own: joined to an aggregate in the same stage, a node of many edges could not be split
