@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, langid, minhash, pieces, quality, secrets, suffixes, urls
+from . import decontaminate, fingerprints, html, langid, minhash, pieces, quality, secrets, suffixes, urls, whitening
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -63,7 +63,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces, op11_whitening)}
 
 #: op1: what SQL expresses without the vocabulary's automaton, term by term.
 _TERMS = ", ".join(f"('{t}', {w})" for t, w in urls.VOCABULARY.items())
