@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, langid, minhash, pieces, quality, secrets, suffixes, urls, whitening
+from . import decontaminate, fingerprints, html, langid, lexical, minhash, pieces, quality, secrets, suffixes, urls, whitening
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -67,7 +67,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces, op11_whitening)}
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    found = lexical.search(index, _table(spark, sf_dir, "benchmark"))
+    index.drop()
+    return found
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces, op11_whitening, op13_search)}
 
 #: op1: what SQL expresses without the vocabulary's automaton, term by term.
 _TERMS = ", ".join(f"('{t}', {w})" for t, w in urls.VOCABULARY.items())
@@ -92,4 +99,22 @@ bad AS (
 SELECT p.page_id, p.host, p.path, hit.rule,
   coalesce(hit.action, CASE WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN bad USING (page_id) LEFT JOIN hit USING (page_id)""",
+    "op13_search": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.PATTERN}') AS terms FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(terms)) AS terms FROM d WHERE len(terms) > 0),
+i AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.PATTERN}')) AS term FROM benchmark)
+  GROUP BY ALL),
+p AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, total GROUP BY term),
+s AS (
+  SELECT place, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n::HUGEINT * docs) // total.terms)::BIGINT))) AS s
+  FROM p JOIN w USING (term), total),
+f AS (SELECT item, item_id, place, doc_id, sum(times * s)::BIGINT AS score FROM i JOIN s USING (term) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST, place) AS rank FROM f WHERE score > 0) WHERE rank <= {lexical.TOP}""",
 }
