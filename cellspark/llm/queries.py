@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, langid, lexical, minhash, pieces, quality, secrets, suffixes, urls, whitening
+from . import decontaminate, fingerprints, html, langid, lexical, minhash, packing, pieces, quality, secrets, suffixes, urls, whitening
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -67,6 +67,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(_table(spark, sf_dir, "documents"))
     found = lexical.search(index, _table(spark, sf_dir, "benchmark"))
@@ -74,7 +78,7 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces, op11_whitening, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_secrets, op6_fingerprints, op7_quality, op8_html, op9_language, op10_pieces, op11_whitening, op12_packing, op13_search)}
 
 #: op1: what SQL expresses without the vocabulary's automaton, term by term.
 _TERMS = ", ".join(f"('{t}', {w})" for t, w in urls.VOCABULARY.items())
