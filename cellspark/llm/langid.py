@@ -19,8 +19,12 @@ DICT_BYTES = 1 << 17
 #: Bytes of a slice of a text that is too long for its share of a dictionary.
 PIECE = 128
 LEVEL = 3
+#: Longer texts are compressed in equal slices of so many bytes at most, each with the whole dictionary: it helps only at the start of a stream.
+SLICE = 1 << 12
 #: Texts whose second best size is less than this share above the best are rejected.
 NARROW = 0.015
+#: The languages of most distinct texts are learned, so many at most.
+LANGUAGES = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -30,18 +34,19 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
-def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``rows`` (text, lang).
 
     Null or empty text and null lang teach nothing.  The sample is bounded and
     depends on the rows alone; about ``sample_docs`` texts a language, of a sixteenth of a
     dictionary each at most, come to the driver.  A text counts if its hash lies under the share that
     ``sample_docs`` are of the distinct texts of its language, so that copies neither
-    shrink a dictionary nor fill it.
+    shrink a dictionary nor fill it.  ``languages`` bounds what comes to the driver where many values of lang
+    are rubbish: those of most distinct texts are learned, of equal ones the first by name.
     """
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and length(text) > 0")
     hashed = F.xxhash64("text")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count_distinct(hashed)).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count_distinct(hashed).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return {}
     part = F.pmod(hashed, F.lit(2**31)) / float(2**31)
@@ -97,7 +102,9 @@ class Classifier:
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, True, 0
         data = letters(text)
-        sizes = [len(m.compress(data)) for m in self.machines]
+        n = max(1, -(-len(data) // SLICE))
+        parts = [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
+        sizes = [sum(len(m.compress(p)) for p in parts) for m in self.machines]
         best = int(np.argmin(sizes))
         second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + 8)
         margin = second - sizes[best]
@@ -113,7 +120,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     Reads nothing but the text, and all of it.  ``und`` with score 0, rejected: null or
     empty text, text without letters, or no dictionaries.  Rejected too: a margin
     under ``NARROW`` of the best size, ties between languages included (the first in
-    order of name is given); where there is one language only, nothing is narrow.  Columns of these names in ``docs`` are replaced.
+    order of name is given); where there is one language only, nothing is narrow.  Sizes are sums over
+    slices of ``SLICE`` bytes, so that a margin says the same of long texts as of short ones.  Columns of these names in ``docs`` are replaced.
     """
     new = ["lang_pred", "score", "rejected", "margin"]
     docs = docs.drop(*new)

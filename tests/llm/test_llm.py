@@ -382,6 +382,44 @@ def test_language_rejects_narrow_margins():
     assert not langid.Classifier({"aa": model["aa"]}).predict("lomi que")[2]
 
 
+def test_long_texts_keep_their_language():
+    sources = {"aa": "the quiet river runs under old stone bridges while children watch boats drift past toward evening light", "bb": "der stille fluss fliesst unter alten steinbruecken und kinder sehen den booten nach die abends ziehen"}
+    r = random.Random(7)
+    speak = lambda lang, n: (" ".join(r.choice(sources[lang].split()) + r.choice(["", "", "en", "s"]) for _ in range(n // 4)))[:n]
+    model = langid.Classifier({lang: langid.dictionary([speak(lang, 900).encode() for _ in range(40)], 1 << 15) for lang in sources})
+    for n in (1_000, 10_000, 100_000, 300_000, 1_000_000, 5_000_000):
+        for lang in sources:
+            found = model.predict(speak(lang, n))
+            assert found[0] == lang and not found[2], n
+        assert n < 100_000 or model.predict(speak("aa", n // 2) + " " + speak("bb", n // 2))[3] < 0.25 * model.predict(speak("aa", n))[3]
+
+
+def test_sizes_are_those_of_plain_zstandard():
+    import zstandard
+
+    r = random.Random(3)
+    dictionaries = {"aa": prose(1, 3000).encode(), "bb": b"quick brown foxes jump over lazy dogs " * 200, "cc": bytes(r.choices(range(97, 123), k=5000))}
+    model = langid.Classifier(dictionaries)
+    for text in ("Foxes jump.", prose(4, 50), prose(5, 9000), "lazy dogs, quick " * 4000, "x" * 20_000):
+        data = langid.letters(text)
+        n = -(-len(data) // langid.SLICE)
+        sizes = []
+        for lang in sorted(dictionaries):
+            content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=langid.LEVEL)
+            plain = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False)
+            sizes.append(sum(len(plain.compress(data[len(data) * i // n : len(data) * (i + 1) // n])) for i in range(n)))
+        lang, score, rejected, margin = model.predict(text)
+        low, second = sorted(sizes)[:2]
+        assert margin == second - low and lang == sorted(dictionaries)[sizes.index(low)] and rejected == (margin < langid.NARROW * low)
+
+
+def test_language_of_many_rubbish_names(spark):
+    rows = [(f"{prose(i, 40)} number {i}", f"x{i}" if i < 30 else "yy") for i in range(60)] + [("text", None), (None, "zz")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), languages=3)
+    assert sorted(model) == ["x0", "x1", "yy"]
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
