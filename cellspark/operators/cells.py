@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .quantiles import medians as exact_medians
 from .quantiles import quantiles
+from .tables import join_on
 
 FEATURES = ("log_area", "eccentricity", "solidity", "log_aspect_ratio", "log_neighbours_within_50px", "log_nearest_neighbour_distance")
 
@@ -197,8 +199,16 @@ def qc_accounting(cells: DataFrame) -> DataFrame:
 
 
 def group_summary(cells: DataFrame, keys: list[str], medians: list[str] = [], means: list[str] = [], counts: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
-    """Size, medians, means and conditional counts of each group."""
-    return cells.groupBy(*keys).agg(F.count("*").alias("cells"), *(F.median(c).alias(f"median_{c}") for c in medians), *(F.avg(c).alias(f"mean_{c}") for c in means), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    """Size, medians, means and conditional counts of each group, of any size: a line, a cluster, an outcome."""
+    out = cells.groupBy(*keys).agg(F.count("*").alias("cells"), *(F.avg(c).alias(f"mean_{c}") for c in means), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    if medians:
+        out = join_on(out, exact_medians(cells, medians, *keys).withColumnsRenamed({c: f"median_{c}" for c in medians}), keys, "left")
+    return out.select(*keys, "cells", *(f"median_{c}" for c in medians), *(f"mean_{c}" for c in means), *counts)
+
+
+def image_medians(cells: DataFrame, keys: list[str], medians: list[str], means: list[str]) -> DataFrame:
+    """Medians and means of each image; an image's cells are few, and its group is one aggregate."""
+    return cells.groupBy(*keys).agg(*(F.median(c).alias(f"median_{c}") for c in medians), *(F.avg(c).alias(f"mean_{c}") for c in means))
 
 
 def cluster_summary(cells: DataFrame, key: str, medians: list[str], border: str = "touches_image_border") -> DataFrame:
@@ -210,7 +220,7 @@ def cluster_summary(cells: DataFrame, key: str, medians: list[str], border: str
 def image_morphology(cells: DataFrame) -> DataFrame:
     """The per-image medians and means that are set beside the image's scores."""
     named = {"median": ("area", "solidity", "eccentricity", "extent", "neighbours_within_50px"), "mean": ("area", "solidity", "neighbours_within_50px", "nearest_neighbour_distance")}
-    return group_summary(cells, ["image"], list(named["median"]), list(named["mean"])).drop("cells")
+    return image_medians(cells, ["image"], list(named["median"]), list(named["mean"]))
 
 
 def with_morphology(scores: DataFrame, morphology: DataFrame) -> DataFrame:
@@ -241,7 +251,8 @@ def line_summary(raw: DataFrame, qc: DataFrame, images: DataFrame, limits: DataF
     a = a.join(raw.groupBy(key).agg(F.countDistinct("image").alias("images_with_features")), key)
     fraction = lambda c: F.avg(F.col(c).cast("double")).alias(f"{c}_fraction")
     b = qc.groupBy(key).agg(F.count_if("qc_include").alias("classifier_qc_passing_cells"), *(fraction(c) for c in ("qc_touches_image_border", "qc_extreme_area", "qc_missing_feature", "qc_include")))
-    c = images.groupBy(key).agg(F.count("*").alias("images_completed"), F.median("predicted_cells").alias("median_cells_per_image"), F.median("cell_coverage_fraction").alias("median_cell_coverage_fraction"))
+    m = exact_medians(images, ["predicted_cells", "cell_coverage_fraction"], key).withColumnsRenamed({"predicted_cells": "median_cells_per_image", "cell_coverage_fraction": "median_cell_coverage_fraction"})
+    c = images.groupBy(key).agg(F.count("*").alias("images_completed")).join(m, key, "left")
     return a.join(b, key, "left").join(c, key, "left").join(limits, key, "left")
 
 

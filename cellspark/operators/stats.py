@@ -11,15 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .quantiles import column_quantiles, quantiles, value_ranks
+from .quantiles import column_quantiles, medians, quantiles, value_ranks
+from .tables import join_on
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(rho, n): correlation of average ranks over rows with both values."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ra = value_ranks(both, a).select(a, F.col("rank").alias("ra"))
-    rb = value_ranks(both, b).select(b, F.col("rank").alias("rb"))
-    return both.join(ra, a).join(rb, b).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    """(rho, n): correlation of average ranks over rows with both values.
+
+    Ranks meet pairs of values, counted before, so that a frequent value is no hot key; they
+    are centred on their mean, which is known.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__k"))
+    side = lambda c, name: value_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(c).alias(name)), name).select(name, F.col("rank").alias(f"{name}_rank"))
+    total = pairs.agg(F.sum("__k").alias("__n"))
+    both = pairs.join(side(a, "__a"), "__a").join(side(b, "__b"), "__b").crossJoin(F.broadcast(total))  # one row
+    x, y = F.col("__a_rank") - (F.col("__n") + 1) / 2, F.col("__b_rank") - (F.col("__n") + 1) / 2
+    sums = both.agg(*(F.sum(F.col("__k") * v).alias(c) for c, v in (("__xy", x * y), ("__xx", x * x), ("__yy", y * y))), F.coalesce(F.sum("__k"), F.lit(0)).alias("n"))
+    return sums.select(F.try_divide("__xy", F.sqrt(F.col("__xx") * F.col("__yy"))).alias("rho"), "n")
 
 
 def beta_tail(x: float, a: float, b: float) -> float:
@@ -117,7 +125,7 @@ def scaling(df: DataFrame, columns: list[str]) -> dict[str, Column]:
 
 def relative_profile(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(median of the group - global median) / global IQR; NULL where the IQR is 0."""
-    m = df.groupBy(key).agg(*(F.median(c).alias(c) for c in columns)).crossJoin(F.broadcast(_quartiles(df, columns)))  # one row
+    m = medians(df, columns, key).crossJoin(F.broadcast(_quartiles(df, columns)))  # one row
     q = lambda c, i: F.get(F.col(f"__{c}"), i)
     return m.select(key, *(F.try_divide(F.col(c) - q(c, 1), q(c, 2) - q(c, 0)).alias(c) for c in columns))
 

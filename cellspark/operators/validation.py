@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import phenotypes, stats
-from .quantiles import counted, quantiles
+from .quantiles import counted, medians, quantiles
 
 #: Seed, refits, restarts of each, resamples of means, cells shown of a cluster.
 SEED, REFITS, RESTARTS, DRAWS, EXEMPLARS = 42, 100, 20, 2000, 6
@@ -21,8 +21,8 @@ def centres(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 
 def prototypes(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """The median of each column in each cluster."""
-    return df.groupBy(label).agg(*(F.median(c).alias(c) for c in columns))
+    """The exact median of each column in each cluster, however many cells it has."""
+    return medians(df, columns, label)
 
 
 def prototype_distance(df: DataFrame, label: str, columns: list[str]) -> DataFrame:

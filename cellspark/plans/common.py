@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +21,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for files that a query writes and reads again, in the folder that all executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(found or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/query-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import cells, matching, phenotypes, stats
+from ..operators.tables import written
 from . import experiments, records
 from .common import rounded as _r
 from .common import table
@@ -62,9 +63,9 @@ def area_limits(spark, sf_dir):
     return _r(cells.area_limits(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.005, 0.995, "l_returnflag"), 2)
 
 
-def _flagged(spark, sf_dir):
+def _flagged(spark, sf_dir, limits=None):
     li = table(spark, sf_dir, "lineitem").withColumn("half", F.when(F.col("l_tax") > 0, 1 / F.col("l_tax")))
-    limits = cells.area_limits(li, "l_extendedprice", 0.01, 0.99, "l_returnflag")
+    limits = limits or cells.area_limits(li, "l_extendedprice", 0.01, 0.99, "l_returnflag")
     return cells.qc_flags(li, limits, "l_extendedprice", ["half", "l_quantity"], F.col("l_linenumber") == 7, "l_returnflag")
 
 
@@ -106,7 +107,8 @@ def composition_zero_fill(spark, sf_dir):
 
 def quartile_bins(spark, sf_dir):
     binned = cells.quartile_bins(table(spark, sf_dir, "orders"), "o_totalprice", "crowding_quartile", ["Q1", "Q2", "Q3", "Q4"])
-    return _r(binned.groupBy("crowding_quartile").agg(F.count("*").alias("cells"), F.avg("o_totalprice").alias("mean_value"), F.median("o_totalprice").alias("median_value")), 2)
+    out = cells.group_summary(binned, ["crowding_quartile"], ["o_totalprice"], ["o_totalprice"])
+    return _r(out.withColumnsRenamed({"mean_o_totalprice": "mean_value", "median_o_totalprice": "median_value"}), 2)
 
 
 def robust_scale(spark, sf_dir):
@@ -122,8 +124,8 @@ def line_summary(spark, sf_dir):
     as_cells = {"cell_line": F.col("l_returnflag"), "image": F.col("l_orderkey"), "area": F.col("l_extendedprice"), "eccentricity": F.col("l_discount"), "solidity": F.col("l_tax"), "neighbours_within_50px": F.col("l_quantity")}
     raw = li.withColumns(as_cells)
     images = raw.groupBy("cell_line", "image").agg(F.count("*").alias("predicted_cells"), (F.sum("l_quantity") / 1000).alias("cell_coverage_fraction"))
-    flagged = _flagged(spark, sf_dir).withColumnRenamed("l_returnflag", "cell_line")
-    limits = cells.area_limits(raw, "area", 0.01, 0.99, "cell_line")
+    limits = written(cells.area_limits(raw, "area", 0.01, 0.99, "cell_line"))
+    flagged = _flagged(spark, sf_dir, limits.withColumnRenamed("cell_line", "l_returnflag")).withColumnRenamed("l_returnflag", "cell_line")
     return _r(cells.line_summary(raw, flagged, images, limits), 4)
 
 

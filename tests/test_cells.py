@@ -211,6 +211,26 @@ def test_exact_quantiles_against_numpy(spark):
     assert counted(df.where("false"), "v").count() == 0 and quantiles(df.where("false"), "v", [0.5]).first().q == [None]
 
 
+def test_quantiles_narrow_their_brackets(spark):
+    from cellspark.operators.quantiles import counted, medians, quantiles
+
+    g = np.random.default_rng(8)
+    rows = [("ab"[i % 2], float(x)) for i, x in enumerate(np.concatenate([g.lognormal(0, 30, 3000), np.repeat(0.5, 2500), [1e300, -1e300]]))] + [("c", 7.0), ("d", None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = [0.0, 0.003, 0.5, 0.9, 1.0]
+    for most in (5, 300):  # what strictly lies inside must get as few; the many equal values can't
+        got = {r.k: r.q for r in quantiles(df, "v", shares, "k", most=most).collect()}
+        assert set(got) == {"a", "b", "c", None}  # a NULL key is a key
+        for k in got:
+            assert got[k] == pytest.approx(list(np.quantile([v for x, v in rows if x == k and v is not None], shares)), rel=1e-12)
+    assert {r.k: r.v for r in medians(df, ["v"], "k").collect()} == {k: pytest.approx(float(np.median([v for x, v in rows if x == k and v is not None]))) for k in got}
+    below = {(r.k, r.v): (r.n, r.below, r.total) for r in counted(df, "v", "k").collect()}
+    for (k, v), found in below.items():
+        own = [x for y, x in rows if y == k and x is not None]
+        assert found == (own.count(v), sum(x < v for x in own), len(own))
+    assert len(below) == len({x for x in rows if x[1] is not None})
+
+
 def test_groups_draw_independently(spark):
     df = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(50)] + [("d", None)], "g string, v double")
     got = {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in stats.bootstrap_means(df, ["g"], "v", 200).collect()}
