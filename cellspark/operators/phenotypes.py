@@ -6,14 +6,14 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import kmeans, stats
 from .quantiles import quantiles
+from .tables import written
 
 
 def spread(df: DataFrame, array: str, n: int) -> DataFrame:
@@ -52,16 +52,15 @@ def pca_variance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_clusters(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area") -> tuple[DataFrame, float]:
-    """(rows with phenotype_cluster, inertia): K-means, the best of several starts; clusters renumbered 1 ... k by ascending median of ``order_by``."""
-    rows = scaled_vector(df, columns)
-    vectors = rows.select("features").persist()
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(vectors) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    vectors.unpersist()
-    raw = best.transform(rows)
+    """(rows with phenotype_cluster, inertia): K-means, the best of several starts, which share each pass over the rows; clusters renumbered 1 ... k by ascending median of ``order_by``."""
+    scaled = df.withColumns(stats.scaling(df, columns))
+    x = F.array(*(F.col(f"{c}_scaled") for c in columns))
+    vectors = written(scaled.select(x.alias("x"), F.array(F.lit(1.0)).alias("w")))
+    centres, cost = kmeans.fit(vectors, k, restarts, seed)
+    raw = kmeans.label(scaled.withColumn("__x", x), "__x", centres[0]).drop("__x")
     medians = quantiles(raw, order_by, [0.5], "prediction")
     names = medians.select("prediction", F.row_number().over(Window.orderBy(F.get("q", F.lit(0)), "prediction")).alias("phenotype_cluster"))  # k rows
-    return raw.join(names, "prediction").drop("prediction", "features"), float(best.summary.trainingCost)
+    return raw.join(names, "prediction").drop("prediction"), float(cost[0])
 
 
 def cluster(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area") -> DataFrame:

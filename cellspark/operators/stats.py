@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from .quantiles import column_quantiles, medians, quantiles, value_ranks
-from .tables import join_on
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,6 +139,14 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.coalesce(F.try_divide(F.col("pn") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
+def adjusted_rand_of(table: np.ndarray) -> float:
+    """The same of a contingency table."""
+    pairs = lambda c: float((c * (c - 1) / 2).sum())
+    both, a, b, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(table.sum())
+    expected, top = (a * b / n if n else 0.0), (a + b) / 2
+    return (both - expected) / (top - expected) if top != expected else 1.0
+
+
 def confusion(df: DataFrame, true: str, pred: str, labels: list) -> DataFrame:
     """Counts, a row for each true label and a column for each predicted one."""
     return df.groupBy(true).pivot(pred, labels).count().na.fill(0)
@@ -236,37 +241,6 @@ def balanced_sample(df: DataFrame, key: str, most: int, seed: int, *ids: str, cl
     return df.withColumn("__rank", rank).where(F.col("__rank") <= min([most, *counts.values()])).drop("__rank")
 
 
-def resampled_means(x: np.ndarray, draws: int, seed: int | list[int], most: int = 1 << 20) -> np.ndarray:
-    """Means of so many resamples, drawn in blocks of about ``most`` values; blocks change no draw."""
-    if not len(x):
-        return np.array([np.nan])
-    r, step = np.random.default_rng(seed), max(1, most // len(x))
-    return np.concatenate([x[r.integers(0, len(x), (min(step, draws - i), len(x)))].mean(1) for i in range(0, draws, step)])
-
-
-def _own_seed(seed: int, *values) -> list[int]:
-    """A seed of its own for each group, so that no two draw the same."""
-    return [seed, zlib.crc32(repr([str(v) for v in values]).encode())]
-
-
-def bootstrap_means(df: DataFrame, keys: list[str], value: str, draws: int = 2000, seed: int = 43) -> DataFrame:
-    """Mean and 2.5 and 97.5 percentiles of resampled means of each group of a few hundred rows.
-
-    Groups draw independently.  Values that are not finite don't count.
-    """
-
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows[value].to_numpy(float))
-        x = x[np.isfinite(x)]
-        means = resampled_means(x, draws, _own_seed(seed, *rows[keys].iloc[0]))
-        out = rows[keys].iloc[:1].copy()
-        return out.assign(n_images=len(x), mean=x.mean() if len(x) else None, ci_lower=np.percentile(means, 2.5), ci_upper=np.percentile(means, 97.5))
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_images long, mean double, ci_lower double, ci_upper double"
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(resample, schema)
-
-
 def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 42) -> DataFrame:
     """(group, fold): groups are never split and classes spread evenly.
 

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import phenotypes, stats
+from . import bootstrap, kmeans, phenotypes, stats
 from .quantiles import counted, medians, quantiles
+from .tables import join_on, written
 
 #: Seed, refits, restarts of each, resamples of means, cells shown of a cluster.
 SEED, REFITS, RESTARTS, DRAWS, EXEMPLARS = 42, 100, 20, 2000, 6
@@ -67,25 +65,40 @@ def align_labels(df: DataFrame, raw: str, found: np.ndarray, reference: np.ndarr
     return df.withColumn("aligned_label", F.element_at(names, F.col(raw))), float(np.mean([np.linalg.norm(found[i] - reference[j]) for i, j in enumerate(to)]))
 
 
+def refit_weights(df: DataFrame, keys: list[str], refits: int, seed: int) -> DataFrame:
+    """``df`` with w, an array of how often each row is drawn in each refit; the draws of a refit are those of ``bootstrap_weights`` with its seed."""
+    hashed = df.withColumn("__h", F.xxhash64(*keys))
+    placed = counted(hashed, "__h").select("__h", F.col("below").alias("__place"), F.col("total").alias("__n"))
+    n = placed.agg(F.max("__n")).first()[0] or 0
+    seeds = F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + refits)))
+    draws = df.sparkSession.range(n).select("id", seeds.alias("s")).groupBy(F.pmod(F.xxhash64("id", "s"), F.lit(max(n, 1))).alias("__place"), "s").agg(F.count("*").cast("double").alias("k"))
+    drawn = draws.groupBy("__place").agg(F.map_from_entries(F.collect_list(F.struct("s", "k"))).alias("__m"))  # an entry a refit
+    w = F.transform(F.sequence(F.lit(seed + 1), F.lit(seed + refits)), lambda s: F.coalesce(F.try_element_at("__m", s), F.lit(0.0)))
+    return hashed.join(placed.join(drawn, "__place", "left"), "__h").withColumn("w", w).drop("__h", "__place", "__n", "__m")
+
+
 def stability(df: DataFrame, columns: list[str], label: str, keys: list[str], refits: int = REFITS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """A row for each refit of K-means on a bootstrap sample: adjusted_rand_index, mean_centroid_shift, cluster_k_agreement.
 
-    Every refit labels all rows.  ``columns`` are scaled already.
+    Every refit labels all rows.  ``columns`` are scaled already.  All starts of all refits take each step in one
+    pass over the rows, and one more counts labels against the clusters of all refits.
     """
     numbers = sorted(r[0] for r in df.select(label).distinct().collect())  # a handful of clusters
-    rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(df).persist()
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    rows = written(refit_weights(df.select(*keys, label, x.alias("x")), keys, refits, seed).select("x", "w", F.col(label).alias("__label")))
     own = {r[0]: r[1:] for r in centres(df, label, columns).collect()}
     reference = np.array([own[k] for k in numbers], float)
+    found, _ = kmeans.fit(rows, len(numbers), restarts, seed, refits=refits)
+    counts: dict = {}
+    for r in kmeans.contingency(rows, "__label", found).collect():  # refits times clusters squared
+        counts[r["refit"], r["label"], r["prediction"]] = r["n"]
     out = []
-    for i in range(1, refits + 1):
-        sample = bootstrap_weights(rows, keys, seed + i).persist()
-        fits = [KMeans(k=len(numbers), seed=seed + i + 1000 * r, maxIter=50, featuresCol="__x", weightCol="weight").fit(sample) for r in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        got, shift = align_labels(best.transform(rows), "prediction", np.array(best.clusterCenters()), reference, numbers)
-        kept = dict(agreement(got, label, "aligned_label").collect())
-        out.append((i, stats.adjusted_rand(got, label, "prediction").first()[0], shift, *(kept[k] for k in numbers)))
-        sample.unpersist()
-    rows.unpersist()
+    for i in range(refits):
+        table = np.array([[counts.get((i, k, j), 0) for j in range(len(numbers))] for k in numbers], float)
+        to = phenotypes.align(found[i], reference)
+        shift = float(np.mean([np.linalg.norm(found[i][a] - reference[b]) for a, b in enumerate(to)]))
+        kept = [float(table[b, to.index(b)] / max(1.0, table[b].sum())) for b in range(len(numbers))]
+        out.append((i + 1, stats.adjusted_rand_of(table), shift, *kept))
     return df.sparkSession.createDataFrame(out, "bootstrap_iteration int, adjusted_rand_index double, mean_centroid_shift double" + "".join(f", cluster_{k}_agreement double" for k in numbers))
 
 
@@ -107,19 +120,19 @@ def time_ends(df: DataFrame, time: str) -> tuple:
 def change_over_time(df: DataFrame, time: str, cluster: str, value: str, draws: int = DRAWS, seed: int = SEED + 2) -> DataFrame:
     """A row for each cluster: mean at the earliest and latest time, the change, and a bootstrap interval of it.
 
-    Both ends are resampled independently.  A cluster's images at one time are a few
-    hundred, and clusters draw independently.
+    Both ends are resampled independently, and clusters draw independently.  A cluster
+    without values at one end has neither change nor interval.
     """
     low, high = time_ends(df, time)
-    ends = df.where(F.col(time).isin(low, high)).select(cluster, F.col(time).alias("__t"), F.col(value).cast("double").alias("__v"))
-    kind = dict(df.dtypes)
-
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        early, late = (np.sort(rows.loc[rows["__t"] == t, "__v"].dropna().to_numpy(float)) for t in (low, high))
-        own = stats._own_seed(seed, rows[cluster].iloc[0])
-        change = stats.resampled_means(late, draws, [*own, 1]) - stats.resampled_means(early, draws, [*own, 0])
-        a, b = early.mean() if len(early) else None, late.mean() if len(late) else None
-        return pd.DataFrame({cluster: rows[cluster].iloc[:1], "earliest_time_hours": low, "latest_time_hours": high, "mean_fraction_earliest": a, "mean_fraction_latest": b, "change_latest_minus_earliest": None if a is None or b is None else b - a, "bootstrap_ci_lower": np.quantile(change, 0.025), "bootstrap_ci_upper": np.quantile(change, 0.975), "n_images_earliest": len(early), "n_images_latest": len(late)})
-
-    schema = f"`{cluster}` {kind[cluster]}, earliest_time_hours {kind[time]}, latest_time_hours {kind[time]}, mean_fraction_earliest double, mean_fraction_latest double, change_latest_minus_earliest double, bootstrap_ci_lower double, bootstrap_ci_upper double, n_images_earliest long, n_images_latest long"
-    return ends.groupBy(cluster).applyInPandas(resample, schema)
+    ends = df.where(F.col(time).isin(low, high)).select(cluster, (F.col(time) == high).cast("int").alias("__end"), F.col(value).cast("double").alias("__v"))
+    at = lambda end, c: F.when(F.col("__end") == end, F.col(c))
+    plain = ends.groupBy(cluster).agg(F.avg(at(0, "__v")).alias("mean_fraction_earliest"), F.avg(at(1, "__v")).alias("mean_fraction_latest"), F.count(at(0, "__v")).alias("n_images_earliest"), F.count(at(1, "__v")).alias("n_images_latest"))
+    sums = bootstrap.resampled_sums(ends, [cluster, "__end"], "__v", draws, seed)
+    mean = F.col("sum") / F.col("n")
+    change = sums.groupBy(cluster, "draw").agg((F.max(F.when(F.col("__end") == 1, mean)) - F.max(F.when(F.col("__end") == 0, mean))).alias("__change"))
+    q = change.groupBy(cluster).agg(F.percentile("__change", [0.025, 0.975]).alias("__q"))  # a row a draw
+    out = join_on(plain, q, [cluster], "left")
+    return out.select(
+        cluster, F.lit(low).alias("earliest_time_hours"), F.lit(high).alias("latest_time_hours"), "mean_fraction_earliest", "mean_fraction_latest", (F.col("mean_fraction_latest") - F.col("mean_fraction_earliest")).alias("change_latest_minus_earliest"),
+        F.get("__q", F.lit(0)).alias("bootstrap_ci_lower"), F.get("__q", F.lit(1)).alias("bootstrap_ci_upper"), "n_images_earliest", "n_images_latest",
+    )

@@ -160,9 +160,9 @@ def stability_summary(spark, sf_dir):
 
 
 def cluster_stability(spark, sf_dir):
-    """Clusters far apart survive every refit; two refits of two starts."""
+    """Clusters far apart survive every refit; ten refits of twenty starts."""
     labelled = _far_apart(spark, sf_dir).withColumn("cluster", (F.col("o_orderkey") % 3 + 1).cast("int"))
-    out = validation.stability(labelled, ["a", "b"], "cluster", ["o_orderkey"], refits=2, restarts=2)
+    out = validation.stability(labelled, ["a", "b"], "cluster", ["o_orderkey"], refits=10)
     return out.select("bootstrap_iteration", "adjusted_rand_index", *(f"cluster_{k}_agreement" for k in (1, 2, 3)), (F.col("mean_centroid_shift") < 5).alias("small_shift"))
 
 
@@ -322,7 +322,7 @@ a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus, o_custk
     "bootstrap_weights": "SELECT count(*)::DOUBLE AS drawn, true AS once, true AS usual FROM orders",
     "label_agreement": "WITH o AS (SELECT o_orderkey % 3 + 1 AS label, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (o_orderkey + 1) % 3 END AS raw FROM orders) SELECT label, round(avg((label = CASE raw WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::INT), 6) AS agreement, round(sqrt(0.5::DOUBLE), 6) AS mean_centroid_shift FROM o GROUP BY 1",
     "stability_summary": " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({x}), 6) AS mean, round(median({x}), 6) AS median, round(quantile_cont({x}, 0.025), 6) AS ci_lower, round(quantile_cont({x}, 0.975), 6) AS ci_upper FROM orders" for m, x in (("adjusted_rand_index", "o_totalprice / 1e6"), ("mean_centroid_shift", "o_custkey / 7::DOUBLE"))),
-    "cluster_stability": "SELECT i AS bootstrap_iteration, 1.0::DOUBLE AS adjusted_rand_index, 1.0::DOUBLE AS cluster_1_agreement, 1.0::DOUBLE AS cluster_2_agreement, 1.0::DOUBLE AS cluster_3_agreement, true AS small_shift FROM (VALUES (1), (2)) t(i)",
+    "cluster_stability": "SELECT i AS bootstrap_iteration, 1.0::DOUBLE AS adjusted_rand_index, 1.0::DOUBLE AS cluster_1_agreement, 1.0::DOUBLE AS cluster_2_agreement, 1.0::DOUBLE AS cluster_3_agreement, true AS small_shift FROM (SELECT unnest(range(1, 11))::INT AS i)",
     "change_over_time": f"WITH {_PARTS}, e AS (SELECT min(elapsed_hours) AS a, max(elapsed_hours) AS b FROM comp), m AS (SELECT cluster, any_value(a) AS a, any_value(b) AS b, avg(x) FILTER (elapsed_hours = a) AS x, avg(x) FILTER (elapsed_hours = b) AS y, count(*) FILTER (elapsed_hours = a) AS n, count(*) FILTER (elapsed_hours = b) AS k FROM comp, e GROUP BY 1) SELECT cluster, a AS earliest_time_hours, b AS latest_time_hours, round(x, 6) AS mean_fraction_earliest, round(y, 6) AS mean_fraction_latest, round(y - x, 6) AS change_latest_minus_earliest, n AS n_images_earliest, k AS n_images_latest, true AS held FROM m",
     "time_ends": f"WITH {_PARTS} SELECT image, elapsed_hours, cluster, cells FROM comp WHERE elapsed_hours = (SELECT min(elapsed_hours) FROM comp) OR elapsed_hours = (SELECT max(elapsed_hours) FROM comp)",
     "correlation_order": " UNION ALL ".join(_rank_pair(a, b) for a, b in (("l_quantity", "l_extendedprice"), ("l_tax", "l_discount"), ("l_linenumber", "l_quantity"))),

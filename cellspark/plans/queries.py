@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import cells, matching, phenotypes, stats
+from ..operators import bootstrap, cells, matching, phenotypes, stats
 from ..operators.tables import written
 from . import experiments, records
 from .common import rounded as _r
@@ -211,10 +211,13 @@ def kmeans_labels(spark, sf_dir):
 
 
 def bootstrap_means(spark, sf_dir):
-    """Intervals hold the mean; the resampled ends themselves have no SQL form."""
+    """Both ends of each interval, held against the normal approximation of the mean's spread."""
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
-    out = stats.bootstrap_means(o, ["o_orderpriority"], "v")
-    return _r(out.withColumns({"holds_mean": (F.col("ci_lower") <= F.col("mean")) & (F.col("mean") <= F.col("ci_upper")), "is_interval": F.col("ci_lower") < F.col("ci_upper")}).drop("ci_lower", "ci_upper"), 4)
+    spread = o.groupBy("o_orderpriority").agg((F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("se"))
+    out = bootstrap.means(o, ["o_orderpriority"], "v").join(spread, "o_orderpriority")
+    width = lambda c: (F.abs(F.col(c) - F.col("mean")) / F.col("se")).between(1.7, 2.25)
+    held = (F.col("ci_lower") < F.col("mean")) & (F.col("mean") < F.col("ci_upper"))
+    return _r(out.select("o_orderpriority", "n_images", "mean", held.alias("holds_mean"), (width("ci_lower") & width("ci_upper")).alias("is_interval")), 4)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -174,22 +174,94 @@ def test_registered_queries_match_sql(spark):
 def test_statistics_queries_do_the_whole_job():
     import inspect
 
-    from cellspark.operators import classifier, validation
+    from cellspark.operators import bootstrap, classifier, validation
 
     default = lambda f, name: inspect.signature(f).parameters[name].default
-    assert default(stats.bootstrap_means, "draws") == 2000 and default(phenotypes.cluster, "restarts") == 20
+    assert default(bootstrap.means, "draws") == 2000 and default(phenotypes.cluster, "restarts") == 20
     assert default(classifier.cross_validate, "folds") == 5 and set(default(classifier.cross_validate, "models")) == {"logistic_regression", "random_forest"}
     assert default(classifier.cross_validate, "trees") == 300 and default(validation.stability, "refits") == 100
 
 
-def test_resampled_means_in_blocks_are_the_same():
-    import numpy as np
-
-    from cellspark.operators import stats
-
-    x = np.random.default_rng(1).normal(size=37)
-    whole = x[np.random.default_rng(43).integers(0, 37, (500, 37))].mean(1)
-    assert all((stats.resampled_means(x, 500, 43, most) == whole).all() for most in (1, 100, 1 << 20))
+def plain_bootstrap(x, draws, chunk, seed):
+    """Means of resamples of sorted x in NumPy: a tree of binomial splits, then draws within each chunk."""
+    n, sums = len(x), np.zeros(draws)
+
+    def split(low, high, counts):
+        if high - low == 1:
+            rng, own = np.random.default_rng([*seed, low]), x[low * chunk : high * chunk]
+            picks = own[rng.integers(0, len(own), counts.sum())]
+            for d, part in enumerate(np.split(picks, np.cumsum(counts)[:-1])):
+                sums[d] += part.sum()
+            return
+        mid = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(counts, (mid - low) * chunk / (min(n, high * chunk) - low * chunk))
+        split(low, mid, left)
+        split(mid, high, counts - left)
+
+    split(0, -(-n // chunk), np.full(draws, n))
+    return sums / n
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_bootstrap_against_numpy(spark, chunk):
+    from cellspark.operators import bootstrap
+
+    g = np.random.default_rng(6)
+    groups = {"a": np.round(g.normal(5, 2, 150), 1), "b": np.repeat(3.0, 40), "c": g.exponential(1, 77)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("d", None), ("d", float("nan")), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: r for r in bootstrap.means(df, ["g"], "v", 300, 11, chunk).collect()}
+    assert set(got) == set("abcd") and got["d"].n_images == 0 and got["d"].mean is None and got["d"].ci_lower is None
+    for k, x in groups.items():
+        want = plain_bootstrap(np.sort(x), 300, chunk, bootstrap.own_seed(11, k))
+        assert got[k].n_images == len(x) and got[k].mean == pytest.approx(x.mean())
+        assert [got[k].ci_lower, got[k].ci_upper] == pytest.approx(list(np.percentile(want, [2.5, 97.5])), abs=1e-9)
+        assert want.std() == pytest.approx(x.std() / np.sqrt(len(x)), rel=0.15, abs=1e-12)
+
+
+def test_change_over_time_against_numpy(spark):
+    from cellspark.operators import bootstrap, validation
+
+    g = np.random.default_rng(2)
+    rows = [(c, t, float(v)) for c in (1, 2) for t in (0.0, 4.0, 8.0) for v in g.normal(c + t, 1, 30)] + [(3, 0.0, 1.0), (3, 4.0, 2.0)]
+    got = {r.c: r for r in validation.change_over_time(spark.createDataFrame(rows, "c int, t double, v double"), "t", "c", "v", 200, 5).collect()}
+    for c in (1, 2):
+        early, late = (np.sort([v for x, t, v in rows if x == c and t == at]) for at in (0.0, 8.0))
+        change = plain_bootstrap(late, 200, bootstrap.CHUNK, bootstrap.own_seed(5, c, 1)) - plain_bootstrap(early, 200, bootstrap.CHUNK, bootstrap.own_seed(5, c, 0))
+        assert [got[c].bootstrap_ci_lower, got[c].bootstrap_ci_upper] == pytest.approx(list(np.percentile(change, [2.5, 97.5])))
+        assert got[c].change_latest_minus_earliest == pytest.approx(late.mean() - early.mean()) and got[c].n_images_latest == 30
+    assert got[3].change_latest_minus_earliest is None and got[3].bootstrap_ci_lower is None and got[3].n_images_latest == 0
+
+
+def test_kmeans_passes_against_single_fits(spark):
+    from cellspark.operators import kmeans
+
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(m, 0.6, (60, 2)) for m in ((0, 0), (4, 4), (0, 5))])
+    w = g.integers(0, 3, (len(x), 3)).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, w)], "x array<double>, w array<double>").repartition(4)
+    centres, cost = kmeans.fit(rows, 3, 5, 9, refits=3)
+    for r in range(3):
+        single, one = kmeans.fit(rows.withColumn("w", F.array(F.col("w")[r])), 3, 5, 9)
+        order = lambda c: c[np.lexsort(c.T)]
+        assert order(centres[r]) == pytest.approx(order(single[0]), abs=1e-6) and cost[r] == pytest.approx(one[0])
+        own, dist = kmeans.nearest(x, centres[r])
+        assert cost[r] == pytest.approx((dist * w[:, r]).sum())
+        for j in range(3):  # each centre is the weighted mean of its rows
+            mine = own == j
+            assert centres[r, j] == pytest.approx((x[mine] * w[mine, r, None]).sum(0) / w[mine, r].sum(), abs=1e-3)
+    found = kmeans.contingency(rows.withColumn("y", (F.col("x")[0] > 2).cast("int")), "y", centres)
+    assert found.groupBy("refit").agg(F.sum("n").alias("n")).collect() == [(r, 180) for r in range(3)] or {r.n for r in found.groupBy("refit").agg(F.sum("n").alias("n")).collect()} == {180}
+
+
+def test_refit_weights_are_those_of_single_draws(spark):
+    from cellspark.operators import validation
+
+    df = spark.range(50).withColumnRenamed("id", "k")
+    both = {r.k: r.w for r in validation.refit_weights(df, ["k"], 3, 7).collect()}
+    for i in range(3):
+        single = {r.k: r.weight for r in validation.bootstrap_weights(df, ["k"], 8 + i).collect()}
+        assert {k: w[i] for k, w in both.items() if w[i]} == single and sum(single.values()) == 50
 
 
 def test_exact_quantiles_against_numpy(spark):
@@ -232,11 +304,12 @@ def test_quantiles_narrow_their_brackets(spark):
 
 
 def test_groups_draw_independently(spark):
-    df = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(50)] + [("d", None)], "g string, v double")
-    got = {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in stats.bootstrap_means(df, ["g"], "v", 200).collect()}
-    assert len({x[1:] for k, x in got.items() if k != "d"}) == 3 and {got[k][0] for k in "abc"} == {24.5}
-    assert got == {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in stats.bootstrap_means(df.repartition(3), ["g"], "v", 200).collect()} or got["d"][0] is None
-    assert got["d"][0] is None
+    from cellspark.operators import bootstrap
+
+    df = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(50)], "g string, v double")
+    run = lambda d: {r.g: (r.mean, r.ci_lower, r.ci_upper) for r in bootstrap.means(d, ["g"], "v", 200).collect()}
+    got = run(df)
+    assert len({x[1:] for x in got.values()}) == 3 and {x[0] for x in got.values()} == {24.5} and got == run(df.repartition(3))
 
 
 def test_evaluation_statuses_in_order(spark):
