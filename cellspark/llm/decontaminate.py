@@ -158,34 +158,42 @@ def match_block(raw: np.ndarray, off: np.ndarray, test: Suffixes, detail: bool =
 def lengthen(hashes, rows, found, who, test, there, which, size, longest) -> None:
     """Carries the matches of one window on to the right, and the best of each row to ``longest``.
 
-    A match that also goes on to the left is left out: the longer one that starts before
-    it is seen at its own window.  So places are grouped by the word before them.
+    All places go on together, word by word: those of the row and those of the items that have
+    the next word in common stay in one group, and a place whose group loses all of the items' is at its match's end.
+    So a step costs the places that still match, not their product.  Where every match also goes on to the left
+    there is nothing to do: the longer one that starts before it is seen at its own window.
     """
-    before_p = np.where(found > rows[who], hashes[found - 1], _U(0))
-    before_q = np.where(there > test.start[which], test.hashes[there - 1], _U(1))
-    for word in np.unique(before_p):
-        mine = before_p == word
-        other = np.flatnonzero(before_q != word)
-        for q, k in zip(there[other].tolist(), which[other].tolist(), strict=True):
-            room = int(test.stop[k]) - q
-            for p, r in zip(found[mine].tolist(), who[mine].tolist(), strict=True):
-                most = min(int(rows[r + 1]) - p, room)
-                if longest[r] is not None and most < -longest[r][0]:
-                    continue
-                now = (-agreed(hashes, p, test.hashes, q, size, most), *test.label[k], p - int(rows[r]), q - int(test.start[k]))
+    before_p = np.unique(np.where(found > rows[who], hashes[found - 1], _U(0)))
+    before_q = np.unique(np.where(there > test.start[which], test.hashes[there - 1], _U(1)))
+    if len(before_p) == len(before_q) == 1 and before_p[0] == before_q[0]:
+        return
+    stop_p, stop_q = rows[who + 1], test.stop[which]
+    # places in the items in the order in which equal lengths are reported
+    order = np.array(sorted(range(len(there)), key=lambda i: (*test.label[which[i]], int(there[i] - test.start[which[i]]))), np.int64)
+    there, which, stop_q = there[order], which[order], stop_q[order]
+    p, q = np.arange(len(found)), np.arange(len(there))
+    group_p, group_q, depth = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64), size
+    while len(p):
+        best = np.full(int(group_q.max(initial=0)) + 1, len(there), np.int64)
+        np.minimum.at(best, group_q, q)
+        on_p, on_q = found[p] + depth < stop_p[p], there[q] + depth < stop_q[q]
+        next_p, next_q = hashes[np.minimum(found[p] + depth, len(hashes) - 1)], test.hashes[np.minimum(there[q] + depth, len(test.hashes) - 1)]
+        key = np.empty(len(p) + len(q), [("group", np.int64), ("word", np.uint64)])
+        key["group"], key["word"] = np.concatenate((group_p, group_q)), np.concatenate((next_p, next_q))
+        number = np.unique(key, return_inverse=True)[1]
+        of_p, of_q = number[: len(p)], number[len(p) :]
+        common = np.zeros(int(number.max()) + 1, bool)
+        common[of_q[on_q]] = True
+        goes = on_p & common[of_p]
+        for i, first in zip(p[~goes].tolist(), best[group_p[~goes]].tolist(), strict=True):
+            r, k = int(who[i]), int(which[first])
+            if longest[r] is None or depth >= -longest[r][0]:
+                now = (-depth, *test.label[k], int(found[i]) - int(rows[r]), int(there[first]) - int(test.start[k]))
                 longest[r] = now if longest[r] is None else min(longest[r], now)
-
-
-def agreed(hashes, p: int, test, q: int, n: int, most: int) -> int:
-    """How many words agree from p and q on: n at least, ``most`` at most."""
-    step = 64
-    while n < most:
-        end = min(most, n + step)
-        differ = np.flatnonzero(hashes[p + n : p + end] != test[q + n : q + end])
-        if len(differ):
-            return n + int(differ[0])
-        n, step = end, 2 * step
-    return n
+        live = np.zeros(len(common), bool)
+        live[of_p[goes]] = True
+        stays = on_q & live[of_q]
+        p, group_p, q, group_q, depth = p[goes], of_p[goes], q[stays], of_q[stays], depth + 1
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_words long, longest_item string, longest_at long, longest_item_at long"
