@@ -1,10 +1,12 @@
 """Near-duplicate documents with b-bit MinHash, confirmed on whole shingle sets.
 
-1. Each text gives its shingle set, 96 minima, 24 band keys of four minima and a packed
+1. Each text gives its shingle set, 192 minima, 32 band keys of six minima and a packed
    signature of four bits a minimum.  Texts of equal sets form one class from here on.
-2. Classes that share a band key are candidates.  Pairs are never listed: each band key
-   names a leader, the class whose keys are the most shared, and the leaders' links
-   join candidates into families.
+2. Classes that share a band key are candidates.  Each band key names a leader, the
+   class whose keys are the most shared; bit counts of the signatures give the
+   collision-corrected similarity of the others to it.  Those that are too far from the leader
+   are compared so with all of their band key, in blocks of bounded size.  What is near enough joins
+   classes into families; pairs are never listed.
 3. Each family's hub is compared with every member.  What the hub doesn't link is
    compared with the whole family, in blocks of bounded size: bit counts of the
    signatures give the collision-corrected similarity, and where that leaves a pair
@@ -27,7 +29,7 @@ from .words import BY_SPACE, blocks, hash_spans, lower, mix, table, windows, wor
 SHINGLE = 5
 #: Linked from this share of common shingles on, unless the caller says otherwise: numerator and denominator.
 LINK = (85, 100)
-BANDS, ROWS, BITS = 24, 4, 4
+BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
 #: Estimates so many standard deviations under the threshold are no candidates.
 DEVIATIONS = 6.3
@@ -236,41 +238,81 @@ def hub_links(members: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     return members.select("key", "set", "hub", "hub_set").mapInArrow(task, "a long, b long")
 
 
-def family_links(blocks_: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """Links within families (family, block, members), left open by the hubs."""
+def family_links(blocks_: DataFrame, link: tuple[int, int] = LINK, between=block_links) -> DataFrame:
+    """What ``between`` finds among the blocks of families (family, block, members), where a member is open: not linked by the hub."""
     light = blocks_.select("family", "block", F.exists("members", lambda m: m["open"]).alias("open"))
     pair = light.alias("x").join(light.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.open") | F.col("y.open")))
     pair = pair.select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     left = blocks_.select("family", F.col("block").alias("i"), F.col("members").alias("left"))
     right = blocks_.select("family", F.col("block").alias("j"), F.col("members").alias("right"))
     both = pair.join(left, ["family", "i"]).join(right, ["family", "j"]).select("left", "right")
+    names = blocks_.schema["members"].dataType.elementType.names
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for left, right in zip(*batch.columns, strict=True):
-                a, b = ({n: [m[n].as_buffer() if n in ("bits", "set") else m[n].as_py() for m in side.values] for n in ("key", "open", "bits", "set")} for side in (left, right))
-                out += block_links(a, b, link)
+                a, b = ({n: [m[n].as_buffer() if n in ("bits", "set") else m[n].as_py() for m in side.values] for n in names} for side in (left, right))
+                out += between(a, b, link)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return both.mapInArrow(task, "a long, b long")
 
 
+def likely_links(a: dict, b: dict, link: tuple[int, int] = LINK) -> list[tuple[int, int]]:
+    """Pairs of two blocks of a band key whose estimate leaves a link possible, enough to connect them all.
+
+    Of pairs that are both near the leader nothing is said.
+    """
+    wide = np.frombuffer(b"".join(a["bits"]), np.uint8).reshape(len(a["key"]), -1), np.frombuffer(b"".join(b["bits"]), np.uint8).reshape(len(b["key"]), -1)
+    maybe = (similarity(*wide) >= least_estimate(link)) & (np.array(a["open"])[:, None] | np.array(b["open"])[None, :])
+    return forest([(a["key"][i], b["key"][j]) for i, j in zip(*np.nonzero(maybe), strict=True) if a["key"][i] != b["key"][j]])
+
+
+def near_leader(pairs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """(band, key, leader, near) of (band, key, leader, bits, leader_bits): whether the estimate leaves a link possible."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = 0.5**BITS
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+            x = a ^ b
+            same = ((x < 16).astype(np.int16) + ((x & 15) == 0)).sum(1)
+            near = (same / HASHES - chance) / (1 - chance) >= least_estimate(link)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], ["band", "key", "leader", "near"])
+
+    return pairs.select("band", "key", "leader", "bits", "leader_bits").mapInArrow(task, "band long, key long, leader long, near boolean")
+
+
+def candidates(classes: DataFrame, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) between classes that may be near copies, enough to connect all of them; (key, weight) of classes that share band keys)."""
+    keys = classes.select("key", "bits", F.explode("bands").alias("band"))
+    size = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stash(keys.join(size.hint("shuffle_hash"), "band"))
+    weight = stash(shared.groupBy("key").agg(F.sum("size").alias("weight")))
+    best = F.max(F.struct("weight", (-F.col("key")).alias("low"), "bits"))
+    leader = stash(shared.join(weight, "key").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.low")).alias("leader"), F.col("best.bits").alias("leader_bits")))
+    tested = stash(near_leader(shared.join(leader, "band").where("leader <> key"), link))
+    stars = tested.where("near").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    wide = BLOCK_BYTES // (HASHES * BITS // 8) // 4  # the estimates of two blocks are a matrix
+    busy = stash(tested.where("not near").groupBy("band").agg(F.count("*").alias("far")).join(size, "band").select(F.col("band").alias("family"), F.ceil(F.col("size") / wide).cast("int").alias("n_blocks")))
+    far = tested.where("not near").select(F.col("band").alias("family"), "key", F.lit(True).alias("open"))
+    held = shared.select(F.col("band").alias("family"), "key", "bits").join(busy, "family").join(far, ["family", "key"], "left")
+    held = held.withColumns({"open": F.coalesce("open", F.lit(False)), "block": F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")})
+    grouped = stash(held.groupBy("family", "block").agg(F.collect_list(F.struct("key", "open", "bits")).alias("members")))
+    return stash(stars.union(family_links(grouped, link, likely_links)).distinct()), weight
+
+
 def links(rows: DataFrame, classes: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that are linked.
 
     ``classes`` (key, first, mark, n, set_a, bands, bits) name the row (first, mark) of
     ``rows`` (key, mark, text) that stands for them.
     """
-    keys = classes.select("key", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stash(keys.join(shared.hint("shuffle_hash"), "band"))
-    weight = shared.groupBy("key").agg(F.sum("size").alias("weight"))
-    best = F.max(F.struct("weight", (-F.col("key")).alias("low")))
-    leader = shared.join(weight, "key").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.low")).alias("leader"))
-    candidates = shared.join(leader, "band").where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    family = components(candidates).toDF("key", "family").join(weight, "key").join(classes.drop("bands"), "key")
+    likely, weight = candidates(classes, link)
+    family = components(likely).toDF("key", "family").join(weight, "key").join(classes.drop("bands"), "key")
     family = stash(family)
+    best = F.max(F.struct("weight", (-F.col("key")).alias("low")))
     about = family.groupBy("family").agg(F.sum("n").alias("total"), best.alias("best")).select("family", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int").alias("n_blocks"), (-F.col("best.low")).alias("hub"))
     placed = family.join(stash(about), "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     placed = placed.select(F.col("key").alias("node"), F.col("first").alias("key"), "mark", "set_a", "bits", "family", "block", "n_blocks", "hub")

@@ -105,6 +105,22 @@ def test_minhash_links_what_the_hub_does_not(spark):
     assert {r.component_id for r in got} == {100} and sum(r.kept for r in got) == 1
 
 
+def test_common_boilerplate_makes_no_families(spark):
+    """Texts that share 80 of 200 words and nothing else: no links, and no families to compare."""
+    r = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(80))
+    own = lambda i: " ".join(f"w{i}_{r.randrange(10**6)}" for _ in range(120))
+    texts = [f"{common} {own(i)}" for i in range(500)]
+    texts += [t + " end" for t in texts[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = df.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"), "text")
+    signed = minhash.signatures(rows)
+    likely, _ = minhash.candidates(signed.select("key", "bands", "bits"))
+    assert sorted(tuple(sorted(x)) for x in likely.collect()) == [(i, 500 + i) for i in range(5)]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()}
+    assert got == {i: i - 500 if i >= 500 else i for i in range(505)}
+
+
 def test_near_dedup_stage_loses_no_text(spark):
     """Ids that repeat, null ids, rows that repeat, blank texts: the verdict is on the text."""
     import corpus_pipeline
@@ -228,6 +244,19 @@ def test_longest_match_against_brute_force():
             assert found == best
 
 
+def test_longest_match_takes_no_product():
+    import time
+
+    from cellspark.llm.words import flat
+
+    line = "one two three four five six seven eight nine ten"
+    test = decontaminate.Suffixes([(f"i{k}", f"{prose(k, 3)} {line}") for k in range(1200)])
+    raw, off = flat([" ".join(f"x{k} {line}" for k in range(1200))])
+    began = time.process_time()
+    found = decontaminate.match_block(raw, off, test)[3]
+    assert time.process_time() - began < 5 and found[0][:3] == (-10, False, "i0") and found[0][3] == 1
+
+
 def base_spans(t):
     t, out = t or "", []
     for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
@@ -563,6 +592,14 @@ def test_deep_nesting_takes_no_square():
     assert time.time() - began < 20
 
 
+def test_unclosed_marks_take_no_square():
+    import time
+
+    began = time.process_time()
+    pages = [html.Page("<p>a</p>" + x * 350_000) for x in ("<!-", "</", "<?x ")]
+    assert time.process_time() - began < 6 and all(p.flow for p in pages)
+
+
 def test_grades_on_held_out_labels():
     """A third of the toxic labels stand on texts without any mark of it; the others must be told."""
     import duckdb
