@@ -53,6 +53,8 @@ class Suffixes:
         self.hashes = hash_spans(raw, starts, ends)
         self.start, self.stop = rows[:-1], rows[1:]
         n = np.diff(rows)
+        self.longest = int(n.max(initial=0))
+        self.runs = levels(self.hashes, self.longest)
         count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
         item = np.repeat(np.arange(len(n)), count)
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + self.start[item]
@@ -127,6 +129,7 @@ def match_block(raw: np.ndarray, off: np.ndarray, test: Suffixes, detail: bool =
     longest: list[tuple | None] = [None] * n
     marks = np.zeros(len(hashes) + 1, np.int64)
     row_end = np.repeat(rows[1:], count)
+    runs: list[np.ndarray] = []
     for size in test.sizes:
         at = np.flatnonzero(np.arange(len(hashes)) + size <= row_end) if len(hashes) else np.zeros(0, np.int64)
         if not len(at):
@@ -151,49 +154,82 @@ def match_block(raw: np.ndarray, off: np.ndarray, test: Suffixes, detail: bool =
                 names = set().union(*(test.names[i] for i in set(which.tolist())))
                 for r in set(who.tolist()):
                     items[r] |= names
-                lengthen(hashes, rows, found, who, test, there, which, size, longest)
+                runs = runs or levels(hashes, test.longest)
+                lengthen(runs, rows, found, who, test, there, which, size, longest)
     return count, np.cumsum(marks[:-1]) > 0, items, longest
 
 
-def lengthen(hashes, rows, found, who, test, there, which, size, longest) -> None:
+def levels(hashes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4 ... words from each place on, as far as runs of ``most`` words need; past the end they say nothing."""
+    out = [hashes]
+    while 2 << (len(out) - 1) <= most and len(hashes):
+        step = 1 << (len(out) - 1)
+        last = out[-1]
+        out.append(mix(last * _U(0xD6E8FEB86659FD93) + last[np.minimum(np.arange(len(last)) + step, len(last) - 1)]))
+    return out
+
+
+def lengthen(runs, rows, found, who, test, there, which, size, longest) -> None:
     """Carries the matches of one window on to the right, and the best of each row to ``longest``.
 
-    All places go on together, word by word: those of the row and those of the items that have
-    the next word in common stay in one group, and a place whose group loses all of the items' is at its match's end.
-    So a step costs the places that still match, not their product.  Where every match also goes on to the left
-    there is nothing to do: the longer one that starts before it is seen at its own window.
+    A match that also goes on to the left is left out where that is cheap to tell: the longer one that starts
+    before it is seen at its own window.  So places are dealt by the word before them, unless many such words are on both sides.
     """
-    before_p = np.unique(np.where(found > rows[who], hashes[found - 1], _U(0)))
-    before_q = np.unique(np.where(there > test.start[which], test.hashes[there - 1], _U(1)))
+    hashes = runs[0]
+    before_p = np.where(found > rows[who], hashes[found - 1], _U(0))
+    before_q = np.where(there > test.start[which], test.hashes[there - 1], _U(1))
     if len(before_p) == len(before_q) == 1 and before_p[0] == before_q[0]:
         return
-    stop_p, stop_q = rows[who + 1], test.stop[which]
+    both = np.intersect1d(before_p, before_q)
     # places in the items in the order in which equal lengths are reported
     order = np.array(sorted(range(len(there)), key=lambda i: (*test.label[which[i]], int(there[i] - test.start[which[i]]))), np.int64)
-    there, which, stop_q = there[order], which[order], stop_q[order]
-    p, q = np.arange(len(found)), np.arange(len(there))
-    group_p, group_q, depth = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64), size
-    while len(p):
-        best = np.full(int(group_q.max(initial=0)) + 1, len(there), np.int64)
-        np.minimum.at(best, group_q, q)
-        on_p, on_q = found[p] + depth < stop_p[p], there[q] + depth < stop_q[q]
-        next_p, next_q = hashes[np.minimum(found[p] + depth, len(hashes) - 1)], test.hashes[np.minimum(there[q] + depth, len(test.hashes) - 1)]
-        key = np.empty(len(p) + len(q), [("group", np.int64), ("word", np.uint64)])
-        key["group"], key["word"] = np.concatenate((group_p, group_q)), np.concatenate((next_p, next_q))
+    if len(both) > 32:
+        carry(runs, rows, found, who, test, there[order], which[order], size, longest)
+        return
+    rest = ~np.isin(before_p, both)
+    carry(runs, rows, found[rest], who[rest], test, there[order], which[order], size, longest)
+    for word in both:
+        mine, others = before_p == word, order[before_q[order] != word]
+        carry(runs, rows, found[mine], who[mine], test, there[others], which[others], size, longest)
+
+
+def carry(runs, rows, found, who, test, there, which, size, longest) -> None:
+    """The longest match of each place ``found`` of the rows with any of the places ``there`` of the items, which come in order of report.
+
+    All places go on together, by falling powers of two words: those of the row and those of the items that have these
+    words in common form a group, and a place goes on where its group has one of an item.  Places that
+    can't reach their row's best any more are left out.
+    """
+    if not len(found) or not len(there):
+        return
+    room = int((test.stop[which] - there).max())
+    worth = np.array([longest[r] is None or min(int(rows[r + 1]) - p, room) >= -longest[r][0] for p, r in zip(found.tolist(), who.tolist(), strict=True)])
+    found, who = found[worth], who[worth]
+    stop_p, stop_q = rows[who + 1], test.stop[which]
+    group_p, depth_p = np.zeros(len(found), np.int64), np.full(len(found), size, np.int64)
+    q, group_q, depth_q = np.arange(len(there)), np.zeros(len(there), np.int64), np.full(len(there), size, np.int64)
+    groups = 1
+    for k in range(min(len(runs), len(test.runs)) - 1, -1, -1):
+        at_p, at_q = np.flatnonzero(found + depth_p + (1 << k) <= stop_p), np.flatnonzero(there[q] + depth_q + (1 << k) <= stop_q[q])
+        if not len(at_p) or not len(at_q):
+            continue
+        key = mix(np.concatenate((runs[k][(found + depth_p)[at_p]], test.runs[k][(there[q] + depth_q)[at_q]])) + mix(np.concatenate((group_p[at_p], group_q[at_q])).astype(_U)))
         number = np.unique(key, return_inverse=True)[1]
-        of_p, of_q = number[: len(p)], number[len(p) :]
-        common = np.zeros(int(number.max()) + 1, bool)
-        common[of_q[on_q]] = True
-        goes = on_p & common[of_p]
-        for i, first in zip(p[~goes].tolist(), best[group_p[~goes]].tolist(), strict=True):
-            r, k = int(who[i]), int(which[first])
-            if longest[r] is None or depth >= -longest[r][0]:
-                now = (-depth, *test.label[k], int(found[i]) - int(rows[r]), int(there[first]) - int(test.start[k]))
-                longest[r] = now if longest[r] is None else min(longest[r], now)
-        live = np.zeros(len(common), bool)
-        live[of_p[goes]] = True
-        stays = on_q & live[of_q]
-        p, group_p, q, group_q, depth = p[goes], of_p[goes], q[stays], of_q[stays], depth + 1
+        of_p, of_q = number[: len(at_p)], number[len(at_p) :]
+        both = np.intersect1d(of_p, of_q)
+        go_p, go_q = np.isin(of_p, both), np.isin(of_q, both)
+        group_p[at_p[go_p]], depth_p[at_p[go_p]] = groups + of_p[go_p], depth_p[at_p[go_p]] + (1 << k)
+        new = at_q[go_q]
+        stay = np.isin(group_q, group_p)  # a place of an item also stays with those of the row that don't go on
+        q, group_q, depth_q = np.concatenate((q[stay], q[new])), np.concatenate((group_q[stay], groups + of_q[go_q])), np.concatenate((depth_q[stay], depth_q[new] + (1 << k)))
+        groups += int(number.max()) + 1
+    best = np.full(groups, len(there), np.int64)
+    np.minimum.at(best, group_q, q)
+    for i, depth, first in zip(range(len(found)), depth_p.tolist(), best[group_p].tolist(), strict=True):
+        r, k = int(who[i]), int(which[first])
+        if longest[r] is None or depth >= -longest[r][0]:
+            now = (-depth, *test.label[k], int(found[i]) - int(rows[r]), int(there[first]) - int(test.start[k]))
+            longest[r] = now if longest[r] is None else min(longest[r], now)
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_words long, longest_item string, longest_at long, longest_item_at long"
