@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from .quantiles import medians as exact_medians
 from .quantiles import quantiles
-from .tables import join_on
+from .tables import join_on, written
 
 FEATURES = ("log_area", "eccentricity", "solidity", "log_aspect_ratio", "log_neighbours_within_50px", "log_nearest_neighbour_distance")
 
@@ -127,20 +127,33 @@ def crowding(cells: DataFrame, image: str, cell: str, y: str, x: str, radius: fl
     """Neighbours within ``radius`` (inclusive) and the nearest neighbour's distance, NULL if alone.
 
     Neighbours are found through a grid of radius-wide squares: a cell meets those of
-    nine squares only.  Cells with somebody there, and only they, have their nearest found
-    so; for the rest a wider search follows, over the few that are left.
+    nine squares only.  Cells with nobody there look on, over squares twice as wide each time,
+    until they have found somebody.  A cell that is alone in its image, or has no place, has none.
     """
     p = cells.select(F.col(image).alias("i"), F.col(cell).alias("c"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    p = p.withColumns({"gy": F.floor(F.col("y") / radius), "gx": F.floor(F.col("x") / radius)})
+    near = _within(p, p, radius).groupBy("i", "c").agg(F.count("*").alias("n"), F.min("dist").alias("d"))
+    located = p.where(E.finite("y", "x"))
+    several = located.groupBy("i").agg(F.count("*").alias("k")).where("k > 1").select("i")
+    rest = written(located.join(near, ["i", "c"], "left_anti").join(several, "i", "left_semi"))
+    far = None
+    while not rest.isEmpty():
+        radius *= 2
+        found = written(_within(rest, located, radius).groupBy("i", "c").agg(F.min("dist").alias("d2")))
+        far = found if far is None else far.unionByName(found)
+        rest = written(rest.join(found, ["i", "c"], "left_anti"))
+    out = p.select("i", "c").join(near, ["i", "c"], "left")
+    out = out.join(far, ["i", "c"], "left") if far is not None else out.withColumn("d2", F.lit(None).cast("double"))
+    return out.select(F.col("i").alias(image), F.col("c").alias(cell), F.coalesce("n", F.lit(0)).alias("neighbours_within_50px"), F.coalesce("d", "d2").alias("nearest_neighbour_distance"))
+
+
+def _within(some: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """(i, c, dist) of each of ``some`` and each other cell of its image at most ``radius`` away."""
+    square = lambda df: df.withColumns({"gy": F.floor(F.col("y") / radius), "gx": F.floor(F.col("x") / radius)})
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    seen = p.select("*", around.alias("d")).select("i", (F.col("gy") + F.col("d.dy")).alias("gy"), (F.col("gx") + F.col("d.dx")).alias("gx"), F.col("c").alias("c2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    seen = square(some).select("i", "c", "y", "x", "gy", "gx", around.alias("d")).select("i", "c", "y", "x", (F.col("gy") + F.col("d.dy")).alias("gy"), (F.col("gx") + F.col("d.dx")).alias("gx"))
+    there = square(others).select("i", "gy", "gx", F.col("c").alias("c2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
     dist = F.sqrt(F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("x") - F.col("x2"), 2))
-    near = p.join(seen, ["i", "gy", "gx"]).where("c <> c2").withColumn("dist", dist).where(F.col("dist") <= radius)
-    near = near.groupBy("i", "c").agg(F.count("*").alias("n"), F.min("dist").alias("d"))
-    far = p.join(near, ["i", "c"], "left_anti").select("i", "c", "y", "x").join(p.select("i", F.col("c").alias("c2"), F.col("y").alias("y2"), F.col("x").alias("x2")), "i").where("c <> c2")
-    far = far.groupBy("i", "c").agg(F.min(dist).alias("d2"))
-    out = p.select("i", "c").join(near, ["i", "c"], "left").join(far, ["i", "c"], "left")
-    return out.select(F.col("i").alias(image), F.col("c").alias(cell), F.coalesce("n", F.lit(0)).alias("neighbours_within_50px"), F.coalesce("d", "d2").alias("nearest_neighbour_distance"))
+    return seen.join(there, ["i", "gy", "gx"]).where("c <> c2").select("i", "c", dist.alias("dist")).where(F.col("dist") <= radius)
 
 
 def pixel_counts(pixels: DataFrame) -> DataFrame:

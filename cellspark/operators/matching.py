@@ -6,6 +6,8 @@ pairs that do not overlap have no row and IoU 0.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .components import components
 from .quantiles import quantiles
+from .tables import written
 
 
 def paint(pixels: DataFrame) -> DataFrame:
@@ -71,55 +75,75 @@ def iou_summary(matches: DataFrame, iou: str = "iou") -> DataFrame:
     return matches.agg(F.count(iou).alias("objects"), F.avg(iou).alias("mean_iou")).crossJoin(F.broadcast(q))  # one row
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of a least-cost assignment (shortest augmenting paths)."""
-    turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64)
-    for i in range(1, n + 1):
-        row_of[0], j = i, 0
-        least, way, done = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
-        while row_of[j]:
-            done[j] = True
-            k = row_of[j]
-            reduced = c[k - 1] - u[k] - v[1:]
-            closer = ~done[1:] & (reduced < least[1:])
-            least[1:][closer], way[1:][closer] = reduced[closer], j
-            free = np.where(done[1:], np.inf, least[1:])
-            to = int(np.argmin(free)) + 1
-            step = free[to - 1]
-            u[row_of[done]] += step
-            v[done] -= step
-            least[~done] -= step
-            j = to
-        while j:
-            row_of[j] = row_of[way[j]]
-            j = way[j]
-    pairs = [(int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
-    return sorted((b, a) if turned else (a, b) for a, b in pairs)
+def sparse_assignment(edges: list[list[tuple[int, float]]]) -> list[int | None]:
+    """For each row the column that it gets, or None, so that the summed cost is least and no column is given twice.
+
+    ``edges`` has (column, cost) of each row; a row without a column costs nothing.
+    Shortest augmenting paths over the edges that are there: no matrix is built.
+    """
+    u, v = [0.0] * len(edges), defaultdict(float)
+    row_of: dict[int, int] = {}
+    got: list[int | None] = [None] * len(edges)
+    for start in range(len(edges)):
+        own = lambda i: [*edges[i], (-1 - i, 0.0)]  # noqa: E731  a column of the row's own stands for none
+        u[start] = min(c - v[j] for j, c in own(start))
+        dist: dict[int, float] = {}
+        before: dict[int, int] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        i, so_far = start, 0.0
+        while True:
+            for j, c in own(i):
+                d = so_far + c - u[i] - v[j]
+                if j not in done and d < dist.get(j, np.inf):
+                    dist[j], before[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            so_far, j = heapq.heappop(heap)
+            while j in done:
+                so_far, j = heapq.heappop(heap)
+            done[j] = so_far
+            if j not in row_of:
+                break
+            i = row_of[j]
+        for k, d in done.items():
+            v[k] += d - so_far
+            if k in row_of:
+                u[row_of[k]] += so_far - d
+        u[start] += so_far
+        while True:
+            i = before[j]
+            row_of[j], got[i], j = i, j, got[i]
+            if i == start:
+                break
+    return [j if j is not None and j >= 0 else None for j in got]
 
 
 def assign(ious: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """The one-to-one assignment of each image that maximises total IoU.
 
-    Pairs without overlap are no pairs.  An image is one task: its labels are few
-    hundred, and images are many.
+    Pairs without overlap are no pairs.  Labels that overlap, directly or through others, form a
+    part of their image; each part is a group of its own, so an image of many labels is many tasks' work.
     """
+    pairs = written(ious.select(*keys, "gt_label", "pred_label", "iou"))
+    node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("label"))
+    parts = components(pairs.select(node(0, "gt_label").alias("a"), node(1, "pred_label").alias("b")))
+    held = pairs.withColumn("id", node(0, "gt_label")).join(parts, "id").drop("id")
     schema = ", ".join(f"`{k}` {dict(ious.dtypes)[k]}" for k in keys) + ", gt_label long, pred_label long, iou double, matched boolean"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         gt, i = np.unique(rows.gt_label, return_inverse=True)
         pred, j = np.unique(rows.pred_label, return_inverse=True)
-        cost = np.zeros((len(gt), len(pred)))
-        cost[i, j] = -rows.iou
-        found = [(gt[a], pred[b], -cost[a, b]) for a, b in hungarian(cost) if cost[a, b] < 0]
+        edges: list[list[tuple[int, float]]] = [[] for _ in gt]
+        for a, b, c in zip(i.tolist(), j.tolist(), rows.iou.tolist(), strict=True):
+            edges[a].append((b, -c))
+        value = {(a, b): -c for a, e in enumerate(edges) for b, c in e}
+        found = [(gt[a], pred[b], value[a, b]) for a, b in enumerate(sparse_assignment(edges)) if b is not None]
         out = pd.DataFrame(found, columns=["gt_label", "pred_label", "iou"])
         for k in reversed(keys):
             out.insert(0, k, rows[k].iloc[0])
         return out.assign(matched=out.iou >= E.IOU_THRESHOLD)
 
-    return ious.select(*keys, "gt_label", "pred_label", "iou").groupBy(*keys).applyInPandas(solve, schema)
+    return held.where("iou > 0").groupBy("component").applyInPandas(lambda rows: solve(rows), schema)
 
 
 def match_metrics(matches: DataFrame, counts: DataFrame, threshold: float = E.IOU_THRESHOLD) -> DataFrame:
