@@ -63,6 +63,8 @@ def hull_area(rows: np.ndarray, cols: np.ndarray) -> int:
     return int(inside.sum())
 
 
+#: Pixels whose regions one call measures.
+BATCH_PIXELS = 200_000
 #: Length that a border pixel adds, by 1, 2 and 10 times its straight, own and diagonal border neighbours.
 _BORDER = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: 2**0.5, 33: 2**0.5, 13: (1 + 2**0.5) / 2, 23: (1 + 2**0.5) / 2}
 
@@ -94,16 +96,72 @@ def perimeter_crofton(mask: np.ndarray) -> float:
     return float(np.pi / 4 * ((h + v) / 2 + (d1 + d2) / (2 * 2**0.5)))
 
 
-def outlines(pixels: DataFrame) -> DataFrame:
-    """perimeter, perimeter_crofton and solidity of each region; a region is one small group."""
+def region_batch(region: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the regions in order, perimeter, perimeter_crofton, solidity) of all regions of a batch of pixels at once.
 
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows.row.to_numpy(), rows.col.to_numpy()
-        mask = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
-        mask[r - r.min(), c - c.min()] = True
-        return pd.DataFrame({"image": rows.image.iloc[:1], "label": rows.label.iloc[:1], "perimeter": perimeter(mask), "perimeter_crofton": perimeter_crofton(mask), "solidity": len(rows) / hull_area(r, c)})
+    Neighbours are found by their keys among the sorted pixels of the batch: a key is a region and a place on one line.
+    """
+    names, own = np.unique(region, return_inverse=True)
+    n = len(names)
+    first_row, first_col = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(first_row, own, row)
+    np.minimum.at(first_col, own, col)
+    r, c = row - first_row[own] + 1, col - first_col[own] + 1  # a frame of one pixel around each region
+    wide = int(c.max()) + 2
+    size = (int(r.max()) + 2) * wide
+    keys = np.unique(own * size + r * wide + c)
+    own = keys // size
+
+    def held(at: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return among[np.minimum(np.searchsorted(among, at), len(among) - 1)] == at
+
+    straight, slant = (1, -1, wide, -wide), (wide + 1, wide - 1, 1 - wide, -wide - 1)
+    border = keys[sum(held(keys + s, keys).astype(int) for s in straight) < 4]
+    code = 1 + 2 * sum(held(border + s, border).astype(int) for s in straight) + 10 * sum(held(border + s, border).astype(int) for s in slant)
+    weight = np.zeros(51)
+    for k, w in _BORDER.items():
+        weight[k] = w
+    perimeters = np.bincount(border // size, weight[np.minimum(code, 50)], n)
+    # each direction is crossed where a pixel's neighbour on that line is missing, on either side
+    crossed = lambda s: np.bincount(own, (~held(keys + s, keys)).astype(int) + (~held(keys - s, keys)).astype(int), n)
+    crofton = np.pi / 4 * ((crossed(1) + crossed(wide)) / 2 + (crossed(wide + 1) + crossed(wide - 1)) / (2 * 2**0.5))
+    area = np.bincount(own, minlength=n)
+    ends = np.searchsorted(own, np.arange(n + 1))
+    place = keys % size
+    hull = np.array([hull_area(place[a:b] // wide, place[a:b] % wide) for a, b in zip(ends[:-1], ends[1:], strict=True)], float)
+    return names, perimeters, crofton, area / hull
 
-    return pixels.where("label > 0").select("image", "label", "row", "col").groupBy("image", "label").applyInPandas(measure, "image string, label long, perimeter double, perimeter_crofton double, solidity double")
+
+def outlines(pixels: DataFrame) -> DataFrame:
+    """perimeter, perimeter_crofton and solidity of each region.
+
+    Regions are dealt whole to partitions, and a task measures the regions of a partition in batches: a call of Python for many.
+    """
+    schema = "image string, label long, perimeter double, perimeter_crofton double, solidity double"
+    inner = pixels.where("label > 0").select("image", "label", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+    def measure(part: pd.DataFrame) -> pd.DataFrame:
+        numbers, about = pd.factorize(pd.MultiIndex.from_frame(part[["image", "label"]]))
+        names, *values = region_batch(numbers, part["row"].to_numpy(), part["col"].to_numpy())
+        keys = about[names].to_frame(index=False, name=["image", "label"])
+        return keys.assign(perimeter=values[0], perimeter_crofton=values[1], solidity=values[2])
+
+    def task(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < BATCH_PIXELS:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = whole[["image", "label"]].iloc[-1]  # its pixels may go on in the next batch
+            open_ = (whole["image"] == last["image"]) & (whole["label"] == last["label"])
+            held = [whole[open_]]
+            if not open_.all():
+                yield measure(whole[~open_])
+        if held and len(whole := pd.concat(held, ignore_index=True)):
+            yield measure(whole)
+
+    return inner.repartition("image", "label").sortWithinPartitions("image", "label").mapInPandas(task, schema)
 
 
 def cell_features(pixels: DataFrame, images: DataFrame) -> DataFrame:
@@ -168,6 +226,10 @@ def relabel(pixels: DataFrame) -> DataFrame:
     return labels.withColumn("dense_label", F.row_number().over(Window.partitionBy("image").orderBy("label")))
 
 
+#: Side of the square tiles in which crops look for their pixels.
+TILE = 64
+
+
 def crops(pixels: DataFrame, cells: DataFrame, padding: int = E.CROP_PADDING) -> DataFrame:
     """(image, cell_id, status, row_from ... col_to, pixels): the padded surroundings of each wanted cell.
 
@@ -177,8 +239,12 @@ def crops(pixels: DataFrame, cells: DataFrame, padding: int = E.CROP_PADDING) ->
     """
     box = E.crop_bounds(*(F.col(f"bbox_{x}") for x in ("min_row", "min_col", "max_row", "max_col")), F.col("height"), F.col("width"), padding)
     wanted = cells.select("image", "cell_id", box.alias("box")).select("image", "cell_id", "box.*")
-    p = pixels.select("image", "row", "col", "intensity", F.col("label").alias("__label"))
-    near = wanted.join(p, "image").where((F.col("row") >= F.col("row_from")) & (F.col("row") < F.col("row_to")) & (F.col("col") >= F.col("col_from")) & (F.col("col") < F.col("col_to")))
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    # a crop asks the tiles it touches, a pixel stands in one
+    touched = lambda side: F.sequence(tile(f"{side}_from"), F.floor((F.col(f"{side}_to") - 1) / TILE))
+    asked = wanted.where("row_to > row_from and col_to > col_from").withColumn("__ty", F.explode(touched("row"))).withColumn("__tx", F.explode(touched("col")))
+    p = pixels.select("image", "row", "col", "intensity", F.col("label").alias("__label"), tile("row").alias("__ty"), tile("col").alias("__tx"))
+    near = asked.join(p, ["image", "__ty", "__tx"]).where((F.col("row") >= F.col("row_from")) & (F.col("row") < F.col("row_to")) & (F.col("col") >= F.col("col_from")) & (F.col("col") < F.col("col_to")))
     own = F.col("__label") == F.col("cell_id")
     found = near.groupBy("image", "cell_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "intensity", own.alias("target")))).alias("pixels"), F.count_if(own).alias("__own"))
     out = wanted.join(found, ["image", "cell_id"], "left")

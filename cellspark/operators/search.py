@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from . import matching
+from .quantiles import counted
 
 #: Fixed values of the search.
 SEED, TUNING_SHARE, LEAST_IMAGES = 42, 0.6, 4
@@ -22,19 +22,18 @@ def first_images(images: DataFrame, order: str, most: int | None = None) -> Data
 
 
 def tuning_split(images: DataFrame, key: str = "image_id", most: int | None = None, share: float = TUNING_SHARE, seed: int = SEED) -> DataFrame:
-    """(key, position, split): ``tuning`` or ``validation`` for each distinct id.
+    """(key, position, split): ``tuning`` or ``validation`` for each distinct id; NULL is none.
 
-    Sorted ids are shuffled by NumPy's seeded generator on the driver: annotated
-    images are few, and only their ids come there.
+    Positions follow a seeded hash of the ids, ranked by ranges: no id comes to the driver, only how many there are.
     """
-    ids = np.array(sorted(r[0] for r in images.select(key).distinct().collect()))
-    np.random.default_rng(seed).shuffle(ids)
-    ids = ids[:most]
-    if len(ids) < LEAST_IMAGES:
+    ids = images.where(F.col(key).isNotNull()).select(F.struct(F.xxhash64(key, F.lit(seed)), F.col(key).alias("id")).alias("__h")).distinct()
+    placed = counted(ids, "__h").select(F.col("__h.id").alias(key), F.col("below").cast("int").alias("position"))
+    total = ids.count()
+    total = total if most is None else min(total, most)
+    if total < LEAST_IMAGES:
         raise ValueError(f"at least {LEAST_IMAGES} annotated images are needed")
-    n = min(max(int(round(len(ids) * share)), 1), len(ids) - 1)
-    rows = [(x.item() if hasattr(x, "item") else x, i, "tuning" if i < n else "validation") for i, x in enumerate(ids)]
-    return images.sparkSession.createDataFrame(rows, f"`{key}` {dict(images.dtypes)[key]}, position int, split string")
+    n = min(max(int(round(total * share)), 1), total - 1)
+    return placed.where(F.col("position") < total).withColumn("split", F.when(F.col("position") < n, "tuning").otherwise("validation"))
 
 
 def grid(spark: SparkSession, diameters: list[int | None], cellprobs: list[float], flows: list[float], min_sizes: list[int]) -> DataFrame:

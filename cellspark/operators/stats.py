@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .quantiles import column_quantiles, medians, quantiles, value_ranks
+from .quantiles import column_quantiles, counted, medians, quantiles, value_ranks
+from .tables import written
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -241,27 +242,42 @@ def balanced_sample(df: DataFrame, key: str, most: int, seed: int, *ids: str, cl
     return df.withColumn("__rank", rank).where(F.col("__rank") <= min([most, *counts.values()])).drop("__rank")
 
 
+def deal_folds(types: list[tuple[tuple[int, ...], int]], folds: int) -> list[list[int]]:
+    """For each (counts of a group by class, groups that have them) how many of these groups each fold gets.
+
+    The most uneven come first.  Whole rounds are dealt to all folds alike, each of the rest to the fold where the
+    classes then differ least, of equals to the one with the fewest rows, then to the first.
+    """
+    counts = np.array([c for c, _ in types], float).reshape(len(types), -1)
+    total = np.maximum((counts * np.array([[n] for _, n in types])).sum(0), 1)
+    held, out = np.zeros((folds, counts.shape[1])), [[0] * folds for _ in types]
+    for i in sorted(range(len(types)), key=lambda i: (-counts[i].std(), types[i][0])):
+        rounds, rest = divmod(types[i][1], folds)
+        held += rounds * counts[i]
+        out[i] = [rounds] * folds
+        for _ in range(rest):
+            spread = [np.std((held + counts[i] * (np.arange(folds) == k)[:, None]) / total, axis=0).mean() for k in range(folds)]
+            k = min(range(folds), key=lambda k: (round(spread[k], 12), held[k].sum(), k))
+            held[k] += counts[i]
+            out[i][k] += 1
+    return out
+
+
 def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 42) -> DataFrame:
     """(group, fold): groups are never split and classes spread evenly.
 
-    Greedy over the small table of groups by classes: the largest first, to the fold
-    where the classes then differ least.
+    Folds are dealt over the distinct counts of groups by class, and which groups of the same counts go where
+    follows a seeded hash: no group comes to the driver.
     """
-    counts: dict = {}
-    labels = sorted({r[0] for r in df.select(label).distinct().collect()})
-    for g, y, n in df.groupBy(group, label).count().collect():
-        counts.setdefault(g, np.zeros(len(labels)))[labels.index(y)] = n
-    total = np.maximum(sum(counts.values()), 1)
-    held = np.zeros((folds, len(labels)))
-    order = np.random.default_rng(seed).permutation(len(counts))
-    names = [sorted(counts)[i] for i in order]
-    placed = []
-    for g in sorted(names, key=lambda g: -counts[g].std()):
-        spread = [np.std((held + counts[g] * (np.arange(folds) == k)[:, None]) / total, axis=0).mean() for k in range(folds)]
-        k = min(range(folds), key=lambda k: (round(spread[k], 12), held[k].sum()))
-        held[k] += counts[g]
-        placed.append((g, k))
-    return df.sparkSession.createDataFrame(placed, f"`{group}` {dict(df.dtypes)[group]}, fold int")
+    labels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)  # a handful of classes
+    vector = F.array(*(F.count_if(F.col(label) == y) for y in labels))
+    groups = written(df.where(F.col(group).isNotNull()).groupBy(group).agg(vector.alias("__counts")).withColumn("__h", F.struct(F.xxhash64(group, F.lit(seed)), F.col(group).alias("g"))))
+    types = [(tuple(r[0]), r[1]) for r in groups.groupBy("__counts").count().collect()]
+    shares = deal_folds(types, folds)
+    ends = [[int(x) for x in np.cumsum(s)] for s in shares]
+    table = df.sparkSession.createDataFrame([(list(c), e) for (c, _), e in zip(types, ends, strict=True)], "__counts array<bigint>, __ends array<bigint>")
+    placed = counted(groups, "__h", "__counts").select("__counts", F.col("__h.g").alias(group), F.col("below").alias("__place"))
+    return placed.join(table, "__counts").select(group, F.size(F.filter("__ends", lambda e: e <= F.col("__place"))).cast("int").alias("fold"))
 
 
 def leaks(train: DataFrame, test: DataFrame, group: str) -> DataFrame:

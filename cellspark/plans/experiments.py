@@ -94,7 +94,7 @@ def evaluation_statuses(spark, sf_dir):
     """How many images end in which status, with evaluation on and off."""
     o = table(spark, sf_dir, "orders")
     run = lambda on: stats.capped_status(o, "o_orderpriority", "o_orderkey", F.col("o_custkey") % 3 == 0, 20, ~F.col("o_orderpriority").startswith("5"), on)
-    return run(True).unionByName(run(False)).where("status <> 'evaluated'").groupBy("o_orderpriority", "status").agg(F.count("*").alias("images"))
+    return run(True).unionByName(run(False)).groupBy("o_orderpriority", "status").agg(F.count("*").alias("images"))
 
 
 def _far_apart(spark, sf_dir):
@@ -309,7 +309,7 @@ SELECT config_id, images, true_positives, false_positives, false_positives AS fa
     "line_evaluation": """WITH i AS (SELECT l_returnflag, l_suppkey, count(*) FILTER (l_tax > 0.04) AS tp, count(*) FILTER (l_tax < 0.02) AS fp, count(*) FILTER (l_discount > 0.08) AS fn, avg(l_tax) AS m FROM lineitem GROUP BY ALL), s AS (SELECT l_returnflag AS cell_line, count(*) AS evaluation_images, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg(m) AS m FROM i GROUP BY 1)
 SELECT cell_line, evaluation_images, tp AS micro_true_positives, fp AS micro_false_positives, fn AS micro_false_negatives, round(m, 6) AS mean_matched_iou, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM s""",
     "evaluation_statuses": """WITH a AS (SELECT o_orderpriority, o_orderpriority LIKE '5%' AS x, o_custkey % 3 = 0 AS f, coalesce(sum((o_custkey % 3 = 0)::INT) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM orders),
-s AS (SELECT o_orderpriority, CASE WHEN x THEN 'annotation_file_not_found' WHEN b >= 20 THEN 'evaluation_limit_reached' WHEN f THEN 'evaluated' ELSE 'not_in_annotation_file' END AS status FROM a UNION ALL SELECT o_orderpriority, 'evaluation_disabled' FROM a) SELECT o_orderpriority, status, count(*) AS images FROM s WHERE status <> 'evaluated' GROUP BY ALL""",
+s AS (SELECT o_orderpriority, CASE WHEN x THEN 'annotation_file_not_found' WHEN b >= 20 THEN 'evaluation_limit_reached' WHEN f THEN 'evaluated' ELSE 'not_in_annotation_file' END AS status FROM a UNION ALL SELECT o_orderpriority, 'evaluation_disabled' FROM a) SELECT o_orderpriority, status, count(*) AS images FROM s GROUP BY ALL""",
     "kmeans_far_apart": "SELECT o_orderkey, (o_orderkey % 3 + 1)::INT AS phenotype_cluster FROM orders",
     "pca_of_two": """WITH q AS (SELECT quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS i, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS j FROM lineitem), v AS (SELECT var_samp(l_quantity) / any_value(i * i) AS a, var_samp(l_extendedprice) / any_value(j * j) AS b, covar_samp(l_quantity, l_extendedprice) / any_value(i * j) AS c FROM lineitem, q),
 e AS (SELECT ((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c)) / (a + b) AS r FROM v) SELECT 'PC1' AS principal_component, round(r, 6) AS explained_variance_ratio, round(r, 6) AS cumulative_explained_variance FROM e UNION ALL SELECT 'PC2', round(1 - r, 6), 1.0::DOUBLE FROM e""",

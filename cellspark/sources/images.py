@@ -102,7 +102,10 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """A single-channel TIFF of 8, 16 or 32 bits, losslessly; strips as they are, deflated or packed in runs of bytes."""
+    """A single-channel TIFF of whole numbers or floats, losslessly, in strips or tiles.
+
+    Stored plainly, deflated, packed in runs of bytes or in LZW codes; with or without differences along the rows.
+    """
     order = "<" if data[:2] == b"II" else ">"
     at = struct.unpack(order + "I", data[4:8])[0]
     tags = {}
@@ -112,12 +115,58 @@ def decode_tiff(data: bytes) -> np.ndarray:
         code, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("B", 1))
         raw = entry[8:] if n * size <= 4 else data[struct.unpack(order + "I", entry[8:])[0] :]
         tags[tag] = struct.unpack(order + code * n, raw[: n * size])
-    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bytes}.get(tags.get(259, (1,))[0])
-    if unpack is None or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
-        raise ValueError("only single-channel images without prediction, stored plainly, deflated or packed")
-    width, height, bits = tags[256][0], tags[257][0], tags.get(258, (1,))[0]
-    pixels = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[273], tags[279], strict=True))
-    return np.frombuffer(pixels, f"{order}u{bits // 8}").reshape(height, width)
+    unpack = {1: bytes, 5: _unpack_codes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bytes}.get(tags.get(259, (1,))[0])
+    predictor, form = tags.get(317, (1,))[0], {1: "u", 2: "i", 3: "f"}.get(tags.get(339, (1,))[0])
+    bits = tags.get(258, (1,))[0]
+    if unpack is None or form is None or tags.get(277, (1,))[0] != 1 or predictor not in (1, 2) or predictor == 2 and form == "f":
+        raise ValueError("only single-channel images, stored plainly, deflated, packed or in LZW codes, with differences of whole numbers or none")
+    if bits not in ((16, 32, 64) if form == "f" else (8, 16, 32)):
+        raise ValueError(f"{bits} bits a pixel")
+    width, height, kind = tags[256][0], tags[257][0], np.dtype(f"{order}{form}{bits // 8}")
+    tiled = 324 in tags
+    high, wide = (tags[323][0], tags[322][0]) if tiled else (min(height, tags.get(278, (height,))[0]), width)
+    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    across = -(-width // wide)
+    out = np.zeros((-(-height // high) * high, across * wide), kind)
+    if len(places) != across * (len(out) // high):
+        raise ValueError(f"{len(places)} parts do not make an image")
+    for i, (o, n) in enumerate(zip(places, sizes, strict=True)):
+        top, left = i // across * high, i % across * wide
+        rows = high if tiled else min(high, height - top)
+        part = np.frombuffer(unpack(data[o : o + n])[: rows * wide * kind.itemsize], kind).reshape(rows, wide)
+        out[top : top + rows, left : left + wide] = np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else part
+    return out[:height, :width]
+
+
+def _unpack_codes(data: bytes) -> bytes:
+    """LZW: codes of 9 to 12 bits, the highest first, one bit more as soon as the next code but one would need it; 256 begins anew, 257 ends."""
+    out, table, before = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], b""
+    width, held, n = 9, 0, 0
+    for byte in data:
+        held, n = (held << 8 | byte) & 0xFFFFFF, n + 8
+        if n < width:
+            continue
+        n -= width
+        code = held >> n & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            width, before = 9, b""
+            continue
+        if not before:
+            if code > 255:
+                raise ValueError("a code before its string")
+            now = table[code]
+        else:
+            if code > len(table) or code < len(table) and 255 < code < 258:
+                raise ValueError("a code before its string")
+            now = table[code] if code < len(table) else before + before[:1]
+            table.append(before + now[:1])
+        out += now
+        before = now
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
 
 
 def _unpack_bytes(data: bytes) -> bytes:
@@ -143,10 +192,12 @@ def encode_tiff(image: np.ndarray) -> bytes:
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
-    """(image, status, message, height, width, bits, pixels) of every file: decoded pixels row by row as little-endian bytes.
+    """(image, status, message, height, width, bits, pixels, kind) of every file: decoded pixels row by row as little-endian bytes.
+
+    ``kind`` is u, i or f: whole numbers without and with a sign, floats.
 
     A file that can't be decoded has the status ``failed``, a message and no pixels; the
-    others are ``completed``.
+    others are ``completed``.  Spark does not list files without a byte; they have no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
@@ -156,24 +207,25 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> Dat
                 name = path.rsplit("/", 1)[-1]
                 try:
                     a = decode_tiff(content)
-                    row = (name, "completed", None, a.shape[0], a.shape[1], a.itemsize * 8, a.astype(a.dtype.newbyteorder("<")).tobytes())
+                    row = (name, "completed", None, a.shape[0], a.shape[1], a.itemsize * 8, a.astype(a.dtype.newbyteorder("<")).tobytes(), a.dtype.kind)
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    row = (name, "failed", f"{type(e).__name__}: {e}", None, None, None, None)
-                yield pd.DataFrame([row], columns=["image", "status", "message", "height", "width", "bits", "pixels"]).astype({"height": "Int32", "width": "Int32", "bits": "Int32"})
+                    row = (name, "failed", f"{type(e).__name__}: {e}", None, None, None, None, None)
+                yield pd.DataFrame([row], columns=["image", "status", "message", "height", "width", "bits", "pixels", "kind"]).astype({"height": "Int32", "width": "Int32", "bits": "Int32"})
 
-    return files.mapInPandas(task, "image string, status string, message string, height int, width int, bits int, pixels binary")
+    return files.mapInPandas(task, "image string, status string, message string, height int, width int, bits int, pixels binary, kind string")
 
 
-def explode_pixels(images: DataFrame, value: str = "label") -> DataFrame:
-    """(image, row, col, value) of every pixel of ``read_images``."""
+def explode_pixels(images: DataFrame, value: str = "label", floats: bool = False) -> DataFrame:
+    """(image, row, col, value) of every pixel of ``read_images``: whole numbers, or doubles where ``floats``."""
+    to, name = (np.float64, "double") if floats else (np.int64, "long")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x in batch.itertuples():
                 r, c = np.indices((int(x.height), int(x.width)))
-                yield pd.DataFrame({"image": x.image, "row": r.ravel(), "col": c.ravel(), value: np.frombuffer(x.pixels, f"<u{int(x.bits) // 8}").astype(np.int64)})
+                yield pd.DataFrame({"image": x.image, "row": r.ravel(), "col": c.ravel(), value: np.frombuffer(x.pixels, f"<{x.kind}{int(x.bits) // 8}").astype(to)})
 
-    return images.where("status = 'completed'").select("image", "height", "width", "bits", "pixels").mapInPandas(task, f"image string, row int, col int, {value} long")
+    return images.where("status = 'completed'").select("image", "height", "width", "bits", "pixels", "kind").mapInPandas(task, f"image string, row int, col int, {value} {name}")
 
 
 def read_pixels(spark: SparkSession, folder: str, pattern: str = "*.tif", value: str = "label") -> DataFrame:

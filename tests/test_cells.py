@@ -216,6 +216,35 @@ def test_lonely_cells_find_their_nearest(spark):
         assert got[i, c].nearest_neighbour_distance == (pytest.approx(min(d)) if d else None)
 
 
+def test_regions_of_a_batch_against_single_ones():
+    r = np.random.default_rng(0)
+    region, row, col, want = [], [], [], []
+    for k in range(60):
+        m = r.random(r.integers(1, 9, 2)) < r.choice([0.3, 0.7, 1.0])
+        m[0, 0] = True
+        y, x = np.nonzero(m)
+        off = r.integers(0, 500, 2)
+        region, row, col = region + [7 * k] * len(y), row + (y + off[0]).tolist(), col + (x + off[1]).tolist()
+        want.append((cells.perimeter(m), cells.perimeter_crofton(m), len(y) / cells.hull_area(y, x)))
+    i = r.permutation(len(region))
+    names, *got = cells.region_batch(np.array(region)[i], np.array(row)[i], np.array(col)[i])
+    assert (names == 7 * np.arange(60)).all() and np.stack(got, 1) == pytest.approx(np.array(want))
+
+
+def test_outlines_in_small_batches_are_the_same(spark, monkeypatch):
+    rows = [("ab"[k % 2], k, i // 3, i % 3 + k) for k in range(1, 30) for i in range(1 + k % 9)]
+    df = spark.createDataFrame(rows, "image string, label long, row int, col int")
+    one = sorted(map(tuple, cells.outlines(df).collect()))
+    monkeypatch.setattr(cells, "BATCH_PIXELS", 4)
+    assert sorted(map(tuple, cells.outlines(df).collect())) == one and len(one) == 29
+
+
+def test_folds_of_equal_groups_are_dealt_in_rounds():
+    dealt = np.array(stats.deal_folds([((3, 0), 7), ((0, 3), 7)], 3))
+    assert dealt.sum(1).tolist() == [7, 7] and set(dealt.ravel()) == {2, 3} and dealt.sum(0).max() == 5
+    assert [sum(x) for x in stats.deal_folds([((1, 2), 5), ((9, 0), 1)], 4)] == [5, 1] and stats.deal_folds([], 2) == []
+
+
 def plain_bootstrap(x, draws, chunk, seed):
     """Means of resamples of sorted x in NumPy: a tree of binomial splits, then draws within each chunk."""
     n, sums = len(x), np.zeros(draws)

@@ -71,6 +71,97 @@ def test_compressed_strips_and_a_broken_file(spark, tmp_path):
     assert images.read_pixels(spark, str(tmp_path)).agg(F.count("*"), F.sum("label")).first()[:] == (8, int(a.sum()))
 
 
+def lzw(data):
+    """Codes as an encoder writes them: the strings seen so far, one bit more from entry 511, 1023 and 2047 on, anew when the table is full."""
+    out, held, n = bytearray(), 0, 0
+    table, width, word = {bytes([i]): i for i in range(256)}, 9, b""
+
+    def put(code):
+        nonlocal held, n
+        held, n = held << width | code, n + width
+        while n >= 8:
+            out.append(held >> n - 8 & 255)
+            n -= 8
+        held &= (1 << n) - 1
+
+    put(256)
+    size = 258
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if word + c in table:
+            word += c
+            continue
+        put(table[word])
+        table[word + c], size = size, size + 1
+        width = 9 + (size > 511) + (size > 1023) + (size > 2047)
+        if size == 4095:
+            put(256)
+            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+        word = c
+    if word:
+        put(table[word])
+        size += 1
+        width = 9 + (size > 511) + (size > 1023) + (size > 2047)
+    put(257)
+    if n:
+        out.append(held << 8 - n & 255)
+    return bytes(out)
+
+
+def image_file(a, code=1, pack=bytes, predictor=1, tile=None, rows=None, order="<", form=1):
+    """A TIFF file of the array in strips of ``rows`` rows, or in tiles."""
+    high, wide = tile or (rows or a.shape[0], a.shape[1])
+    parts = []
+    for top in range(0, a.shape[0], high):
+        for left in range(0, a.shape[1], wide):
+            part = a[top : top + high, left : left + wide]
+            if tile:
+                part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1])))
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=part[:, :1] * 0)
+            parts.append(pack(part.astype(a.dtype.newbyteorder(order)).tobytes()))
+    body, places = b"", []
+    for part in parts:
+        places.append(8 + len(body))
+        body += part
+    entries = [(256, 4, [a.shape[1]]), (257, 4, [a.shape[0]]), (258, 3, [a.itemsize * 8]), (259, 3, [code]), (277, 3, [1]), (317, 3, [predictor]), (339, 3, [form])]
+    entries += [(322, 4, [wide]), (323, 4, [high]), (324, 4, places), (325, 4, [len(x) for x in parts])] if tile else [(273, 4, places), (278, 4, [high]), (279, 4, [len(x) for x in parts])]
+    table = b""
+    for tag, kind, values in sorted(entries):
+        raw = struct.pack(order + {3: "H", 4: "I"}[kind] * len(values), *values)
+        if len(raw) > 4:
+            place, body = 8 + len(body), body + raw
+            raw = struct.pack(order + "I", place)
+        table += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body)) + body + struct.pack(order + "H", len(entries)) + table + b"\0" * 4
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_codes_differences_tiles_and_floats(order):
+    r = np.random.default_rng(5)
+    smooth = (np.add.outer(np.arange(130), np.arange(70)) // 3).astype(np.uint8)
+    arrays = [(smooth, 1), (r.integers(0, 256, (90, 110)).astype(np.uint8), 1), (r.integers(0, 60000, (40, 33)).astype(np.uint16), 1), (r.integers(-900, 900, (21, 50)).astype(np.int32), 2), (r.normal(size=(30, 41)).astype(np.float32), 3), (r.normal(size=(9, 5)), 3)]
+    for a, form in arrays:
+        for code, pack in ((1, bytes), (5, lzw), (8, zlib.compress)):
+            for more in ({}, {"rows": 7}, {"tile": (16, 32)}):
+                for predictor in (1, 2) if form < 3 else (1,):
+                    got = images.decode_tiff(image_file(a, code, pack, predictor, order=order, form=form, **more))
+                    assert got.shape == a.shape and got.dtype.kind == a.dtype.kind and (got == a).all()
+    assert images._unpack_codes(lzw(b"")) == b"" and images._unpack_codes(lzw(bytes(50_000))) == bytes(50_000)
+
+
+def test_files_that_fail_have_a_status(spark, tmp_path):
+    a = np.arange(12, dtype=np.float32).reshape(3, 4) / 8
+    good = image_file(a, 5, lzw, form=3)
+    for name, data in {"good.tif": good, "cut.tif": good[:40], "codes.tif": image_file(a.astype(np.uint8), 5, lambda x: b"\xff" * 9), "floats2.tif": image_file(a, predictor=2, form=3), "short.tif": b"II", "bits.tif": image_file(a.astype(np.uint64))}.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r.image: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert {k: r.status for k, r in found.items()} == {k: "completed" if k == "good.tif" else "failed" for k in found} and len(found) == 6
+    assert found["good.tif"].kind == "f" and all(r.message for r in found.values() if r.status == "failed")
+    pixels = images.explode_pixels(images.read_images(spark, str(tmp_path)), "intensity", floats=True).collect()
+    assert {(p.row, p.col): p.intensity for p in pixels} == {(i, j): float(a[i, j]) for i in range(3) for j in range(4)}
+
+
 def test_parameters_tables_and_models(spark, tmp_path):
     path = tmp_path / "best.json"
     full = {"selected_parameters": {"diameter": None, "cellprob_threshold": 0.0, "flow_threshold": 0.4, "min_size": 15}}
