@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import written
+from .records import records
+
 #: A segmentation is read as text: a list of polygons, or run lengths.
-COCO = "images array<struct<id:bigint,file_name:string,height:int,width:int>>, annotations array<struct<id:bigint,image_id:bigint,segmentation:string>>"
+IMAGE, ANNOTATION = "id bigint, file_name string, height int, width int", "id bigint, image_id bigint, segmentation string"
 DEFAULT_MODEL = "cpsam_v2"
 PARAMETERS = ("diameter", "cellprob_threshold", "flow_threshold", "min_size")
 
@@ -23,11 +26,11 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(images with their position in the file, annotations with label numbers by position).
 
     An annotation has ``segmentation`` (polygons) or ``runs`` (lengths of background and
-    cell in turn, down the columns), the other is NULL.
+    cell in turn, down the columns), the other is NULL.  One large file is read by many tasks.
     """
-    whole = spark.read.schema(COCO).option("multiLine", True).json(path)
-    images = whole.select(F.posexplode("images").alias("pos", "i")).select("pos", "i.*")
-    notes = whole.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*")
+    every = written(records(spark, path))
+    part = lambda name, schema: every.where(F.col("section") == name).select("pos", F.from_json("record", schema).alias("r")).select("pos", "r.*")
+    images, notes = part("images", IMAGE), part("annotations", ANNOTATION)
     label = F.row_number().over(Window.partitionBy("image_id").orderBy("pos"))
     polygons = F.when(F.col("segmentation").startswith("["), F.from_json("segmentation", "array<array<double>>"))
     counts = F.get_json_object("segmentation", "$.counts")

@@ -50,6 +50,45 @@ def test_packed_runs_with_differences_and_long_numbers():
     assert list(got[:3]) == many and got[3] is None
 
 
+def test_records_of_one_file_in_many_ranges(spark, tmp_path):
+    import random
+
+    from cellspark.sources.records import records
+
+    r = random.Random(1)
+    odd = ['a},{"b', '\\"}{', "[x]", "}", '{"images":[{', "\\", '"', "é}", "\n"]
+    whole = {"info": {"a": {"b": [1, {"c": 2}]}, "images": [{"no": 1}]}, "images": [{"id": i, "file_name": r.choice(odd) * r.randrange(4)} for i in range(60)], "numbers": [1, 2, [3, 4], "x{"], "empty": []}
+    whole |= {"annotations": [{"id": i, "segmentation": [[1.5, 2] * r.randrange(5)], "z": {"counts": r.choice(odd), "deep": [{"q": "}"}]}} for i in range(90)], "end": "x"}
+    (tmp_path / "one.json").write_text(json.dumps(whole, ensure_ascii=False))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1100", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found = sorted((x.section, x.pos, x.record) for x in records(spark, str(tmp_path / "one.json")).collect())
+            assert [(s, p) for s, p, _ in found] == [("annotations", i) for i in range(90)] + [("images", i) for i in range(60)]
+            assert [json.loads(t) for _, _, t in found] == whole["annotations"] + whole["images"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    (tmp_path / "none.json").write_text('{"images": [], "annotations": []}')
+    assert records(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_scan_in_pieces_is_the_same():
+    from cellspark.sources.records import OUT, Scan
+
+    text = json.dumps({"a": ['x\\"}{[', {"b\\": "]"}, [1, {}]], "\\": "\\\\"})
+    one = Scan()
+    want = list(one.brackets(text))
+    assert one.depth == 0 and one.state == OUT
+    for size in range(1, 9):
+        scan, got = Scan(), []
+        for at in range(0, len(text), size):
+            got += [(at + place, opens) for place, opens in scan.brackets(text[at : at + size])]
+        assert got == want and scan.state == OUT and scan.depth == 0
+
+
 def tiff(a, code, data):
     entries = [(256, 4, a.shape[1]), (257, 4, a.shape[0]), (258, 3, a.itemsize * 8), (259, 3, code), (273, 4, 8), (277, 3, 1), (279, 4, len(data))]
     return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in entries) + b"\0" * 4
