@@ -264,9 +264,14 @@ def likely_links(a: dict, b: dict, link: tuple[int, int] = LINK) -> list[tuple[i
 
     Of pairs that are both near the leader nothing is said.
     """
-    wide = np.frombuffer(b"".join(a["bits"]), np.uint8).reshape(len(a["key"]), -1), np.frombuffer(b"".join(b["bits"]), np.uint8).reshape(len(b["key"]), -1)
-    maybe = (similarity(*wide) >= least_estimate(link)) & (np.array(a["open"])[:, None] | np.array(b["open"])[None, :])
-    return forest([(a["key"][i], b["key"][j]) for i, j in zip(*np.nonzero(maybe), strict=True) if a["key"][i] != b["key"][j]])
+    bits = [np.frombuffer(b"".join(x["bits"]), np.uint8).reshape(len(x["key"]), -1) for x in (a, b)]
+    open_ = [np.array(x["open"], bool) for x in (a, b)]
+    found = []
+    for use_a, use_b in ((np.flatnonzero(open_[0]), np.arange(len(open_[1]))), (np.flatnonzero(~open_[0]), np.flatnonzero(open_[1]))):
+        if len(use_a) and len(use_b):
+            maybe = similarity(bits[0][use_a], bits[1][use_b]) >= least_estimate(link)
+            found += [(a["key"][use_a[i]], b["key"][use_b[j]]) for i, j in zip(*np.nonzero(maybe), strict=True)]
+    return forest([(x, y) for x, y in found if x != y])
 
 
 def near_leader(pairs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
