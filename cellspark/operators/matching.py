@@ -185,7 +185,7 @@ def segment(images: DataFrame, configs: DataFrame, segmenter, schema: str = "ima
     ``segmenter()`` makes, once a task, a function (image row, config row) -> label
     array; no model comes with this library.
     """
-    few = configs.collect()  # a grid of a dozen configurations
+    few = configs.limit(MOST_CONFIGS + 1).collect()  # a grid of a dozen configurations
     if len(few) > MOST_CONFIGS:
         raise ValueError(f"more than {MOST_CONFIGS} configurations")
     grid = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in configs.schema)) for r in few))

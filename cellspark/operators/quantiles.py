@@ -18,12 +18,12 @@ ACCURACY = 2000
 MOST = 100_000
 
 
-def counted(df: DataFrame, value: str, *keys: str) -> DataFrame:
+def counted(df: DataFrame, value: str, *keys: str, weight: Column | None = None) -> DataFrame:
     """(keys, value, n, below, total): how often each value occurs, how many rows lie under it, and all rows of its key.
 
-    NULL values don't count; NULL keys are a key.
+    With ``weight`` (whole numbers) rows count as often as it says.  NULL values don't count; NULL keys are a key.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     # the ranges are kept with the rows: dealt anew, they might be others
     ranges = written(n.repartitionByRange(*keys, value).withColumn("__range", F.spark_partition_id()))
     whole = Window.partitionBy(*keys)

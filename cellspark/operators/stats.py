@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from .quantiles import column_quantiles, counted, medians, quantiles, value_ranks
-from .tables import written
+from .tables import join_on, written
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -184,7 +184,9 @@ def even_pick(df: DataFrame, key: str, order: str, m: int) -> DataFrame:
     spots = [(k, int(i) + 1) for k, n in sizes.items() for i in sorted(set(np.linspace(0, n - 1, m, dtype=int).tolist() if n > m else range(n)))]
     kind = dict(df.dtypes)[key]
     wanted = df.sparkSession.createDataFrame(spots, f"`{key}` {kind}, selection_rank int")
-    ranked = df.withColumn("selection_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    ranks = counted(df, order, key).select(key, order, "below")  # by ranges: a line may hold most of all rows
+    within = F.row_number().over(Window.partitionBy(key, order).orderBy(order))
+    ranked = join_on(df, ranks, [key, order]).withColumn("selection_rank", (F.col("below") + within).cast("int")).drop("below")
     return ranked.join(wanted, [key, "selection_rank"], "left_semi")
 
 
@@ -207,8 +209,11 @@ def capped_status(df: DataFrame, key: str, order: str, found: Column, cap: int,
         return df.withColumn("status", F.lit("evaluation_disabled"))
     has = F.lit(True) if annotated is None else F.coalesce(annotated, F.lit(False))
     scored = (has & F.coalesce(found, F.lit(False))).cast("int")
-    before = F.coalesce(F.sum(scored).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("status", F.when(~has, "annotation_file_not_found").when(before >= cap, "evaluation_limit_reached").when(scored == 1, "evaluated").otherwise("not_in_annotation_file"))
+    # counts of earlier values of the order by ranges, then those of the same value
+    earlier = counted(df, order, key, weight=scored).select(key, order, F.col("below").alias("__below"))
+    same = F.coalesce(F.sum(scored).over(Window.partitionBy(key, order).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce("__below", F.lit(0)) + same
+    return join_on(df, earlier, [key, order], "left").withColumn("status", F.when(~has, "annotation_file_not_found").when(before >= cap, "evaluation_limit_reached").when(scored == 1, "evaluated").otherwise("not_in_annotation_file")).drop("__below")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ event a cell, a customer a well, and so on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
