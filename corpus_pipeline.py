@@ -23,7 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undecided: a null or empty text, no letters, or a narrow margin; a null id or lang stays."""
+    """Drops documents whose language is undecided: a null or empty text, no letters, or a narrow margin; a null id or lang stays.
+
+    Texts of any length are judged alike: the margin is summed over slices of the whole text.
+    """
     model = langid.train(docs.where(~held_out()))
     return langid.identify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
 
