@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that first centres are chosen from: a seeded sample of bounded size.  All rows take part in every step after.
+from .tables import written
+
+#: Distinct rows that first centres are chosen from, by weight: a seeded sample of bounded size.  All rows take part in every step after.
 FIRST_ROWS = 10_000
 STEPS, MOVED = 50, 1e-4
 _BLOCK = 4096
@@ -72,9 +74,11 @@ def _pass(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, k: int, starts: int, seed: int, steps: int = STEPS, refits: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(centres of the best start of each refit, their weighted squared distances).
 
-    ``rows`` has x (array of doubles) and w (array of a weight a refit), and should be a written table: each step reads it
+    ``rows`` has x (array of doubles) and w (array of a weight a refit).  Equal rows are one of their summed weight, so that a
+    sample of first centres holds as many different ones as there are; what is left is written, and each step reads it
     once, for all starts of all refits.  A cluster that gets no row keeps its centre.
     """
+    rows = written(rows.groupBy("x").agg(F.array(*(F.sum(F.get("w", F.lit(r))) for r in range(refits))).alias("w")))
     sample = rows.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(FIRST_ROWS).toPandas()
     x, w = np.stack(sample["x"]), np.stack(sample["w"])
     centres = np.stack([np.stack([first_centres(x, w[:, r] if w[:, r].sum() > 0 else np.ones(len(x)), k, np.random.default_rng([seed, r, s])) for s in range(starts)]) for r in range(refits)])
@@ -102,15 +106,19 @@ def label(rows: DataFrame, x: str, centres: np.ndarray, name: str = "prediction"
     return rows.withColumn(name, at(x))
 
 
-def contingency(rows: DataFrame, label_column: str, centres: np.ndarray) -> DataFrame:
-    """(refit, label, prediction, n): how often each label meets each cluster of each refit's ``centres``, in one pass."""
+def contingency(rows: DataFrame, label_column: str, centres: np.ndarray, times: str | None = None) -> DataFrame:
+    """(refit, label, prediction, n): how often each label meets each cluster of each refit's ``centres``, in one pass.
+
+    A row counts once, or as often as its column ``times`` says.
+    """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 own = nearest(np.stack(b["x"]), centres)[0]
                 for r in range(len(centres)):
-                    n = pd.DataFrame({"label": b[label_column], "prediction": own[:, r]}).value_counts().reset_index(name="n")
+                    met = pd.DataFrame({"label": b[label_column], "prediction": own[:, r], "n": b[times] if times else 1})
+                    n = met.groupby(["label", "prediction"], as_index=False)["n"].sum()
                     yield n.assign(refit=r)[["refit", "label", "prediction", "n"]]
 
     kind = dict(rows.dtypes)[label_column]

@@ -55,12 +55,11 @@ def fit_clusters(df: DataFrame, columns: list[str], k: int, restarts: int = 20,
     """(rows with phenotype_cluster, inertia): K-means, the best of several starts, which share each pass over the rows; clusters renumbered 1 ... k by ascending median of ``order_by``."""
     scaled = df.withColumns(stats.scaling(df, columns))
     x = F.array(*(F.col(f"{c}_scaled") for c in columns))
-    vectors = written(scaled.select(x.alias("x"), F.array(F.lit(1.0)).alias("w")))
-    centres, cost = kmeans.fit(vectors, k, restarts, seed)
-    raw = kmeans.label(scaled.withColumn("__x", x), "__x", centres[0]).drop("__x")
+    centres, cost = kmeans.fit(scaled.select(x.alias("x"), F.array(F.lit(1.0)).alias("w")), k, restarts, seed)
+    raw = written(kmeans.label(scaled.withColumn("__x", x), "__x", centres[0]).drop("__x"))
     medians = quantiles(raw, order_by, [0.5], "prediction")
     names = medians.select("prediction", F.row_number().over(Window.orderBy(F.get("q", F.lit(0)), "prediction")).alias("phenotype_cluster"))  # k rows
-    return raw.join(names, "prediction").drop("prediction"), float(cost[0])
+    return raw.join(F.broadcast(names), "prediction").drop("prediction"), float(cost[0])
 
 
 def cluster(df: DataFrame, columns: list[str], k: int, restarts: int = 20, seed: int = 42, order_by: str = "area") -> DataFrame:

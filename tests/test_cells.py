@@ -380,3 +380,12 @@ def test_evaluation_statuses_in_order(spark):
     run = lambda **more: [(r.line, r.i, r.status) for r in stats.capped_status(df, "line", "i", F.col("found"), 2, F.col("line") == "a", **more).orderBy("line", "i").collect()]
     assert [x[2] for x in run()] == ["evaluated", "not_in_annotation_file", "evaluated", "evaluation_limit_reached", "evaluation_limit_reached", "evaluation_limit_reached", "annotation_file_not_found"]
     assert {x[2] for x in run(enabled=False)} == {"evaluation_disabled"}
+
+
+def test_kmeans_starts_from_all_values_however_often_each_stands(spark, monkeypatch):
+    from cellspark.operators import kmeans, phenotypes
+
+    monkeypatch.setattr(kmeans, "FIRST_ROWS", 6)  # fewer than any value has copies
+    rows = [(100.0 * (i % 3), 7.0 * (i % 3 == 1)) for i in range(60)]
+    got = phenotypes.cluster(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 3, order_by="a").distinct().collect()
+    assert sorted((r.a, r.phenotype_cluster) for r in got) == [(0.0, 1), (100.0, 2), (200.0, 3)]
