@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bootstrap, kmeans, phenotypes, stats
-from .quantiles import counted, medians, quantiles
-from .tables import join_on, written
+from .quantiles import medians, quantiles
+from .tables import join_on
 
 #: Seed, refits, restarts of each, resamples of means, cells shown of a cluster.
 SEED, REFITS, RESTARTS, DRAWS, EXEMPLARS = 42, 100, 20, 2000, 6
@@ -27,7 +29,7 @@ def prototype_distance(df: DataFrame, label: str, columns: list[str]) -> DataFra
     """``df`` with the Euclidean distance of each row to its cluster's prototype."""
     at = prototypes(df, label, columns).withColumnsRenamed({c: f"__{c}" for c in columns})
     squares = sum((F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in columns), F.lit(0.0))
-    return df.join(at, label).withColumn("prototype_distance", F.sqrt(squares)).drop(*(f"__{c}" for c in columns))
+    return df.join(F.broadcast(at), label).withColumn("prototype_distance", F.sqrt(squares)).drop(*(f"__{c}" for c in columns))
 
 
 def representatives(cells: DataFrame, label: str, columns: list[str], images: DataFrame, masks: DataFrame, image: str = "image", order: list[Column] | None = None, n: int = EXEMPLARS) -> DataFrame:
@@ -43,14 +45,36 @@ def representatives(cells: DataFrame, label: str, columns: list[str], images: Da
 def bootstrap_weights(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """``df`` with weight, how often each row is drawn when as many as there are are drawn with replacement; rows not drawn go.
 
-    ``keys`` name a row.  Rows get places 0 ... n - 1 in order of a hash; n seeded draws
-    of places are counted.
+    ``keys`` name a row.
+    """
+    return _drawn(df, keys, [seed]).withColumn("weight", F.get("w", F.lit(0))).drop("w").where("weight > 0")
+
+
+#: Rows that one task draws from at a time, about.
+CHUNK = 50_000
+
+
+def _drawn(df: DataFrame, keys: list[str], seeds: list[int]) -> DataFrame:
+    """``df`` with w, how often each row is drawn for each of the seeds.
+
+    Rows fall into chunks by a hash of their keys.  The n draws of a seed are dealt among the chunks by their sizes
+    (the driver gets a row a chunk), and each chunk's among its rows in order of the hash: no draw is shuffled.
     """
     hashed = df.withColumn("__h", F.xxhash64(*keys))
-    placed = counted(hashed, "__h").select("__h", F.col("below").alias("__place"), F.col("total").alias("__n"))
-    n = placed.agg(F.max("__n")).first()[0] or 0
-    draws = df.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("__place")).groupBy("__place").agg(F.count("*").cast("double").alias("weight"))
-    return hashed.join(placed.join(draws, "__place"), "__h").drop("__h", "__place", "__n")
+    n = df.count()
+    chunked = hashed.withColumn("__chunk", F.pmod(F.xxhash64("__h"), F.lit(max(1, -(-n // CHUNK)))))
+    sizes = sorted((r[0], r[1]) for r in chunked.groupBy("__chunk").count().collect())
+    shares = np.array([k for _, k in sizes], float) / max(n, 1)
+    dealt = [np.random.default_rng([s, 0]).multinomial(n, shares) for s in seeds] if sizes else []
+    held = {chunk: [int(d[i]) for d in dealt] for i, (chunk, _) in enumerate(sizes)}
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__h", *keys])
+        chunk = int(rows["__chunk"].iloc[0])
+        w = [np.bincount(np.random.default_rng([s, 1, chunk]).integers(0, len(rows), k), minlength=len(rows)) for s, k in zip(seeds, held[chunk], strict=True)]
+        return rows.drop(columns=["__h", "__chunk"]).assign(w=list(np.array(w, float).T))
+
+    return chunked.groupBy("__chunk").applyInPandas(draw, T.StructType([*df.schema, T.StructField("w", T.ArrayType(T.DoubleType()))]))
 
 
 def agreement(df: DataFrame, reference: str, aligned: str) -> DataFrame:
@@ -67,14 +91,7 @@ def align_labels(df: DataFrame, raw: str, found: np.ndarray, reference: np.ndarr
 
 def refit_weights(df: DataFrame, keys: list[str], refits: int, seed: int) -> DataFrame:
     """``df`` with w, an array of how often each row is drawn in each refit; the draws of a refit are those of ``bootstrap_weights`` with its seed."""
-    hashed = df.withColumn("__h", F.xxhash64(*keys))
-    placed = counted(hashed, "__h").select("__h", F.col("below").alias("__place"), F.col("total").alias("__n"))
-    n = placed.agg(F.max("__n")).first()[0] or 0
-    seeds = F.explode(F.sequence(F.lit(seed + 1), F.lit(seed + refits)))
-    draws = df.sparkSession.range(n).select("id", seeds.alias("s")).groupBy(F.pmod(F.xxhash64("id", "s"), F.lit(max(n, 1))).alias("__place"), "s").agg(F.count("*").cast("double").alias("k"))
-    drawn = draws.groupBy("__place").agg(F.map_from_entries(F.collect_list(F.struct("s", "k"))).alias("__m"))  # an entry a refit
-    w = F.transform(F.sequence(F.lit(seed + 1), F.lit(seed + refits)), lambda s: F.coalesce(F.try_element_at("__m", s), F.lit(0.0)))
-    return hashed.join(placed.join(drawn, "__place", "left"), "__h").withColumn("w", w).drop("__h", "__place", "__n", "__m")
+    return _drawn(df, keys, [seed + 1 + r for r in range(refits)])
 
 
 def stability(df: DataFrame, columns: list[str], label: str, keys: list[str], refits: int = REFITS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
@@ -84,13 +101,14 @@ def stability(df: DataFrame, columns: list[str], label: str, keys: list[str], re
     pass over the rows, and one more counts labels against the clusters of all refits.
     """
     numbers = sorted(r[0] for r in df.select(label).distinct().collect())  # a handful of clusters
-    x = F.array(*(F.col(c).cast("double") for c in columns))
-    rows = written(refit_weights(df.select(*keys, label, x.alias("x")), keys, refits, seed).select("x", "w", F.col(label).alias("__label")))
+    x = F.array(*(F.col(c).cast("double") for c in columns)).alias("x")
+    rows = refit_weights(df.select(*dict.fromkeys([*keys, *columns])), keys, refits, seed).select(x, "w")
     own = {r[0]: r[1:] for r in centres(df, label, columns).collect()}
     reference = np.array([own[k] for k in numbers], float)
     found, _ = kmeans.fit(rows, len(numbers), restarts, seed, refits=refits)
     counts: dict = {}
-    for r in kmeans.contingency(rows, "__label", found).collect():  # refits times clusters squared
+    seen = df.groupBy(x, F.col(label).alias("__label")).agg(F.count("*").alias("n"))
+    for r in kmeans.contingency(seen, "__label", found, "n").collect():  # refits times clusters squared
         counts[r["refit"], r["label"], r["prediction"]] = r["n"]
     out = []
     for i in range(refits):

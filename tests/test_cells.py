@@ -389,3 +389,14 @@ def test_kmeans_starts_from_all_values_however_often_each_stands(spark, monkeypa
     rows = [(100.0 * (i % 3), 7.0 * (i % 3 == 1)) for i in range(60)]
     got = phenotypes.cluster(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 3, order_by="a").distinct().collect()
     assert sorted((r.a, r.phenotype_cluster) for r in got) == [(0.0, 1), (100.0, 2), (200.0, 3)]
+
+
+def test_draws_are_dealt_among_chunks(spark, monkeypatch):
+    from cellspark.operators import validation
+
+    monkeypatch.setattr(validation, "CHUNK", 100)
+    df = spark.range(2000).select(F.col("id").alias("k"))
+    w = np.array([r.w for r in validation.refit_weights(df, ["k"], 20, 7).orderBy("k").collect()])
+    again = np.array([r.w for r in validation.refit_weights(df.repartition(3), ["k"], 20, 7).orderBy("k").collect()])
+    assert w.shape == (2000, 20) and (w.sum(0) == 2000).all() and (w == again).all()
+    assert 0.61 < (w > 0).mean() < 0.655 and abs(w.var() - 1) < 0.05 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1
