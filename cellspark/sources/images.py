@@ -298,27 +298,90 @@ def fill_runs(runs, height: int, width: int) -> np.ndarray:
     return np.pad(flat, (0, height * width - len(flat))).reshape(width, height).T
 
 
+#: Pixels, about, that are drawn in one step.
+STEP_PIXELS = 1 << 20
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the item, place within it) of each of n[0] + n[1] + ... places."""
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _frame(flat) -> float:
+    """Pixels of the rectangle around a polygon."""
+    return (np.ptp(flat[::2]) + 1) * (np.ptp(flat[1::2]) + 1) if flat is not None and len(flat) >= 6 else 0
+
+
+def polygon_pixels(of: np.ndarray, flats: list, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(note, row, col) of the pixels of all polygons at once, as ``fill_polygon`` fills each; polygon i belongs to note of[i]."""
+    n = np.array([len(f) // 2 for f in flats], np.int64)
+    x, y = np.concatenate([np.asarray(f, float)[: len(f) // 2 * 2].reshape(-1, 2) for f in flats]).T
+    if not np.isfinite(x + y).all():
+        raise ValueError("a polygon's point is no number")
+    own, k = _spread(n)
+    following = np.arange(len(x)) + np.where(k == n[own] - 1, 1 - n[own], 1)
+    x2, y2 = x[following], y[following]
+    # rows whose centre line an edge crosses; rows beyond the image are left out
+    high = height[of][own]
+    first = np.clip(np.ceil(np.minimum(y, y2) - 0.5), 0, high).astype(np.int64)
+    end = np.clip(np.ceil(np.maximum(y, y2) - 0.5), 0, high).astype(np.int64)
+    edge, k = _spread(np.maximum(end - first, 0))
+    row = first[edge] + k
+    cross = x[edge] + (row + 0.5 - y[edge]) * (x2[edge] - x[edge]) / (y2[edge] - y[edge])
+    order = np.lexsort((cross, row, own[edge]))  # crossings of a polygon's row stand together, and are even in number
+    polygon, row, cross = own[edge][order][::2], row[order][::2], cross[order]
+    wide = width[of][polygon]
+    left, right = (np.clip(np.ceil(c - 0.5), 0, wide).astype(np.int64) for c in (cross[::2], cross[1::2]))
+    span, k = _spread(np.maximum(right - left, 0))
+    return of[polygon[span]], row[span], left[span] + k
+
+
+def run_pixels(of: np.ndarray, runs: list, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(note, row, col) of the pixels of all run lengths at once, as ``fill_runs`` fills each."""
+    n = np.array([len(r) for r in runs], np.int64)
+    lengths = np.concatenate([np.asarray(r, np.int64) for r in runs])
+    own, k = _spread(n)
+    ends = np.cumsum(lengths)
+    ends -= np.concatenate(([0], ends))[np.cumsum(n) - n][own]  # counted from the note's first run
+    size = (height * width)[of][own]
+    first, end = np.minimum(ends - lengths, size), np.minimum(ends, size)
+    run, k = _spread(np.where(k % 2 == 1, end - first, 0))
+    place, note = first[run] + k, of[own[run]]
+    return note, place % height[note], place // height[note]
+
+
 def rasterise(notes: DataFrame) -> DataFrame:
     """(image, row, col, label) of annotations (image, label, segmentation, runs, height, width); parts of one unite.
 
-    An annotation has polygons or runs; one that covers no pixel gives no row.
+    An annotation has polygons or runs; one that covers no pixel gives no row.  Annotations are drawn many at a time.
     """
     notes = notes if "runs" in notes.columns else notes.withColumn("runs", F.lit(None).cast("array<int>"))
 
+    def draw(x: pd.DataFrame) -> pd.DataFrame:
+        height, width = x["height"].to_numpy(np.int64), x["width"].to_numpy(np.int64)
+        polygons = [(i, f) for i, s in enumerate(x["segmentation"]) if s is not None for f in s if f is not None and len(f) >= 6]
+        runs = [(i, r) for i, r in enumerate(x["runs"]) if r is not None and len(r)]
+        parts = [f(np.array([i for i, _ in p], np.int64), [v for _, v in p], height, width) for f, p in ((polygon_pixels, polygons), (run_pixels, runs)) if p]
+        if not parts:
+            return x.iloc[:0][["image", "label"]].assign(row=0, col=0)
+        note, row, col = (np.concatenate(c) for c in zip(*parts, strict=True))
+        wide = int(width.max())
+        size = int(height.max()) * wide
+        key = np.unique(note * size + row * wide + col)
+        note, place = key // size, key % size
+        return pd.DataFrame({"image": x["image"].to_numpy()[note], "row": place // wide, "col": place % wide, "label": x["label"].to_numpy()[note]})
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x in batch.itertuples():
-                mask = np.zeros((x.height, x.width), bool)
-                if x.runs is not None:
-                    mask |= fill_runs(x.runs, x.height, x.width)
-                for flat in x.segmentation if x.segmentation is not None else ():
-                    p = np.asarray(flat, float)
-                    if len(p) >= 6:
-                        mask |= fill_polygon(p[: len(p) // 2 * 2].reshape(-1, 2), x.height, x.width)
-                r, c = np.nonzero(mask)
-                yield pd.DataFrame({"image": x.image, "row": r, "col": c, "label": x.label})
-
-    return notes.select("image", "label", "segmentation", "runs", "height", "width").mapInPandas(task, "image string, row int, col int, label long")
+            drawn = [sum(r[1::2]) if r is not None else sum(min(h * w, _frame(f)) for f in s) if s is not None else 0 for s, r, h, w in zip(batch["segmentation"], batch["runs"], batch["height"], batch["width"], strict=True)]
+            for _, part in batch.groupby(np.cumsum(drawn) // STEP_PIXELS, sort=False):
+                yield draw(part)[["image", "row", "col", "label"]]
+
+    # notes are few bytes and many pixels, so that the parts of a small file would be too few tasks
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = notes.select("image", "label", "segmentation", "runs", "height", "width").repartition(parts, "image", "label")
+    return dealt.mapInPandas(task, "image string, row int, col int, label long")
 
 
 def load_parameters(spark: SparkSession, path: str) -> tuple[dict, dict]:

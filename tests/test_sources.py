@@ -219,3 +219,25 @@ def test_parameters_tables_and_models(spark, tmp_path):
         images.require_columns(spark.range(1), ["id", "q"])
     with pytest.raises(ValueError):
         images.validate_cluster_labels(spark.createDataFrame([(1,), (3,)], "c int"), "c")
+
+
+def test_notes_drawn_together_are_those_drawn_one_by_one(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    monkeypatch.setattr(images, "STEP_PIXELS", 300)
+    rows, want = [], set()
+    for i in range(80):
+        h, w = (int(v) for v in g.integers(6, 30, 2))
+        whole = i % 3 == 0  # corners on centres and between pixels
+        polygons = [(g.integers(-4, 34, 2 * int(g.integers(2, 9))) / (1 if whole else 2)).astype(float).tolist() for _ in range(int(g.integers(0, 4)))]
+        runs = g.integers(0, 40, int(g.integers(0, 30))).tolist() if i % 4 == 0 else None
+        rows.append((f"i{i % 5}", i, None if i % 7 == 0 else polygons, runs, h, w))
+        mask = images.fill_runs(runs or [h * w], h, w).copy()
+        for p in polygons if i % 7 else ():
+            if len(p) >= 6:
+                mask |= images.fill_polygon(np.array(p).reshape(-1, 2), h, w)
+        want |= {(f"i{i % 5}", int(r), int(c), i) for r, c in zip(*np.nonzero(mask), strict=True)}
+    notes = spark.createDataFrame(rows, "image string, label long, segmentation array<array<double>>, runs array<int>, height int, width int")
+    got = [tuple(r) for r in images.rasterise(notes).collect()]
+    assert len(got) == len(want) and set(got) == want
+    of, flats = np.array([0, 0]), [[1.0, 1.0, 4.0, 1.0, 4.0, 3.0, 1.0, 3.0], [2.0, 1.0, 6.0, 1.0, 6.0, 3.0, 2.0, 3.0]]
+    assert len(images.polygon_pixels(of, flats, np.array([9]), np.array([5]))[0]) == 6 + 6
