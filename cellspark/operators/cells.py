@@ -63,6 +63,57 @@ def hull_area(rows: np.ndarray, cols: np.ndarray) -> int:
     return int(inside.sum())
 
 
+def _hull_ends(region: np.ndarray, y: np.ndarray, x: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each line ``at`` of region ``of`` the greatest whole x/2 in the convex hull of the region's points.
+
+    Points are sorted by region and y, one for each y.  All regions' hulls grow together, a point of each at a time.
+    """
+    n = np.bincount(region)
+    start = np.cumsum(n) - n
+    hx, hy, depth = np.empty_like(x), np.empty_like(y), np.zeros(len(n), np.int64)  # a stack for each region, in its points' places
+    alive = np.arange(len(n))
+    for k in range(int(n.max())):
+        alive = alive[n[alive] > k]
+        new = start[alive] + k
+        todo = np.arange(len(alive))
+        while len(todo := todo[depth[alive[todo]] > 1]):
+            r, p = alive[todo], new[todo]
+            b = start[r] + depth[r] - 1
+            inner = (hx[b] - hx[b - 1]) * (y[p] - hy[b]) <= (x[p] - hx[b]) * (hy[b] - hy[b - 1])
+            todo = todo[inner]
+            depth[alive[todo]] -= 1
+        top = start[alive] + depth[alive]
+        hx[top], hy[top] = x[new], y[new]
+        depth[alive] += 1
+    kept = np.arange(len(x)) - start[region] < depth[region]
+    hx, hy, own = hx[kept], hy[kept], region[kept]
+    low, span = int(hy.min()), int(hy.max() - hy.min()) + 1
+    b = np.searchsorted(own * span + hy - low, of * span + at - low)  # no line is a region's first, so a corner lies before
+    a = b - 1
+    return (hx[a] * (hy[b] - hy[a]) + (hx[b] - hx[a]) * (at - hy[a])) // (2 * (hy[b] - hy[a]))
+
+
+def hull_areas(region: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """``hull_area`` of all regions 0, 1, ... at once; pixels are sorted by region and row."""
+    n = int(region[-1]) + 1
+    first = np.flatnonzero(np.r_[True, (np.diff(region) != 0) | (np.diff(row) != 0)])  # the first pixel of each line
+    own, line = region[first], row[first]
+    top, bottom = np.searchsorted(own, np.arange(n)), np.searchsorted(own, np.arange(n), "right") - 1
+    high = line[bottom] - line[top] + 1
+    of = np.repeat(np.arange(n), high)
+    at = 2 * (np.arange(len(of)) - np.repeat(np.cumsum(high) - high, high) + line[top][of])
+    ends = []
+    for side in (np.maximum.reduceat(col, first), -np.minimum.reduceat(col, first)):
+        # half a pixel above, beside and below the line's last pixel; of points on one line the outermost
+        r, y = np.tile(own, 3), np.concatenate((2 * line - 1, 2 * line, 2 * line + 1))
+        x = np.concatenate((2 * side, 2 * side + 1, 2 * side))
+        order = np.lexsort((-x, y, r))
+        r, y, x = r[order], y[order], x[order]
+        one = np.r_[True, (np.diff(r) != 0) | (np.diff(y) != 0)]
+        ends.append(_hull_ends(r[one], y[one], x[one], of, at))
+    return np.bincount(of, ends[0] + ends[1] + 1, n)
+
+
 #: Pixels whose regions one call measures.
 BATCH_PIXELS = 200_000
 #: Length that a border pixel adds, by 1, 2 and 10 times its straight, own and diagonal border neighbours.
@@ -126,10 +177,8 @@ def region_batch(region: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[
     crossed = lambda s: np.bincount(own, (~held(keys + s, keys)).astype(int) + (~held(keys - s, keys)).astype(int), n)
     crofton = np.pi / 4 * ((crossed(1) + crossed(wide)) / 2 + (crossed(wide + 1) + crossed(wide - 1)) / (2 * 2**0.5))
     area = np.bincount(own, minlength=n)
-    ends = np.searchsorted(own, np.arange(n + 1))
     place = keys % size
-    hull = np.array([hull_area(place[a:b] // wide, place[a:b] % wide) for a, b in zip(ends[:-1], ends[1:], strict=True)], float)
-    return names, perimeters, crofton, area / hull
+    return names, perimeters, crofton, area / hull_areas(own, place // wide, place % wide)
 
 
 def outlines(pixels: DataFrame) -> DataFrame:

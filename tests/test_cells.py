@@ -400,3 +400,16 @@ def test_draws_are_dealt_among_chunks(spark, monkeypatch):
     again = np.array([r.w for r in validation.refit_weights(df.repartition(3), ["k"], 20, 7).orderBy("k").collect()])
     assert w.shape == (2000, 20) and (w.sum(0) == 2000).all() and (w == again).all()
     assert 0.61 < (w > 0).mean() < 0.655 and abs(w.var() - 1) < 0.05 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1
+
+
+def test_hulls_of_many_regions_are_those_of_each():
+    g = np.random.default_rng(8)
+    region, row, col, want = [], [], [], []
+    for k in range(200):
+        side = 150 if k % 50 == 0 else 9
+        m = g.random((int(g.integers(1, side)), int(g.integers(1, side)))) < (0.01 if side == 150 else g.random())
+        m[-1, 0] = True
+        y, x = np.nonzero(m)
+        region, row, col = region + [k] * len(y), row + y.tolist(), col + x.tolist()
+        want.append(cells.hull_area(y, x))
+    assert (cells.hull_areas(np.array(region), np.array(row), np.array(col)) == want).all()
