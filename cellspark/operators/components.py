@@ -11,6 +11,7 @@ from .tables import written
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of ``links`` (a, b): the least value that can be reached.
 
+    Joins are by sorting: sides that shrink under the limit of a broadcast would pass through the driver in every round.
     Each round links everything to the least neighbour of its greater side, then of its lesser one: the rounds follow
     the logarithm of the longest path.  Neighbours are never gathered: both steps are a minimum and a join.
     """
@@ -19,14 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = written(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        pulled = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        pulled = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = written(pulled.where("u <> v").distinct())
         settled = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
         edges = after
         if settled:
             break
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-    alone = lone.distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+    alone = lone.distinct().join(found.hint("merge"), "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.union(alone)

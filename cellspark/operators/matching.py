@@ -121,13 +121,31 @@ def sparse_assignment(edges: list[list[tuple[int, float]]]) -> list[int | None]:
 def assign(ious: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """The one-to-one assignment of each image that maximises total IoU.
 
-    Pairs without overlap are no pairs.  Labels that overlap, directly or through others, form a
-    part of their image; each part is a group of its own, so an image of many labels is many tasks' work.
+    Pairs without overlap are no pairs.  A pair that outweighs the best others of both its labels together
+    stands in every best assignment (to give it up frees these two at most), so such pairs are settled first, by
+    rounds that settle half of the labels or more.  What is left falls into labels that overlap, directly or through others;
+    each such part is a group of its own, so an image of many labels is many tasks' work.
     """
-    pairs = written(ious.select(*keys, "gt_label", "pred_label", "iou"))
+    label = lambda c: F.col(c).cast("long").alias(c)
+    pairs = written(ious.where("iou > 0").select(*keys, label("gt_label"), label("pred_label"), "iou"))
+    settled = pairs.where("false")
+    left = pairs.count()
+    while left:
+        sure = written(_sure(pairs, keys))
+        rest = pairs
+        for side in ("gt_label", "pred_label"):
+            own = F.struct(*keys, side).alias("own")  # NULL keys are a key
+            rest = rest.withColumn("own", own).join(sure.select(own).hint("merge"), "own", "left_anti").drop("own")
+        settled, pairs, before = settled.unionByName(sure), written(rest), left
+        left = pairs.count()
+        if 2 * left > before:
+            break
+    settled = settled.withColumn("matched", F.col("iou") >= E.IOU_THRESHOLD)
+    if not left:
+        return settled
     node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("label"))
     parts = components(pairs.select(node(0, "gt_label").alias("a"), node(1, "pred_label").alias("b")))
-    held = pairs.withColumn("id", node(0, "gt_label")).join(parts, "id").drop("id")
+    held = pairs.withColumn("id", node(0, "gt_label")).join(parts.hint("merge"), "id").drop("id")
     schema = ", ".join(f"`{k}` {dict(ious.dtypes)[k]}" for k in keys) + ", gt_label long, pred_label long, iou double, matched boolean"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +161,17 @@ def assign(ious: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
             out.insert(0, k, rows[k].iloc[0])
         return out.assign(matched=out.iou >= E.IOU_THRESHOLD)
 
-    return held.where("iou > 0").groupBy("component").applyInPandas(lambda rows: solve(rows), schema)
+    return settled.unionByName(held.groupBy("component").applyInPandas(lambda rows: solve(rows), schema))
+
+
+def _sure(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pairs whose IoU is above the sum of the next best of both labels."""
+    out, own = pairs, F.col("iou")
+    for side in ("gt_label", "pred_label"):
+        w = Window.partitionBy(*keys, side).orderBy(F.desc("iou"))
+        out = out.withColumns({f"__turn_{side}": F.row_number().over(w), f"__next_{side}": F.coalesce(F.lead("iou").over(w), F.lit(0.0))})
+    best = (F.col("__turn_gt_label") == 1) & (F.col("__turn_pred_label") == 1)
+    return out.where(best & (own > F.col("__next_gt_label") + F.col("__next_pred_label"))).select(pairs.columns)
 
 
 def match_metrics(matches: DataFrame, counts: DataFrame, threshold: float = E.IOU_THRESHOLD) -> DataFrame:

@@ -413,3 +413,25 @@ def test_hulls_of_many_regions_are_those_of_each():
         region, row, col = region + [k] * len(y), row + y.tolist(), col + x.tolist()
         want.append(cells.hull_area(y, x))
     assert (cells.hull_areas(np.array(region), np.array(row), np.array(col)) == want).all()
+
+
+def test_pairs_that_outweigh_their_rivals_need_no_parts(spark, monkeypatch):
+    chain = [(None if i > 20 else "x", i, i + j, 0.6 - 0.4 * j) for i in range(40) for j in (0, 1)]
+    df = spark.createDataFrame(chain, "image string, gt_label int, pred_label int, iou double")
+    with monkeypatch.context() as m:
+        m.setattr(matching, "components", lambda links: pytest.fail("parts are looked for"))
+        got = matching.assign(df)
+        assert sorted((r.gt_label, r.pred_label, r.matched) for r in got.collect()) == [(i, i, True) for i in range(40)] and dict(got.dtypes)["gt_label"] == "bigint"
+        assert not matching.assign(df.where("false")).collect()
+
+
+def test_settled_pairs_leave_the_best_assignment(spark):
+    g = np.random.default_rng(6)
+    w = np.where(g.random((3, 8, 9)) < 0.35, g.integers(1, 900, (3, 8, 9)) / 1000, 0)
+    w[0, range(8), range(8)] = 0.95
+    df = spark.createDataFrame([(f"i{k}", a + 1, b + 1, float(w[k, a, b])) for k, a, b in np.argwhere(w).tolist()], "image string, gt_label int, pred_label int, iou double")
+    got = matching.assign(df).toPandas()
+    for k in range(3):
+        best = matching.sparse_assignment([[(b, -w[k, a, b]) for b in range(9) if w[k, a, b]] for a in range(8)])
+        mine = got[got.image == f"i{k}"]
+        assert mine.gt_label.is_unique and mine.pred_label.is_unique and mine.iou.sum() == pytest.approx(sum(w[k, a, b] for a, b in enumerate(best) if b is not None))
