@@ -233,13 +233,13 @@ def cell_features(pixels: DataFrame, images: DataFrame) -> DataFrame:
 def crowding(cells: DataFrame, image: str, cell: str, y: str, x: str, radius: float = E.NEIGHBOUR_RADIUS) -> DataFrame:
     """Neighbours within ``radius`` (inclusive) and the nearest neighbour's distance, NULL if alone.
 
-    Neighbours are found through a grid of radius-wide squares: a cell meets those of
-    nine squares only.  Cells with nobody there look on, over squares twice as wide each time,
+    Neighbours are found through a grid of squares three times as wide as the radius: a cell asks those squares
+    that it reaches, fewer than three on the average.  Cells with nobody there look on, over squares twice as wide each time,
     until they have found somebody.  A cell that is alone in its image, or has no place, has none.
     """
     p = cells.select(F.col(image).alias("i"), F.col(cell).alias("c"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    near = _within(p, p, radius).groupBy("i", "c").agg(F.count("*").alias("n"), F.min("dist").alias("d"))
     located = p.where(E.finite("y", "x"))
+    near = written(_within(located, located, radius).groupBy("i", "c").agg(F.count("*").alias("n"), F.min("dist").alias("d")))
     several = located.groupBy("i").agg(F.count("*").alias("k")).where("k > 1").select("i")
     rest = written(located.join(near, ["i", "c"], "left_anti").join(several, "i", "left_semi"))
     far = None
@@ -253,12 +253,18 @@ def crowding(cells: DataFrame, image: str, cell: str, y: str, x: str, radius: fl
     return out.select(F.col("i").alias(image), F.col("c").alias(cell), F.coalesce("n", F.lit(0)).alias("neighbours_within_50px"), F.coalesce("d", "d2").alias("nearest_neighbour_distance"))
 
 
+#: Width of a square, in radii.
+SQUARE = 3
+
+
 def _within(some: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """(i, c, dist) of each of ``some`` and each other cell of its image at most ``radius`` away."""
-    square = lambda df: df.withColumns({"gy": F.floor(F.col("y") / radius), "gx": F.floor(F.col("x") / radius)})
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    seen = square(some).select("i", "c", "y", "x", "gy", "gx", around.alias("d")).select("i", "c", "y", "x", (F.col("gy") + F.col("d.dy")).alias("gy"), (F.col("gx") + F.col("d.dx")).alias("gx"))
-    there = square(others).select("i", "gy", "gx", F.col("c").alias("c2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    """(i, c, dist) of each of ``some`` and each other cell of its image at most ``radius`` away; all have places."""
+    line = lambda v: F.floor(v / (SQUARE * radius))
+    # a little further, so that no neighbour at the very radius is rounded away
+    reach = lambda c: radius + 1e-9 * (F.abs(F.col(c)) + radius)
+    reached = lambda c: F.explode(F.sequence(line(F.col(c) - reach(c)), line(F.col(c) + reach(c))))
+    seen = some.select("i", "c", "y", "x", reached("y").alias("gy")).withColumn("gx", reached("x"))
+    there = others.select("i", line(F.col("y")).alias("gy"), line(F.col("x")).alias("gx"), F.col("c").alias("c2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
     dist = F.sqrt(F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("x") - F.col("x2"), 2))
     return seen.join(there, ["i", "gy", "gx"]).where("c <> c2").select("i", "c", dist.alias("dist")).where(F.col("dist") <= radius)
 
@@ -314,7 +320,11 @@ def area_limits(cells: DataFrame, value: str, low: float, high: float, *keys: st
 
 
 def qc_flags(cells: DataFrame, limits: DataFrame, value: str, features: list[str], border: Column, *keys: str) -> DataFrame:
-    """Flags, include and the reasons.  Limits stay strict; a missing area is no extreme one."""
+    """Flags, include and the reasons.  Limits stay strict; a missing area is no extreme one.
+
+    Limits are written first: their size is known then, and a few lines' are broadcast, so that no line's cells meet in one task.
+    """
+    limits = written(limits) if keys else limits
     joined = cells.join(limits, list(keys), "left") if keys else cells.crossJoin(F.broadcast(limits))  # one row
     extreme = F.coalesce((F.col(value) < F.col("area_qc_lower")) | (F.col(value) > F.col("area_qc_upper")), F.lit(False))
     out = joined.withColumns({"qc_touches_image_border": E.truthy(border), "qc_extreme_area": E.finite(value) & extreme, "qc_missing_feature": ~E.finite(*features)})

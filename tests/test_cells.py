@@ -435,3 +435,17 @@ def test_settled_pairs_leave_the_best_assignment(spark):
         best = matching.sparse_assignment([[(b, -w[k, a, b]) for b in range(9) if w[k, a, b]] for a in range(8)])
         mine = got[got.image == f"i{k}"]
         assert mine.gt_label.is_unique and mine.pred_label.is_unique and mine.iou.sum() == pytest.approx(sum(w[k, a, b] for a, b in enumerate(best) if b is not None))
+
+
+def test_cells_ask_few_squares(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    at = np.round(g.uniform(-400, 400, (300, 2)), 1)
+    df = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(at)], "i string, c int, y double, x double")
+    rows = {}
+    plain = cells.written
+    monkeypatch.setattr(cells, "written", lambda d: rows.setdefault(len(rows), plain(d)))
+    got = {r.c: (r.neighbours_within_50px, r.nearest_neighbour_distance) for r in cells.crowding(df, "i", "c", "y", "x").collect()}
+    assert rows[0].count() == sum(1 for n, _ in got.values() if n)  # neighbours are counted once, and kept
+    for i, p in enumerate(at):
+        d = np.delete(np.sqrt(((at - p) ** 2).sum(1)), i)
+        assert got[i] == (int((d <= 50).sum()), pytest.approx(d.min()))
