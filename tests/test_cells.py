@@ -449,3 +449,10 @@ def test_cells_ask_few_squares(spark, monkeypatch):
     for i, p in enumerate(at):
         d = np.delete(np.sqrt(((at - p) ** 2).sum(1)), i)
         assert got[i] == (int((d <= 50).sum()), pytest.approx(d.min()))
+
+
+def test_limits_of_lines_are_broadcast_to_the_cells(spark):
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 3).alias("line"), F.col("id").cast("double").alias("v"))
+    out = cells.qc_flags(df, cells.area_limits(df, "v", 0.1, 0.9, "line"), "v", ["v"], F.lit(False), "line")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.where("qc_extreme_area").count() == 60
