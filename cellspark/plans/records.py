@@ -91,11 +91,11 @@ def _catalogue(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".tif")).alias("file_name"), F.lit(520).alias("height"), F.lit(704).alias("width"))
     ring = F.array(F.array(*(F.lit(x) for x in (0.0, 0.0, 2.0, 0.0, 2.0, 2.0))))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), ring.alias("segmentation"))
-    # a line a record, a comma before each but the first; the one file is written row by row
+    # a line a record, a comma before each but the first; the sorted parts become one file
     lines = lambda df, part: df.select(F.lit(part).alias("part"), "id", F.to_json(F.struct(*df.columns)).alias("line"), (F.col("id") == df.agg(F.min("id")).first()[0]).alias("first"))
     marks = spark.createDataFrame([(0, 0, '{"info": {"made": "{[,"}, "images": [', True), (2, 0, '], "annotations": [', True), (4, 0, "]}", True)], "part int, id long, line string, first boolean")
     every = marks.union(lines(c, 1)).union(lines(o, 3)).orderBy("part", "id")
-    every.select(F.when(F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("value")).coalesce(1).write.text(path)
+    images.write_lines(every.select(F.when(F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("value")), path)
     return images.read_coco(spark, path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -422,6 +423,40 @@ def write_table(df: DataFrame, path: str, *order, csv: bool = False, index: str
     writer.option("header", True).csv(path) if csv else writer.parquet(path)
 
 
+#: Bytes that are copied at a time.
+_COPIED = 8 << 20
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text file of the rows of ``lines`` (a column, sorted), in their order.
+
+    Tasks write the sorted parts, and one more copies them behind each other, a few megabytes at a time: none sorts or holds the whole.
+    """
+    from pyarrow import fs
+
+    parts = f"{path.rstrip('/')}-parts"
+    lines.write.text(parts)
+    names = lines.sparkSession.createDataFrame([(parts,)], "parts string")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["parts"]:
+                open_, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                to = path if "://" not in path else fs.FileSystem.from_uri(path)[1]
+                open_.create_dir(to, recursive=True)
+                found = [f.path for f in open_.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-")]
+                draft = f"{to}/_lines-{uuid.uuid4().hex}"  # readers pass over it; a task that is lost leaves no half of a file
+                with open_.open_output_stream(draft) as out:
+                    for name in sorted(found):
+                        with open_.open_input_stream(name, compression=None) as part:
+                            while block := part.read(_COPIED):
+                                out.write(block)
+                open_.move(draft, f"{to}/lines.txt")
+            yield pd.DataFrame({"parts": batch["parts"]})
+
+    names.mapInPandas(task, "parts string").collect()
+
+
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
     """A JSON document of a run's parameters and counts, as one line of text."""
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -241,3 +241,11 @@ def test_notes_drawn_together_are_those_drawn_one_by_one(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     of, flats = np.array([0, 0]), [[1.0, 1.0, 4.0, 1.0, 4.0, 3.0, 1.0, 3.0], [2.0, 1.0, 6.0, 1.0, 6.0, 3.0, 2.0, 3.0]]
     assert len(images.polygon_pixels(of, flats, np.array([9]), np.array([5]))[0]) == 6 + 6
+
+
+def test_sorted_parts_become_one_file(spark, tmp_path):
+    df = spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").select(F.col("id").cast("string").alias("value"))
+    images.write_lines(df, str(tmp_path / "x"))
+    found = [f for f in (tmp_path / "x").iterdir() if f.name[0] not in "._"]
+    assert len(found) == 1 and found[0].read_text().split() == [str(i) for i in range(1000)]
+    assert spark.read.text(str(tmp_path / "x")).count() == 1000
