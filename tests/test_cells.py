@@ -456,3 +456,15 @@ def test_limits_of_lines_are_broadcast_to_the_cells(spark):
     out = cells.qc_flags(df, cells.area_limits(df, "v", 0.1, 0.9, "line"), "v", ["v"], F.lit(False), "line")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.where("qc_extreme_area").count() == 60
+
+
+def test_limits_of_lines_are_broadcast_by_their_true_size(spark):
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 3).alias("line"), F.col("id").cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # many cells: what is estimated from them is more
+    try:
+        out = cells.qc_flags(df, cells.area_limits(df, "v", 0.1, 0.9, "line"), "v", ["v"], F.lit(False), "line")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
