@@ -93,3 +93,45 @@ def test_times_need_two_ends(spark):
     one = spark.createDataFrame([(1.0, 1, 0.5), (1.0, 1, 0.4)], "t double, c int, v double")
     with pytest.raises(ValueError):
         validation.change_over_time(one, "t", "c", "v")
+
+
+def test_folds_are_predicted_once_and_fitted_in_few_tasks(spark, monkeypatch):
+    seen, parts, predict, fit = spark.sparkContext.accumulator(0), [], classifier.predict, classifier.fit
+
+    def counted(*given):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        got = predict(*given)
+        return got.mapInArrow(count, got.schema)
+
+    def watched(train, *more):
+        parts.append(train.rdd.getNumPartitions())
+        return fit(train, *more)
+
+    monkeypatch.setattr(classifier, "predict", counted)
+    monkeypatch.setattr(classifier, "fit", watched)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df, _, _ = classifier.split_groups(blobs(spark))
+        v = classifier.cross_validate(df, ["x", "y"], "cell_line", ["cell_id"], folds=2, models=("logistic_regression",))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen.value == 120 and parts == [3, 3]
+    assert v.fold_metrics.agg(F.sum("held_out_cells"), F.sum("held_out_groups"), F.min("accuracy")).first()[:] == (120, 12, 1.0)
+
+
+def test_a_balanced_sample_ranks_few_rows(spark):
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") < 20, "a").when(F.col("id") < 40, None).otherwise("b").alias("k"), F.lit(7).alias("same"))
+    h = F.xxhash64("id", F.lit(3))
+    rows = sorted((r.h, r.id, str(r.k)) for r in df.select("id", "k", h.alias("h")).collect())
+    want = {(k, i) for k in ("a", "b", "None") for _, i, _ in [r for r in rows if r[2] == k][:5]}
+    assert {(str(r.k), r.id) for r in stats.balanced_sample(df, "k", 5, 3, "id").collect()} == want
+    assert 60 < df.where(stats.low_hashes(h, "k", {"a": 1.5, "b": 0.03})).count() < 300  # of 4,000
+    # ids that repeat: all rows of a class may hash high, or low
+    for seed in range(4):
+        got = stats.balanced_sample(df, "k", 5, seed, "same").groupBy("k").count().collect()
+        assert sorted((str(r[0]), r[1]) for r in got) == [("None", 5), ("a", 5), ("b", 5)]
